@@ -101,6 +101,6 @@ def status_history(t):
     )
     alarm = F.when((F.col("event_type") == "error") & (k.cast("int") % 10 > 0), F.concat(F.lit("AL"), k))
     return t.events.select(
-        "event_id", F.col("user_id").alias("machine_code"), F.col("ts").alias("occur_date"),
+        "event_id", F.col("user_id").alias("machine_code"), F.col("ts").cast("timestamp").alias("occur_date"),
         F.floor(F.col("value") * 60).alias("operate_period"), status.alias("status"), alarm.alias("alarm_code"),
     )
