@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "scalars", "parsing", "retrieval", "catalog", "graphs",
+    "scalars", "parsing", "retrieval", "catalog", "graphs", "ladder",
 
 )
 

@@ -66,14 +66,14 @@ def related_edges_j2b(t):
 
 @query(
     "match_entities_j3",
-    f"""WITH s AS (SELECT label AS qid, vec_id AS id, round(list_dot_product(cvec, v), 6) AS score FROM {CENTROID_SQL}, {UNIT_SQL}),
+    f"""WITH s AS (SELECT label AS qid, vec_id AS id, round(list_dot_product(cvec, v) / sqrt(list_dot_product(cvec, cvec)), 6) AS score FROM {CENTROID_SQL}, {UNIT_SQL}),
       n AS (SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS r0 FROM s) WHERE r0 <= 5)
-      SELECT * FROM {top_sql('n', 5)} WHERE score >= 0.1""",
+      SELECT * FROM {top_sql('n', 5)} WHERE score >= 0.3""",
 )
 def match_entities_j3(t):
     unit = vectors.unit_vectors(t.embeddings, "embedding")
-    near = vectors.vector_topk(centroids(t), "label", "cvec", unit, "vec_id", "embedding", 5)
-    return near.filter("score >= 0.1").select("qid", "id", "score", "rank")
+    near = vectors.vector_topk(vectors.unit_vectors(centroids(t), "cvec"), "label", "cvec", unit, "vec_id", "embedding", 5)
+    return near.filter("score >= 0.3").select("qid", "id", "score", "rank")
 
 
 GRAPH_SQL = "(SELECT DISTINCT l_orderkey * 100000000 + l_partkey AS edge_id, 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'S' || (l_orderkey % 50) AS section FROM lineitem)"
@@ -145,7 +145,8 @@ def walk_inputs(t):
     seeds = t.orders.groupBy((F.col("o_custkey") % 10).cast("int").alias("qid")).agg(
         F.concat(F.lit("o"), F.max_by("o_orderkey", "o_totalprice")).alias("node")
     )
-    return edge_vectors(t), seeds, centroids(t).select(F.col("label").alias("qid"), F.col("cvec").alias("qvec"))
+    unit = vectors.unit_vectors(centroids(t), "cvec")
+    return edge_vectors(t), seeds, unit.select(F.col("label").alias("qid"), F.col("cvec").alias("qvec"))
 
 
 @query("best_first_j6")
@@ -246,11 +247,11 @@ def ppr_sql() -> str:
     return head + f", pr AS MATERIALIZED (SELECT qid, node, round(score, 6) AS score FROM x{ROUNDS})"
 
 
-@query("ppr_j9", f"WITH {ppr_sql()} SELECT qid, node, round(score, 5) AS score FROM pr WHERE score >= 0.0001")
+@query("ppr_j9", f"WITH {ppr_sql()} SELECT qid, node, score FROM pr WHERE score >= 0.0001")
 def ppr_j9(t):
     scores = graph.ppr(graph.page_graph(blocks(t))[1], page_seeds(t))
     scores = scores.select("qid", "node", F.round("score", 6).alias("score")).filter("score >= 0.0001")
-    return scores.withColumn("score", F.round("score", 5))
+    return scores
 
 
 FINAL_SQL = top_sql("(SELECT * FROM pr WHERE score > 0)", 5, "qid", "score DESC, node")
