@@ -15,6 +15,12 @@ def band(c: Column, cuts: Sequence[tuple[float, str]], rest: str) -> Column:
     return out
 
 
+def round_even(c: Column, places: int = 0) -> Column:
+    """Half to even on the binary value, as the reports round; sums in any order give the same result."""
+    scale = 10.0**places
+    return F.rint(F.round(c, 9) * scale) / scale
+
+
 def report_band(rate: Column) -> Column:
     return band(rate, [(30, "danger"), (50, "warning")], "good")
 
