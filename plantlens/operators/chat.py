@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import content_key
 from .intervals import previous_user_message
-from .ordered import carry_last, first_per_key, neighbour, topk
+from .ordered import carry_last, first_per_key, global_positions, neighbour, topk
 
 TURN_BUCKET = 512
 
@@ -93,19 +93,26 @@ def questioner_counts(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy(name.alias("questioner")).agg(F.count("*").alias("n_sessions"))
 
 
-def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
+DEEP_OFFSET = 100_000  # beyond this a page is found by position, not by a limit
+
+
+def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int, deep: int = DEEP_OFFSET) -> DataFrame:
     """One page of an ordered list with the page actually shown, the total and the number of pages.
 
-    The page number is clamped to the existing pages; the page itself is a distributed limit with offset.
+    The page number is clamped to the existing pages. An early page is a distributed limit; a deep one is cut
+    out of the globally sorted positions, so the rows before it never meet in one task.
     """
     total = df.count()
     pages = max(1, -(-total // size))
     shown = min(max(page, 1), pages)
+    first = (shown - 1) * size
+    if first <= deep:
+        rows = df.orderBy(*order).offset(first).limit(size)
+    else:
+        at = F.col("__position")
+        rows = global_positions(df, order, "__position").filter((at > first) & (at <= first + size)).drop("__position")
     return (
-        df.orderBy(*order)
-        .offset((shown - 1) * size)
-        .limit(size)
-        .withColumn("page", F.lit(shown))
+        rows.withColumn("page", F.lit(shown))
         .withColumn("total", F.lit(total).cast("bigint"))
         .withColumn("pages", F.lit(pages))
     )
@@ -182,5 +189,5 @@ def run_bounds(log: DataFrame) -> DataFrame:
     """Start of the run each kept entry ends. ``log``: job, pos, message."""
     d = neighbour(log, ["job"], ["pos"], _bucket("pos"), {"__prev": F.col("message")})
     first = F.when(~F.col("message").eqNullSafe(F.col("__prev")), F.col("pos"))
-    d = carry_last(d.drop("__prev").withColumn("__f", first), ["job"], ["pos"], _bucket("pos"), {"run_start": F.col("__f")})
-    return collapse_progress(d.drop("__f"))
+    d = carry_last(d.withColumn("__f", first), ["job"], ["pos"], _bucket("pos"), {"run_start": F.col("__f")})
+    return collapse_progress(d.drop("__f", "__prev"))

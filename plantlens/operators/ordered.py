@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 BUCKET = "__bucket"
 
 
@@ -97,3 +99,19 @@ def neighbour(
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str) -> DataFrame:
     """1-based position per key."""
     return running_sum(df, keys, order, bucket, F.lit(1), out)
+
+
+def global_positions(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """1-based position of every row in the order of the whole table.
+
+    Rows are range partitioned and sorted once; the checkpoint fixes that placement, so the partition sizes and
+    the positions inside the partitions belong together whatever is recomputed later.
+    """
+    low_bits = (1 << 33) - 1  # monotonically_increasing_id: partition above, row number below
+    placed = cut_lineage(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    ).withColumn("__p", F.shiftright("__m", 33))
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    return placed.join(offsets, "__p").withColumn(out, F.col("__o") + F.col("__m").bitwiseAND(low_bits) + 1).drop("__m", "__p", "__o")

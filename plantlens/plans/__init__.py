@@ -5,8 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "scalars", "parsing", "retrieval", "catalog", "graphs", "ladder", "reports", "chats",
-
+    "scalars", "parsing", "retrieval", "catalog", "graphs", "ladder", "reports", "chats", "syncing", "audits", "streams",
 )
 
 

@@ -148,10 +148,13 @@ def pagination_g4(t):
 
 @query(
     "clamped_page_g4b",
-    """SELECT r_regionkey, 3 AS page, 5::BIGINT AS total, 3 AS pages FROM region WHERE r_regionkey = 4""",
+    """WITH n AS (SELECT count(*) AS total, CAST(ceil(count(*) / 100.0) AS INT) AS pages FROM customer)
+       SELECT c_custkey, pages AS page, total, pages FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer), n WHERE r > (pages - 1) * 100""",
 )
 def clamped_page_g4b(t):
-    return chat.page_of(t.region, [F.col("r_regionkey")], 99, 2).select("r_regionkey", "page", "total", "pages")
+    """A page far past the end, found by position."""
+    order = [F.col("c_acctbal").desc(), F.col("c_custkey")]
+    return chat.page_of(t.customer, order, 10**9, 100, deep=0).select("c_custkey", "page", "total", "pages")
 
 
 CITED = "text || ' [chunk:' || (turn % 3 + 1) || '] x [chunk:' || (conv_id % 4 + 1) || ']'"
