@@ -165,18 +165,18 @@ def alarm_rows_n12(t):
 
 @query(
     "checkable_lines_n13",
-    """SELECT c_nationkey AS qid, c_custkey AS source, 2 AS pos, 'sensor detects ' || c_custkey AS line FROM customer WHERE c_nationkey % 3 = 0 AND c_custkey % 4 = 0 UNION ALL
-       SELECT c_nationkey, c_custkey, 1, 'check valve ' || c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM customer d WHERE d.c_nationkey = customer.c_nationkey AND d.c_nationkey % 3 = 0 AND d.c_custkey % 4 = 0) AND c_custkey % 5 <> 0""",
+    """WITH c AS (SELECT *, c_custkey % 5 <> 0 OR (c_custkey >= 100 AND c_custkey % 2 = 0) AS el, c_nationkey % 3 = 0 AND c_custkey % 4 = 0 AS sees FROM customer),
+         a AS (SELECT c_nationkey, bool_or(el AND sees) AS anysee FROM c GROUP BY 1)
+       SELECT c_nationkey AS qid, c_custkey AS source, 2 AS pos, 'sensor detects ' || c_custkey AS line FROM c WHERE el AND sees
+       UNION ALL SELECT c_nationkey, c_custkey, 1, 'check valve ' || c_custkey FROM c JOIN a USING (c_nationkey) WHERE el AND NOT anysee""",
 )
 def checkable_lines_n13(t):
     first = "CASE WHEN c_custkey % 5 = 0 THEN 'Alarm | text' ELSE 'plain' END"
     last = "CASE WHEN c_nationkey % 3 = 0 AND c_custkey % 4 = 0 THEN '\nsensor detects ' || c_custkey ELSE '' END"
     text = F.expr(f"{first} || '\ncheck valve ' || c_custkey || {last}")
-    s = t.customer.select(F.col("c_nationkey").alias("qid"), F.col("c_custkey").alias("source"), text.alias("text"), F.concat(F.lit("did all of "), F.col("c_custkey").cast("string")).alias("q"))
-    # numbers of three or more digits in an alarm table must be named by the question
-    return audit.checkable_lines(s.withColumn("q", F.when((F.col("source") % 5 == 0) & ~((F.col("qid") % 3 == 0) & (F.col("source") % 4 == 0)), "no").otherwise(F.col("q"))), F.col("q")).filter(
-        "not (pos = 1 and source % 5 = 0)"
-    )
+    asked = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("did all of "), F.col("c_custkey").cast("string"))).otherwise("no")
+    s = t.customer.select(F.col("c_nationkey").alias("qid"), F.col("c_custkey").alias("source"), text.alias("text"), asked.alias("q"))
+    return audit.checkable_lines(s, F.col("q"))
 
 
 @query(

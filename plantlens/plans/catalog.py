@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import doc_key
 from ..operators import assembly, catalog, intervals
+from ..operators.ordered import carry_last
 from .bindings import STATUS_SQL, status_history
 from .registry import query
 
@@ -299,3 +300,34 @@ def merge_sources_e18(t):
     rows = t.documents.select(F.struct(F.col("source").alias("doc"), F.col("lang").alias("kind")).alias("s"), F.col("doc_id").alias("position"))
     both = rows.unionByName(rows.withColumn("position", F.col("position") + 1000000))
     return assembly.merge_sources(both, "s", "position").select("s.doc", "s.kind", "position")
+
+
+LINE_SQL = """(SELECT l_suppkey AS doc, l_orderkey * 10 + l_linenumber + l_partkey * 10000000 AS pos, min(l_returnflag) AS kind, min('T' || l_orderkey) AS text FROM lineitem GROUP BY 1, 2)"""
+
+
+def doc_lines(t):
+    pos = F.col("l_orderkey") * 10 + F.col("l_linenumber") + F.col("l_partkey") * 10000000
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("doc"), pos.alias("pos")).agg(
+        F.min("l_returnflag").alias("kind"), F.min(F.concat(F.lit("T"), F.col("l_orderkey").cast("string"))).alias("text")
+    )
+
+
+@query(
+    "running_title_f4",
+    f"SELECT doc, pos, coalesce(last_value(CASE WHEN kind = 'A' THEN text END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos), '') AS title FROM {LINE_SQL}",
+)
+def running_title_f4(t):
+    title = F.when(F.col("kind") == "A", F.col("text"))
+    out = carry_last(doc_lines(t), ["doc"], ["pos"], F.floor(F.col("pos") / 10**9), {"title": title})
+    return out.select("doc", "pos", F.coalesce("title", F.lit("")).alias("title"))
+
+
+@query(
+    "continuation_f5",
+    f"""WITH e AS (SELECT doc, pos, kind, text, last_value(CASE WHEN kind <> 'N' THEN pos END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos) AS entry FROM {LINE_SQL})
+        SELECT doc, entry, count(*) FILTER (WHERE kind = 'N') AS n_more, arg_max(text, pos) AS last_text FROM e WHERE entry IS NOT NULL GROUP BY doc, entry""",
+)
+def continuation_f5(t):
+    entry = F.when(F.col("kind") != "N", F.col("pos"))
+    out = carry_last(doc_lines(t), ["doc"], ["pos"], F.floor(F.col("pos") / 10**9), {"entry": entry}).filter("entry is not null")
+    return out.groupBy("doc", "entry").agg(F.count_if(F.col("kind") == "N").alias("n_more"), F.max_by("text", "pos").alias("last_text"))

@@ -69,6 +69,17 @@ def all_scores_rank_f1(t):
     return topk(found.drop("rank"), ["qid"], [F.col("score").desc(), F.col("id")], 50)
 
 
+@query(
+    "best_candidate_d16",
+    f"WITH {cosine_sql(VECS_SQL.replace('SELECT vec_id AS id,', 'SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qvec,').replace('CAST(embedding AS DOUBLE[]) AS vec, ', ''), VECS_SQL, 'machine')} SELECT qid, id, score, rank FROM {near_sql(3)}",
+)
+def best_candidate_d16(t):
+    """Every vector as a query against all vectors of its machine."""
+    v = vecs(t)
+    q = v.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), "machine")
+    return vectors.vector_topk(q, "qid", "qvec", v, "id", "vec", 3, "machine")
+
+
 @query(
     "bounded_topk_g1",
     """WITH s AS (SELECT label AS qid, vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 1) AS score FROM embeddings)

@@ -146,7 +146,8 @@ def field_note_problems_a7b(t):
 def read_symbols_a9(t):
     a = F.when(F.col("p_size") % 9 == 0, "no address").otherwise(F.concat(F.lit("X00"), F.col("p_partkey").cast("string"), F.lit("."), (F.col("p_partkey") % 8).cast("string")))
     path = fresh_path(t.spark, "symbols")
-    t.part.select(a, "p_brand", F.concat(F.lit("절삭유 "), "p_name"), "p_type").write.csv(path, sep="\t", encoding="cp949", quote="")
+    note = readers._recode("cp949", "iso-8859-1")(F.concat(F.lit("절삭유 "), "p_name"))
+    t.part.select(a, "p_brand", note, "p_type").write.csv(path, sep="\t", encoding="iso-8859-1", quote="")
     return readers.read_symbols(t.spark, path)
 
 

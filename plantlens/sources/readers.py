@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import address, doc_key, name_key
@@ -155,13 +156,25 @@ def field_notes(lines: DataFrame, file: str) -> tuple[DataFrame, DataFrame]:
     return cases, kept.filter(~good).select("line_no", "line")
 
 
+def _recode(source: str, target: str):
+    """Text held byte for byte in one encoding, read as another. Spark itself decodes only the common encodings."""
+
+    @F.pandas_udf("string")
+    def recode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: "" if s is None else s.encode(source).decode(target, errors="replace"))
+
+    return recode
+
+
 def read_symbols(spark: SparkSession, path: str, encoding: str = "cp949") -> DataFrame:
-    """Tab-separated symbol table: address, symbol, short and long comment; rows without an address are skipped."""
-    raw = spark.read.csv(path, sep="\t", encoding=encoding, quote="", schema="a string, symbol string, short string, comment string")
-    none = F.lit("")
-    return raw.select(
-        address(F.col("a")).alias("address"), F.coalesce("symbol", none).alias("symbol"), F.coalesce("short", none).alias("short"), F.coalesce("comment", none).alias("comment")
-    ).filter("address is not null")
+    """Tab-separated symbol table: address, symbol, short and long comment; rows without an address are skipped.
+
+    The file is split as single bytes; only the text columns of rows with an address are decoded.
+    """
+    raw = spark.read.csv(path, sep="\t", encoding="iso-8859-1", quote="", schema="a string, symbol string, short string, comment string")
+    text = _recode("iso-8859-1", encoding)
+    rows = raw.withColumn("address", address(F.col("a"))).filter("address is not null")
+    return rows.select("address", *[text(F.col(c)).alias(c) for c in ("symbol", "short", "comment")])
 
 
 def read_view(spark: SparkSession, key: str, jdbc: Mapping[str, str] | None = None, path: str | None = None, views=VIEWS) -> DataFrame:
