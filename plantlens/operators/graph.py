@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import content_key
-from ..session import cut_lineage
+from ..session import cut_lineage, small
 from .ordered import first_per_key, topk
 from .vectors import dot
 
@@ -54,12 +54,12 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
     """(qid, node) within ``radius`` undirected steps of the seeds."""
-    links = both_ways(edges)
-    seen = seeds.select("qid", "node").distinct()
+    links = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    seen = cut_lineage(seeds.select("qid", "node").distinct())
     frontier = seen
     for _ in range(radius):
-        step = frontier.join(links, F.col("node") == F.col("src")).select("qid", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, ["qid", "node"], "left_anti")
+        step = links.join(small(frontier), F.col("node") == F.col("src")).select("qid", F.col("dst").alias("node")).distinct()
+        frontier = cut_lineage(step.join(seen, ["qid", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -69,7 +69,7 @@ def neighbours(edges: DataFrame, seeds: DataFrame, radius: int, cap: int | None)
 
     ``edges``: edge_id, src, dst and attributes.
     """
-    found = reach(edges, seeds, radius).join(edges, F.col("node") == F.col("src")).drop("node")
+    found = edges.join(small(reach(edges, seeds, radius)), F.col("node") == F.col("src")).drop("node")
     return found if cap is None else topk(found, ["qid"], [F.col("edge_id")], cap, "triple_no")
 
 
@@ -193,17 +193,17 @@ def ppr(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, restart:
     walk = cut_lineage(transitions(edges))
     total = seeds.groupBy("qid").agg(F.sum("weight").alias("__t"))
     seed = cut_lineage(seeds.join(total, "qid").select("qid", "node", (F.col("weight") / F.col("__t")).alias("s")))
+    # the few seeds of a query travel with its rows, so stuck mass goes back without a second pass
+    lists = small(seed.groupBy("qid").agg(F.collect_list(F.struct("node", "s")).alias("__seeds")))
     scores = seed.select("qid", "node", F.col("s").alias("score"))
-    sources = walk.select(F.col("src").alias("node")).distinct()
+    base = seed.select("qid", "node", (restart * F.col("s")).alias("score"))
     for n in range(1, (rounds or rounds_needed(restart)) + 1):
-        flow = scores.join(walk, F.col("node") == F.col("src")).groupBy("qid", F.col("dst").alias("node")).agg(
-            ((1 - restart) * F.sum(F.col("score") * F.col("w"))).alias("score")
-        )
-        stuck = scores.join(sources, "node", "left_anti").groupBy("qid").agg(F.sum("score").alias("__d"))
-        back = seed.join(stuck, "qid", "left").select(
-            "qid", "node", (F.col("s") * (restart + (1 - restart) * F.coalesce("__d", F.lit(0.0)))).alias("score")
-        )
-        scores = flow.unionByName(back).groupBy("qid", "node").agg(F.sum("score").alias("score"))
+        at = scores.withColumnRenamed("node", "src").join(walk, "src", "left").join(lists, "qid")
+        step = F.struct(F.col("dst").alias("node"), (F.col("score") * F.col("w")).alias("m"))
+        stuck = F.transform("__seeds", lambda e: F.struct(e.node.alias("node"), (F.col("score") * e.s).alias("m")))
+        moved = at.select("qid", F.explode(F.when(F.col("dst").isNotNull(), F.array(step)).otherwise(stuck)).alias("x"))
+        flow = moved.select("qid", "x.node", ((1 - restart) * F.col("x.m")).alias("score"))
+        scores = flow.unionByName(base).groupBy("qid", "node").agg(F.sum("score").alias("score"))
         if n % cut_every == 0:
             scores = cut_lineage(scores)
     return scores

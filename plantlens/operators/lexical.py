@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import tokens
+from ..session import cut_lineage, small
 from .ordered import topk
 
 # Fixed values of the ranking formula.
@@ -24,93 +25,104 @@ STOP_WORDS = (
 ).split()
 
 
-def term_rows(df: DataFrame, id: str, part: str, terms: Column) -> DataFrame:
-    """One row per token occurrence."""
-    return df.select(F.col(part).alias("part"), F.col(id).alias("id"), F.explode(terms).alias("term"))
+def _keys(part: str | None) -> list[str]:
+    return ["part"] if part else []
 
 
-def document_lengths(docs: DataFrame, id: str, part: str, terms: Column) -> DataFrame:
-    return docs.select(F.col(part).alias("part"), F.col(id).alias("id"), F.size(terms).cast("bigint").alias("dl"))
+def _tokenised(df: DataFrame, part: str | None, **columns: Column) -> DataFrame:
+    held = [F.col(part).alias("part")] if part else []
+    return df.select(*held, *[c.alias(n) for n, c in columns.items()])
 
 
-def corpus_stats(docs: DataFrame, id: str, part: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Per part: document count and mean length; per (part, term): document frequency and idf.
+def corpus_stats(docs: DataFrame, id: str, part: str | None, text: str) -> tuple[DataFrame, DataFrame]:
+    """Per part (or for the whole corpus): document count and mean length; per term: document frequency and idf.
 
-    A negative idf becomes EPSILON times the mean idf over all terms, negatives included. Frequencies are
-    counted from the distinct tokens of each row, so the map side already combines frequent terms.
+    One pass over the texts: every document adds its distinct terms and one row without a term that carries its
+    length, so the map side combines both kinds. The result is stored once, as the statistics of an index are.
+    A negative idf becomes EPSILON times the mean idf over all terms, negatives included.
     """
-    toks = tokens(F.col(text))
-    totals = document_lengths(docs, id, part, toks).groupBy("part").agg(
-        F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")
-    )
-    df = term_rows(docs, id, part, F.array_distinct(toks)).groupBy("part", "term").agg(F.count("*").alias("df"))
-    raw = df.join(totals, "part").withColumn(
-        "raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    )
-    floor = raw.groupBy("part").agg((EPSILON * F.avg("raw_idf")).alias("floor_idf"))
-    terms = raw.join(floor, "part").select(
-        "part", "term", "df", F.when(F.col("raw_idf") < 0, F.col("floor_idf")).otherwise(F.col("raw_idf")).alias("idf")
-    )
-    return totals, terms
-
-
-def bm25_scores(queries: DataFrame, qid: str, qtext: str, docs: DataFrame, id: str, text: str, part: str) -> DataFrame:
-    """(part, qid, id, score) of every document sharing a term with a query of the same part.
+    keys = _keys(part)
+    toks = _tokenised(docs, part, tk=tokens(F.col(text)))
+    rows = toks.select(*keys, F.size("tk").cast("bigint").alias("dl"), F.array_append(F.array_distinct("tk"), F.lit(None)).alias("tk"))
+    rows = rows.select(*keys, "dl", F.explode_outer("tk").alias("term"))
+    stats = cut_lineage(rows.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("dl").alias("len")))
+    totals = stats.filter("term is null").select(*keys, F.col("df").alias("n_docs"), (F.col("len") / F.col("df")).alias("avgdl"))
+    df = _with_totals(stats.filter("term is not null").select(*keys, "term", "df"), totals, part)
+    raw = df.withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floors = raw.groupBy(*keys).agg((EPSILON * F.avg("raw_idf")).alias("floor_idf"))
+    raw = _with_totals(raw, floors, part)
+    idf = F.when(F.col("raw_idf") < 0, F.col("floor_idf")).otherwise(F.col("raw_idf"))
+    return totals, raw.select(*keys, "term", "df", idf.alias("idf"))
+
+
+def _with_totals(df: DataFrame, totals: DataFrame, part: str | None) -> DataFrame:
+    """Columns of a one-row-per-part table beside each row; for the whole corpus they are scalars."""
+    if part:
+        return df.join(totals, "part")
+    return df.withColumns({c: totals.select(c).scalar() for c in totals.columns})
+
+
+def bm25_scores(
+    queries: DataFrame, qid: str, qtext: str, docs: DataFrame, id: str, text: str, part: str | None = None
+) -> DataFrame:
+    """([part,] qid, id, score) of every document sharing a term with a query of the same part.
 
     Tokens outside the query vocabulary are dropped first; the rest is shuffled once by document, and
     counting, weighting and summing all happen inside that partitioning.
     """
+    keys = _keys(part)
     totals, idf = corpus_stats(docs, id, part, text)
-    wanted = (
-        queries.select(F.col(part).alias("part"), F.col(qid).alias("qid"), F.explode(tokens(F.col(qtext))).alias("term"))
-        .groupBy("part", "qid", "term")
-        .agg(F.count("*").alias("times"))
-        .join(idf, ["part", "term"])
-        .select("part", "qid", "term", (F.col("times") * F.col("idf")).alias("weight"))
-    )
-    vocabulary = wanted.select("part", "term").distinct()
-    toks = tokens(F.col(text))
-    counted = docs.select(
-        F.col(part).alias("part"), F.col(id).alias("id"), F.size(toks).cast("bigint").alias("dl"), toks.alias("tk")
-    )
-    held = counted.select("part", "id", "dl", F.explode("tk").alias("term")).join(vocabulary, ["part", "term"], "left_semi")
-    tf = held.repartition("part", "id").groupBy("part", "id", "term").agg(
-        F.count("*").alias("tf"), F.first("dl").alias("dl")
-    )
+    asked = _tokenised(queries, part, qid=F.col(qid), tk=tokens(F.col(qtext))).select(*keys, "qid", F.explode_outer("tk").alias("term"))
+    times = asked.filter("term is not null").groupBy(*keys, "qid", "term").agg(F.count("*").alias("times"))
+    weights = times.join(idf, [*keys, "term"]).select(*keys, "qid", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    wanted = cut_lineage(weights)
+    vocabulary = small(wanted.select(*keys, "term").distinct())
+    counted = _tokenised(docs, part, id=F.col(id), tk=tokens(F.col(text)))
+    counted = counted.select(*keys, "id", F.size("tk").cast("bigint").alias("dl"), "tk")
+    held = counted.select(*keys, "id", "dl", F.explode_outer("tk").alias("term")).join(vocabulary, [*keys, "term"], "left_semi")
+    tf = held.repartition(*keys, "id").groupBy(*keys, "id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     gain = F.col("weight") * (F.col("tf") * (K1 + 1) / norm)
     return (
-        tf.join(totals, "part")
-        .join(wanted, ["part", "term"])
-        .groupBy("part", "id", "qid")
+        _with_totals(tf, totals, part)
+        .join(small(wanted), [*keys, "term"])
+        .groupBy(*keys, "id", "qid")
         .agg(F.round(F.sum(gain), 6).alias("score"))
-        .select("part", "qid", "id", "score")
+        .select(*keys, "qid", "id", "score")
     )
 
 
 def bm25_topk(
-    queries: DataFrame, qid: str, qtext: str, docs: DataFrame, id: str, text: str, part: str, k: int, keep_zero: bool = True
+    queries: DataFrame,
+    qid: str,
+    qtext: str,
+    docs: DataFrame,
+    id: str,
+    text: str,
+    part: str | None,
+    k: int,
+    keep_zero: bool = True,
 ) -> DataFrame:
     """Best k documents per query. With ``keep_zero`` a query with fewer matches is filled up with the
     smallest ids that share no term, at score 0, as a full score vector would give them."""
+    keys = _keys(part)
     scores = bm25_scores(queries, qid, qtext, docs, id, text, part)
     best = [F.col("score").desc(), F.col("id").asc()]
     if not keep_zero:
-        return topk(scores.filter(F.col("score") > 0), ["part", "qid"], best, k, "bm25_rank")
-    held = topk(scores, ["part", "qid"], best, k, "__r").drop("__r")
-    # k + k smallest ids always hold enough documents outside the at most k - 1 matches of a short query.
-    first = topk(docs.select(F.col(part).alias("part"), F.col(id).alias("id")), ["part"], [F.col("id")], 2 * k, "__r")
-    asked = queries.select(F.col(part).alias("part"), F.col(qid).alias("qid")).distinct()
-    short = asked.join(held.groupBy("part", "qid").agg(F.count("*").alias("__n")), ["part", "qid"], "left").filter(
-        F.coalesce("__n", F.lit(0)) < k
-    )
-    zero = (
-        short.select("part", "qid")
-        .join(first.drop("__r"), "part")
-        .join(held.select("part", "qid", "id"), ["part", "qid", "id"], "left_anti")
-        .withColumn("score", F.lit(0.0))
-    )
-    return topk(held.unionByName(zero), ["part", "qid"], best, k, "bm25_rank")
+        return topk(scores.filter(F.col("score") > 0), [*keys, "qid"], best, k, "bm25_rank")
+    held = topk(scores, [*keys, "qid"], best, k, "__r").drop("__r")
+    # A query short of k matches leaves at most k - 1 of the 2k smallest ids taken, so k others are among them.
+    # Where a document is both held and filler, the sum keeps its own score.
+    ids = _tokenised(docs, part, id=F.col(id))
+    asked = _tokenised(queries, part, qid=F.col(qid)).distinct()
+    if part:
+        filler = asked.join(topk(ids, keys, [F.col("id")], 2 * k, "__r"), "part")
+    else:
+        first = ids.orderBy("id").limit(2 * k).agg(F.collect_list("id").alias("ids")).scalar()
+        filler = asked.select("qid", F.explode(first).alias("id"))
+    both = held.unionByName(filler.select(*keys, "qid", "id", F.lit(0.0).alias("score")))
+    whole = both.groupBy(*keys, "qid", "id").agg(F.sum("score").alias("score"))
+    return topk(whole, [*keys, "qid"], best, k, "bm25_rank")
 
 
 def word_terms(text: Column) -> Column:
@@ -125,7 +137,7 @@ def gram_terms(low: int = 2, high: int = 4) -> Callable[[Column], Column]:
 
     def terms(text: Column) -> Column:
         plain = F.regexp_replace(F.lower(text), r"\s+", " ")
-        return F.concat(*[char_ngrams(plain, n) for n in range(low, high + 1)])
+        return char_ngrams(plain, low, high)
 
     return terms
 
@@ -133,26 +145,29 @@ def gram_terms(low: int = 2, high: int = 4) -> Callable[[Column], Column]:
 def tfidf_scores(
     queries: DataFrame, qid: str, qtext: str, docs: DataFrame, id: str, text: str, terms: Callable[[Column], Column] = word_terms
 ) -> DataFrame:
-    """Cosine of sublinear tf times smoothed idf, for every document sharing a term with a query."""
-    rows = docs.select(F.col(id).alias("id"), F.explode(terms(F.col(text))).alias("term"))
-    tf = rows.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """Cosine of sublinear tf times smoothed idf, for every document sharing a term with a query.
+
+    The postings (id, term, tf) are counted and stored once; document frequencies, lengths and the products with
+    the queries are read from them.
+    """
+    tk = docs.select(F.col(id).alias("id"), terms(F.col(text)).alias("tk"))
+    rows = tk.select("id", F.explode_outer("tk").alias("term")).filter("term is not null")
+    tf = cut_lineage(rows.groupBy("id", "term").agg(F.count("*").alias("tf")))
     n = docs.agg(F.count("*").alias("n")).scalar()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    weight = (1 + F.log("tf")) * F.col("idf")
+    weighted = tf.join(idf, "term").withColumn("w", weight)
     length = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    asked = (
-        queries.select(F.col(qid).alias("qid"), F.explode(terms(F.col(qtext))).alias("term"))
-        .groupBy("qid", "term")
-        .agg(F.count("*").alias("tf"))
-        .join(idf, "term")
-        .select("qid", "term", ((1 + F.log("tf")) * F.col("idf")).alias("qw"))
-    )
+    qtk = queries.select(F.col(qid).alias("qid"), terms(F.col(qtext)).alias("tk")).select("qid", F.explode_outer("tk").alias("term"))
+    times = qtk.filter("term is not null").groupBy("qid", "term").agg(F.count("*").alias("tf"))
+    asked = cut_lineage(times.join(idf, "term").select("qid", "term", weight.alias("qw"), "idf"))
     qlen = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qlen"))
+    product = (1 + F.log("tf")) * F.col("idf") * F.col("qw")
     return (
-        weighted.join(asked, "term")
+        tf.join(small(asked), "term")
         .groupBy("qid", "id")
-        .agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+        .agg(F.sum(product).alias("dot"))
         .join(length, "id")
         .join(qlen, "qid")
         .select("qid", "id", F.round(F.col("dot") / (F.col("len") * F.col("qlen")), 6).alias("score"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import excerpt, match_text, term_pattern
+from ..session import small
 from .chunking import char_shingles, word_windows
 from .ordered import first_per_key, running_sum, topk
 
@@ -60,12 +61,12 @@ def evidence_page(candidates: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``candidates``: cid, doc, first, last, excerpt; ``pages``: doc, page, text.
     """
-    wanted = candidates.select("cid", "doc", "first", "last", F.explode(char_shingles(F.col("excerpt"))).alias("piece"))
-    held = pages.join(candidates.select("doc").distinct(), "doc", "left_semi").select(
-        "doc", "page", F.explode(char_shingles(F.col("text"))).alias("piece")
-    )
+    cut = candidates.select("cid", "doc", "first", "last", char_shingles(F.col("excerpt")).alias("__p"))
+    wanted = cut.select("cid", "doc", "first", "last", F.explode_outer("__p").alias("piece"))
+    near = pages.join(small(candidates.select("doc").distinct()), "doc", "left_semi")
+    held = near.select("doc", "page", char_shingles(F.col("text")).alias("__p")).select("doc", "page", F.explode_outer("__p").alias("piece"))
     overlap = (
-        held.join(wanted, ["doc", "piece"])
+        held.join(small(wanted), ["doc", "piece"])
         .filter(F.col("page").between(F.col("first"), F.col("last")))
         .groupBy("cid", "page")
         .agg(F.count("*").alias("overlap"))
@@ -92,9 +93,9 @@ def highlight(items: DataFrame, passages: DataFrame, width: int = 18) -> DataFra
     inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(words)
     windows = windows.select("pid", "window", F.array_join(inner, " ").alias("inner"), F.size(inner).alias("n"))
     sizes = [r[0] for r in windows.select("n").distinct().collect()]  # at most ``width`` values
-    runs = [_word_runs(F.split("page_text", " "), n) for n in sizes]
-    keys = pages.select("page", F.explode(F.array_distinct(F.concat(*runs))).alias("inner"))
-    near = keys.join(windows, "inner").select("page", "pid", "window").distinct().join(pages, "page")
+    runs = pages.select("page", _word_runs(F.col("page_text"), sizes).alias("__r"))
+    keys = runs.select("page", F.explode_outer("__r").alias("inner"))
+    near = keys.join(small(windows), "inner").select("page", "pid", "window").distinct().join(pages, "page")
     start = F.instr(F.col("page_text"), F.col("window"))
     hit = near.select("page", "pid", (start - 1).alias("s"), (start - 1 + F.length("window")).alias("e")).filter("s >= 0")
     with_end = running_sum(plain, ["page"], ["pos"], F.floor(F.col("pos") / 4096), F.length("t") + 1, "__end")
@@ -102,15 +103,18 @@ def highlight(items: DataFrame, passages: DataFrame, width: int = 18) -> DataFra
     return spans.join(hit, "page").filter((F.col("a") < F.col("e")) & (F.col("b") > F.col("s"))).select("pid", "page", "pos").distinct()
 
 
-def _word_runs(words: Column, n: int) -> Column:
-    from ..functions.text import let
+def _word_runs(texts: Column, sizes: Sequence[int]) -> Column:
+    """Distinct runs of n words, for each n asked for."""
+
+    @F.pandas_udf("array<string>")
+    def runs(bodies: pd.Series) -> pd.Series:
+        def cut(body: str) -> list[str]:
+            words = body.split(" ")
+            return list({" ".join(words[i:i + n]) for n in sizes for i in range(len(words) - n + 1)})
 
-    def runs(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(w) - n)
-        cut = F.transform(starts, lambda s: F.concat_ws(" ", *[F.get(w, s + i) for i in range(n)]))
-        return F.when(F.size(w) >= n, cut).otherwise(F.array().cast("array<string>"))
+        return bodies.map(cut)
 
-    return let(words, runs)
+    return runs(texts)
 
 
 def boost_code(scored: DataFrame, text: str, score: str, code: str, needs_alarm_word: bool = False) -> DataFrame:

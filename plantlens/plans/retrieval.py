@@ -40,7 +40,7 @@ def corpus_stats_e1(t):
 
 @query("bm25_topk_i1", f"WITH {BM_ALL} SELECT qid, id, score, bm25_rank FROM {top_sql('bm', 5, rank='bm25_rank')}")
 def bm25_topk_i1(t):
-    return lexical.bm25_topk(questions(t), "qid", "qtext", docs(t), "id", "text", "part", 5).select(
+    return lexical.bm25_topk(questions(t), "qid", "qtext", docs(t), "id", "text", None, 5).select(
         "qid", "id", "score", "bm25_rank"
     )
 
@@ -191,7 +191,7 @@ def case_search_i7(t):
     f"WITH {BM_ALL} SELECT qid, machine, id, score, rank FROM {top_sql(f'(SELECT bm.*, d.machine FROM bm JOIN {DOCS_SQL} d USING (id))', 3, 'qid, machine')}",
 )
 def pool_topk_g2(t):
-    scores = lexical.bm25_scores(questions(t), "qid", "qtext", docs(t), "id", "text", "part")
+    scores = lexical.bm25_scores(questions(t), "qid", "qtext", docs(t), "id", "text")
     pooled = scores.join(docs(t).select("id", "machine"), "id")
     zero = _zero_fill(t, pooled)
     return topk(zero, ["qid", "machine"], [F.col("score").desc(), F.col("id")], 3).select("qid", "machine", "id", "score", "rank")
@@ -450,7 +450,7 @@ def scoped_search_i17(t):
          {top_sql("(SELECT * FROM h WHERE trim(text) <> '' AND kind = 'texts' AND NOT starts_with(doc, 'Electrical') AND doc <> 'src3')", 3, 'qid', 'rank, id', 'evidence_no')}""",
 )
 def supporting_evidence_i19(t):
-    top = lexical.bm25_topk(questions(t), "qid", "qtext", docs(t), "id", "text", "part", 20)
+    top = lexical.bm25_topk(questions(t), "qid", "qtext", docs(t), "id", "text", None, 20)
     d = docs(t).select("id", "text", "doc")
     name = F.when(F.col("id") % 5 == 0, F.concat(F.lit("Electrical "), F.col("doc"))).otherwise(F.col("doc"))
     hits = top.join(d, "id").select(
@@ -470,7 +470,7 @@ def supporting_evidence_i19(t):
        FROM (SELECT *, instr(reverse(substr(c, 1, 700)), chr(10)) AS p FROM (SELECT *, trim(body) AS c FROM h)) WHERE c <> ''""",
 )
 def answer_sources_i20(t):
-    top = lexical.bm25_topk(questions(t), "qid", "qtext", docs(t), "id", "text", "part", 5)
+    top = lexical.bm25_topk(questions(t), "qid", "qtext", docs(t), "id", "text", None, 5)
     hits = top.join(docs(t).select("id", "text", "doc"), "id").select(
         "qid", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("corpus"), F.col("bm25_rank").alias("rank"),
         F.when(F.col("id") % 3 == 0, "table").otherwise("passage").alias("kind"), "text",

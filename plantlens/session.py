@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -30,6 +30,18 @@ def local_session(cores: str = "8", app: str = "plantlens") -> SparkSession:
     )
 
 
+WIDE_WORK = ("documents", "pages", "lineitem")  # tables whose rows carry most of the computing
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a scan that has fewer tasks than the cluster has cores (one small file, one row group).
+
+    A large table already has more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazy Parquet readers, one attribute per table."""
 
@@ -40,7 +52,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in WIDE_WORK else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,3 +82,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: survives the loss of an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting that the side has at most ``rows`` rows.
+
+    A larger side is returned without a hint: Spark then shuffles, and AQE splits the skewed keys.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
