@@ -104,10 +104,8 @@ def drawing_code(c: Column) -> Column:
 
 
 def signal_type(device: Column) -> Column:
-    out = F.lit("unknown")
-    for letter, kind in SIGNAL_TYPES.items():
-        out = F.when(device == letter, kind).otherwise(out)
-    return out
+    table = F.create_map(*[F.lit(x) for pair in SIGNAL_TYPES.items() for x in pair])
+    return F.coalesce(F.element_at(table, device), F.lit("unknown"))
 
 
 def term_pattern(terms: Sequence[str]) -> str:
