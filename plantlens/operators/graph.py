@@ -190,7 +190,7 @@ def ppr(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, restart:
 
     ``edges``: src, dst; ``seeds``: qid, node, weight. Only nodes with mass are stored.
     """
-    walk = cut_lineage(transitions(edges))
+    walk = small(cut_lineage(transitions(edges)))
     total = seeds.groupBy("qid").agg(F.sum("weight").alias("__t"))
     seed = cut_lineage(seeds.join(total, "qid").select("qid", "node", (F.col("weight") / F.col("__t")).alias("s")))
     # the few seeds of a query travel with its rows, so stuck mass goes back without a second pass

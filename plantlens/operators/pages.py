@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import excerpt, match_text, term_pattern
-from ..session import small
+from ..session import SMALL_ROWS, cut_lineage, small
 from .chunking import char_shingles, word_windows
-from .ordered import first_per_key, running_sum, topk
+from .ordered import first_per_key, neighbour, running_sum, topk
 
 PAGE_LIMIT = 6000  # fixed value: larger pages keep the original hit
 
@@ -77,40 +77,66 @@ def evidence_page(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     return single.filter("n = 1").select("cid", "page", "overlap")
 
 
-def highlight(items: DataFrame, passages: DataFrame, width: int = 18) -> DataFrame:
+def highlight(items: DataFrame, passages: DataFrame, width: int = 18, segment: int = 65536) -> DataFrame:
     """Page items touched by the first occurrence of a passage window on the page.
 
-    ``items``: page, pos, text; ``passages``: pid, text. The inner words of a window must stand on the page as
-    whole words, so pages are found by an equi join on them; the window itself is then located as plain text.
-    Windows of one or two words are matched on whole words only.
+    ``items``: page, pos, text; ``passages``: pid, text. A page is read in segments of about ``segment`` characters,
+    each with the last ``width`` words before it, so no page has to fit into one task. The inner words of a window
+    must stand on the page as whole words, so segments are found by an equi join on them; the window itself is then
+    located as plain text. Windows of one or two words are matched on whole words only.
     """
     plain = items.select("page", "pos", match_text(F.col("text")).alias("t")).filter(F.col("t") != "")
-    pages = plain.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("__i")).select(
-        "page", F.array_join(F.transform("__i", lambda i: i.t), " ").alias("page_text")
-    )
-    windows = passages.select("pid", F.explode(word_windows(F.col("text"), width)).alias("window"))
+    spans = running_sum(plain, ["page"], ["pos"], F.floor(F.col("pos") / 4096), F.length("t") + 1, "__end")
+    spans = cut_lineage(spans.select("page", "pos", "t", (F.col("__end") - F.length("t") - 1).alias("a"), (F.col("__end") - 1).alias("b")))
+    cell = lambda c: F.floor(c / segment)
+    bodies = _segments(spans.withColumn("seg", cell(F.col("a"))), width)
+
+    windows = passages.select("pid", word_windows(F.col("text"), width).alias("__w")).select("pid", F.explode_outer("__w").alias("window"))
     words = F.split("window", " ")
     inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(words)
-    windows = windows.select("pid", "window", F.array_join(inner, " ").alias("inner"), F.size(inner).alias("n"))
+    windows = windows.filter("window is not null").select("pid", "window", F.array_join(inner, " ").alias("inner"), F.size(inner).alias("n"))
     sizes = [r[0] for r in windows.select("n").distinct().collect()]  # at most ``width`` values
-    runs = pages.select("page", _word_runs(F.col("page_text"), sizes).alias("__r"))
-    keys = runs.select("page", F.explode_outer("__r").alias("inner"))
-    near = keys.join(small(windows), "inner").select("page", "pid", "window").distinct().join(pages, "page")
-    start = F.instr(F.col("page_text"), F.col("window"))
-    hit = near.select("page", "pid", (start - 1).alias("s"), (start - 1 + F.length("window")).alias("e")).filter("s >= 0")
-    with_end = running_sum(plain, ["page"], ["pos"], F.floor(F.col("pos") / 4096), F.length("t") + 1, "__end")
-    spans = with_end.select("page", "pos", (F.col("__end") - F.length("t") - 1).alias("a"), (F.col("__end") - 1).alias("b"))
-    return spans.join(hit, "page").filter((F.col("a") < F.col("e")) & (F.col("b") > F.col("s"))).select("pid", "page", "pos").distinct()
-
-
-def _word_runs(texts: Column, sizes: Sequence[int]) -> Column:
-    """Distinct runs of n words, for each n asked for."""
+    listed = [r[0] for r in windows.select("inner").distinct().limit(SMALL_ROWS + 1).collect()]
+    known = frozenset(listed) if len(listed) <= SMALL_ROWS else None
+
+    runs = bodies.select("page", "body", "offset", _word_runs(F.col("body"), sizes, known).alias("__r")).filter(F.size("__r") > 0)
+    near = runs.select("page", "body", "offset", F.explode("__r").alias("inner")).join(small(windows), "inner")
+    at = F.instr(F.col("body"), F.col("window"))
+    found = near.select("page", "pid", "window", (F.col("offset") + at - 1).alias("s"), at.alias("at")).filter("at > 0")
+    hit = found.groupBy("page", "pid", "window").agg(F.min("s").alias("s")).select("page", "pid", "s", (F.col("s") + F.length("window")).alias("e"))
+    over = hit.withColumn("cell", F.explode(F.sequence(cell(F.col("s")), cell(F.col("e")))))
+    held = spans.select("page", "pos", "a", "b", F.explode(F.sequence(cell(F.col("a")), cell(F.col("b")))).alias("cell"))
+    touched = held.join(over, ["page", "cell"]).filter((F.col("a") < F.col("e")) & (F.col("b") > F.col("s")))
+    return touched.select("pid", "page", "pos").distinct()
+
+
+def _segments(spans: DataFrame, width: int) -> DataFrame:
+    """Text of each segment behind the last ``width`` words of the text before it, with its place on the page."""
+    last = lambda words: F.slice(words, F.greatest(F.size(words) - width + 1, F.lit(1)), F.lit(width))
+    parts = spans.groupBy("page", "seg").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("__i"), F.min("a").alias("a"))
+    parts = parts.select("page", "seg", "a", F.array_join(F.transform("__i", lambda i: i.t), " ").alias("body"))
+    tails = parts.select("page", "seg", last(F.split("body", " ")).alias("__t"))
+    keys, order, bucket = ["page"], ["seg"], F.floor(F.col("seg") / 1024)
+    # a short segment stands between longer ones, so two steps back always reach ``width`` words
+    for name, source in (("__p", "__t"), ("__q", "__p")):
+        tails = neighbour(tails, keys, order, bucket, {name: F.col(source)})
+    none = F.array().cast("array<string>")
+    before = F.array_join(last(F.concat(F.coalesce("__q", none), F.coalesce("__p", none))), " ")
+    d = parts.join(tails.select("page", "seg", before.alias("__b")), ["page", "seg"])
+    full = F.when(F.col("__b") == "", F.col("body")).otherwise(F.concat_ws(" ", "__b", "body"))
+    lead = F.when(F.col("__b") == "", 0).otherwise(F.length("__b") + 1)
+    return d.select("page", full.alias("body"), (F.col("a") - lead).alias("offset"))
+
+
+def _word_runs(texts: Column, sizes: Sequence[int], known: frozenset | None) -> Column:
+    """Distinct runs of n words, for each n asked for; only the known ones when their set is small enough to send."""
 
     @F.pandas_udf("array<string>")
     def runs(bodies: pd.Series) -> pd.Series:
         def cut(body: str) -> list[str]:
             words = body.split(" ")
-            return list({" ".join(words[i:i + n]) for n in sizes for i in range(len(words) - n + 1)})
+            found = {" ".join(words[i:i + n]) for n in sizes for i in range(len(words) - n + 1)}
+            return list(found if known is None else found & known)
 
         return bodies.map(cut)
 

@@ -209,6 +209,34 @@ def test_evidence_page_needs_a_single_best(spark):
     assert values(pages.evidence_page(c, p)) == [(2, 3, 3)]
 
 
+@pytest.mark.parametrize("segment", [40, 90, 100000])
+def test_highlight_over_segments_equals_a_text_search(spark, segment):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(40)]
+    pages_ = {p: [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(40)] for p in range(4)}
+    passages = {i: " ".join(" ".join(pages_[i % 4]).split(" ")[10 * i + 3:10 * i + 3 + 5 + i]) for i in range(8)}
+    passages[8] = passages[0][1:-1]  # starts and ends inside a word
+    items = spark.createDataFrame([(p, i, x) for p, xs in pages_.items() for i, x in enumerate(xs)], "page int, pos int, text string")
+    asked = spark.createDataFrame(list(passages.items()), "pid int, text string")
+    want = set()
+    for p, xs in pages_.items():
+        body, spans = "", []
+        for i, x in enumerate(xs):
+            body += " " if body else ""
+            spans.append((i, len(body), len(body) + len(x)))
+            body += x
+        for pid, text in passages.items():
+            ws = text.split(" ")
+            n = min(6, len(ws))
+            starts = [0] if len(ws) <= 6 else [*range(0, len(ws) - n + 1, 6), len(ws) - n]
+            for s0 in starts:
+                w = " ".join(ws[s0:s0 + n])
+                at = body.find(w)
+                if at >= 0:
+                    want |= {(pid, p, i) for i, a, b in spans if a < at + len(w) and b > at}
+    assert set(values(pages.highlight(items, asked, 6, segment))) == want
+
+
 def test_item_coverage_prefers_the_excerpt_with_more_items(spark):
     body = "power off: alpha here." + " x" * 900 + " power off alpha and beta together"
     df = spark.createDataFrame([(1, body, 0.1), (2, "power off beta", 0.9), (3, "alpha without condition", 5.0)], "id int, t string, score double")
