@@ -99,8 +99,8 @@ def highlight(items: DataFrame, passages: DataFrame, width: int = 18, segment: i
     listed = [r[0] for r in windows.select("inner").distinct().limit(SMALL_ROWS + 1).collect()]
     known = frozenset(listed) if len(listed) <= SMALL_ROWS else None
 
-    runs = bodies.select("page", "body", "offset", _word_runs(F.col("body"), sizes, known).alias("__r")).filter(F.size("__r") > 0)
-    near = runs.select("page", "body", "offset", F.explode("__r").alias("inner")).join(small(windows), "inner")
+    runs = bodies.select("page", "body", "offset", _word_runs(F.col("body"), sizes, known).alias("__r"))
+    near = runs.select("page", "body", "offset", F.explode_outer("__r").alias("inner")).filter("inner is not null").join(small(windows), "inner")
     at = F.instr(F.col("body"), F.col("window"))
     found = near.select("page", "pid", "window", (F.col("offset") + at - 1).alias("s"), at.alias("at")).filter("at > 0")
     hit = found.groupBy("page", "pid", "window").agg(F.min("s").alias("s")).select("page", "pid", "s", (F.col("s") + F.length("window")).alias("e"))
