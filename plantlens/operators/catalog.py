@@ -126,14 +126,13 @@ def _inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
     Only the distinct lengths of the inner names are cut out; names are file names, so there are few.
     """
     lengths = [r[0] for r in inner.select(F.length("inner")).distinct().collect()]
-    parts = [
-        F.when(
-            F.length("outer") >= n,
-            F.transform(F.sequence(F.lit(1), F.length("outer") - n + 1), lambda i, n=n: F.substring(F.col("outer"), i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in lengths
-        if n
-    ]
+
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("outer") - n + 1)
+        cut = F.transform(starts, lambda i: F.substring(F.col("outer"), i, F.lit(n)))
+        return F.when(F.length("outer") >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    parts = [pieces(n) for n in lengths if n]
     cut = outer.select("outer", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("inner"))
     return cut.join(inner, "inner").select("inner", "outer")
 

@@ -48,7 +48,7 @@ def context_window_p5(t):
     return chat.last_slots(messages(t), 3).groupBy("session").agg(F.count("*").alias("n_messages"), F.min("pos").alias("from_pos"))
 
 
-SESSION_SQL = """(SELECT conv_id AS session, CASE WHEN conv_id % 3 = 0 THEN 'waff' ELSE 'yunam' END AS factory, conv_id % 25 AS machine_code, conv_id % 6 AS prompt_no,
+SESSION_SQL = """(SELECT conv_id AS session, CASE WHEN conv_id % 3 = 0 THEN 'plant_a' ELSE 'plant_b' END AS factory, conv_id % 25 AS machine_code, conv_id % 6 AS prompt_no,
     min(substr(text, 1, 40)) FILTER (WHERE turn = 0) AS title, CASE conv_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'user' || (conv_id % 4) END AS questioner, max(turn) AS updated_at FROM conversations GROUP BY conv_id)"""
 
 
@@ -57,19 +57,19 @@ def sessions(t):
     return t.conversations.groupBy("conv_id").agg(
         F.min(F.when(F.col("turn") == 0, F.substring("text", 1, 40))).alias("title"), F.max("turn").alias("updated_at")
     ).select(
-        c.alias("session"), F.when(c % 3 == 0, "waff").otherwise("yunam").alias("factory"), (c % 25).alias("machine_code"), (c % 6).alias("prompt_no"), "title",
+        c.alias("session"), F.when(c % 3 == 0, "plant_a").otherwise("plant_b").alias("factory"), (c % 25).alias("machine_code"), (c % 6).alias("prompt_no"), "title",
         F.when(c % 5 == 0, "").when(c % 5 != 1, F.concat(F.lit("user"), (c % 4).cast("string"))).alias("questioner"), "updated_at",
     )
 
 
 @query(
     "session_list_p1",
-    f"""SELECT session, updated_at, title, r_name AS prompt_name, n_name AS machine_name FROM {SESSION_SQL} LEFT JOIN region ON r_regionkey = prompt_no LEFT JOIN nation ON n_nationkey = machine_code WHERE factory = 'waff'""",
+    f"""SELECT session, updated_at, title, r_name AS prompt_name, n_name AS machine_name FROM {SESSION_SQL} LEFT JOIN region ON r_regionkey = prompt_no LEFT JOIN nation ON n_nationkey = machine_code WHERE factory = 'plant_a'""",
 )
 def session_list_p1(t):
     prompts = t.region.select(F.col("r_regionkey").cast("bigint").alias("prompt_no"), F.col("r_name").alias("prompt_name"))
     names = t.nation.select(F.col("n_nationkey").cast("bigint").alias("machine_code"), F.col("n_name").alias("machine_name"))
-    return chat.session_list(sessions(t), prompts, names, "waff", "ALL").select("session", "updated_at", "title", "prompt_name", "machine_name")
+    return chat.session_list(sessions(t), prompts, names, "plant_a", "ALL").select("session", "updated_at", "title", "prompt_name", "machine_name")
 
 
 @query(

@@ -103,7 +103,7 @@ SHEET_SQL = """(SELECT o_orderpriority AS sheet, 3 + o_orderkey AS r, CASE WHEN
 
 @query(
     "repair_cases_a6",
-    f"""SELECT 'xls:book:' || sheet || ':' || (r + 1) AS id, md5('출처: waff 공장 수리 이력 / ' || sheet || ' 시트 / ' || (r + 1) || '행' || chr(10) || '장비: ' || sheet || chr(10) || '발생일자(원본): ' || d || chr(10)
+    f"""SELECT 'xls:book:' || sheet || ':' || (r + 1) AS id, md5('출처: plant_a 공장 수리 이력 / ' || sheet || ' 시트 / ' || (r + 1) || '행' || chr(10) || '장비: ' || sheet || chr(10) || '발생일자(원본): ' || d || chr(10)
           || '결함개소: ' || f(s) || chr(10) || '발생내용: ' || f(s) || chr(10) || '조치내용: ' || f(a) || chr(10) || '조치일(원본): 기록 없음' || chr(10) || '미가동시간: 기록 없음' || chr(10) || '수리비용: 기록 없음') AS document, r + 1 AS source_row
         FROM {SHEET_SQL} WHERE (s <> '' OR a <> '') AND no <> '계'""".replace("f(s)", "CASE WHEN s = '' THEN '기록 없음' ELSE s END").replace("f(a)", "CASE WHEN a = '' THEN '기록 없음' ELSE a END"),
 )
@@ -121,7 +121,7 @@ def repair_cases_a6(t):
     ).select("sheet", "row", "x.*")
     merged = F.col("col") == 2
     cells = body.unionByName(head).withColumn("merged_row", F.when(merged & (F.col("row") > 2), F.col("row"))).withColumn("merged_col", F.when(merged & (F.col("row") > 2), 3))
-    return readers.repair_cases(cells, "waff", "book").select("id", F.md5("document").alias("document"), "source_row")
+    return readers.repair_cases(cells, "plant_a", "book").select("id", F.md5("document").alias("document"), "source_row")
 
 
 def notes(t):
@@ -160,7 +160,7 @@ def read_view_a10(t):
 @query("store_a12", "SELECT doc_id, lang AS machine_code, md5(text) AS body FROM documents")
 def store_a12(t):
     path = fresh_path(t.spark, "store")
-    sinks.write_store(t.documents.select("doc_id", "text", F.lit("waff").alias("site_id"), F.col("lang").alias("machine_code")), path)
+    sinks.write_store(t.documents.select("doc_id", "text", F.lit("plant_a").alias("site_id"), F.col("lang").alias("machine_code")), path)
     return sinks.read_store(t.spark, path).select("doc_id", "machine_code", F.md5("text").alias("body"))
 
 

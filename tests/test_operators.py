@@ -300,6 +300,16 @@ def test_unknown_filter_operator_is_refused(spark):
         where_filter(df, {"a": {"$gt": 0}})
 
 
+def test_resolve_documents_by_containment(spark):
+    from plantlens.operators.catalog import resolve_documents
+
+    docs = spark.createDataFrame([("guide m1",), ("m10",), ("pump",), ("m1 manual extra",)], "doc_key string")
+    registry = spark.createDataFrame([("m1", "A"), ("m10", "B"), ("m1 manual extra long", "C")], "doc_key string, machine string")
+    assert values(resolve_documents(docs, registry, "doc_key", "machine")) == [
+        ("guide m1", "A"), ("m1 manual extra", "A"), ("m1 manual extra", "C"), ("m10", "B"),
+    ]
+
+
 def test_verify_quotes_collapses_space(spark):
     claims = spark.createDataFrame([(1, "s", "a  b"), (2, "s", "c"), (3, "none", "a"), (4, "s", " ")], "claim int, source string, quote string")
     sources = spark.createDataFrame([("s", "x a\nb y")], "source string, text string")
