@@ -70,10 +70,17 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The column ``text``, or the field of that name of the column ``row``."""
+    if "text" in batch.schema.names:
+        return batch.column(batch.schema.get_field_index("text"))
+    return pc.struct_field(batch.column(batch.schema.get_field_index("row")), "text")
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose text has at most ``most`` bytes, or a single row beyond that."""
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(text_of(batch)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(size.astype(np.int64))
         at = 0
         while at < batch.num_rows:
