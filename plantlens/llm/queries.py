@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import cuckoo, winnow
+from . import cuckoo, superkmer, winnow
 from .registry import query
 
 OP9_SQL = r"""
@@ -47,3 +47,23 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 @query("op10_decontaminate", OP10_SQL)
 def decontaminate(read):
     return winnow.contamination(read("documents"), read("benchmark"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), s AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) < doc_id AS dup FROM p
+), k AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM s WHERE dup
+), x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d
+), y AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY x.k) FILTER (k.k IS NULL) AS kept, count(k.k) AS gone
+  FROM x LEFT JOIN k USING (doc_id, k) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)
+"""
+
+
+@query("op4_substring_dedup", OP4_SQL)
+def substring_dedup(read):
+    found = superkmer.remove_repeats(read("documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

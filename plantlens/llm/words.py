@@ -144,6 +144,14 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def run_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the runs values[start:end]."""
+    POWERS.reach(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * POWERS.up[: len(values)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * POWERS.down[start] + (end - start).astype(np.uint64))
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Position of the leftmost minimum of each run of ``width`` values."""
     m = len(values) - width + 1
