@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import functions as F
 
-from . import cuckoo, superkmer, winnow
+from . import cuckoo, packing, simple8b, superkmer, winnow
 from .registry import query
 
+def tokenizer_file(name: str) -> str:
+    return import_module("public_tokenizers").path(name)
+
+
+@query("op1_pack")
+def pack(read):
+    return packing.pack(read("documents"), tokenizer_file("byte_bpe_50k.json")).drop("ids")
+
+
+@query("op3_token_files")
+def token_files(read):
+    return simple8b.round_trip(read("documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
