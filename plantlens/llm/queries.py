@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
-from . import cuckoo, packing, simple8b, superkmer, winnow
+from . import cuckoo, jaccard, packing, simple8b, superkmer, winnow
 from .registry import query
 
 def tokenizer_file(name: str) -> str:
@@ -83,3 +83,26 @@ SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256
 def substring_dedup(read):
     found = superkmer.remove_repeats(read("documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 3], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), two AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, two.b FROM r JOIN two ON r.b = two.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)
+"""
+
+
+@query("op8_jaccard_join", OP8_SQL)
+def jaccard_join(read):
+    return jaccard.near_duplicates(read("documents"))
