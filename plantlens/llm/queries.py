@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
-from . import cuckoo, jaccard, packing, simple8b, superkmer, winnow
+from . import chatformat, cuckoo, jaccard, packing, sharding, simple8b, superkmer, winnow
 from .registry import query
 
 def tokenizer_file(name: str) -> str:
@@ -106,3 +106,42 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM r G
 @query("op8_jaccard_join", OP8_SQL)
 def jaccard_join(read):
     return jaccard.near_duplicates(read("documents"))
+
+
+OP2_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), s AS (
+  SELECT *, contains(role || '|' || text, '###') OR contains(role || '|' || text, '</turn>') OR contains(role, chr(10)) AS coded FROM c
+), f AS (
+  SELECT *, 13 + CASE WHEN coded
+    THEN length(replace(replace(replace(replace(role, '\', '\\'), '#', '\h'), '<', '\l'), chr(10), '\n')) + length(replace(replace(replace(text, '\', '\\'), '#', '\h'), '<', '\l'))
+    ELSE length(role) + length(text) END AS size
+  FROM s
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+@query("op2_chat_format", OP2_SQL)
+def chat_format(read):
+    turns = read("conversations").select("conv_id", "turn", "role", "text")
+    two = turns.sparkSession.range(2)
+    hard = two.select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    return chatformat.read_back(chatformat.format_chats(turns.unionByName(hard)))
+
+
+@query("op7_shard")
+def shard(read):
+    found = sharding.place(read("documents"))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
