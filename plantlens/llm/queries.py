@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
-from . import chatformat, cuckoo, jaccard, packing, sharding, simple8b, superkmer, winnow
+from . import chatformat, cuckoo, jaccard, langid, licenses, packing, sharding, simple8b, superkmer, winnow
 from .registry import query
 
 def tokenizer_file(name: str) -> str:
@@ -145,3 +145,20 @@ def shard(read):
     found = sharding.place(read("documents"))
     return found.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_license_scan")
+def license_scan(read):
+    found = licenses.scan(read("documents"))
+    return found.select(
+        "doc_id", "n_words", F.size("found").cast("bigint").alias("n_found"), F.array_join(F.transform("found", lambda f: f["license"]), ",").alias("licenses"),
+        F.array_max(F.transform("found", lambda f: f["coverage"])).alias("best_coverage"),
+        F.array_join(F.transform("found", lambda f: F.concat_ws("-", f["start"], f["end"])), ",").alias("ranges"),
+    )
+
+
+@query("op6_language_id")
+def language_id(read):
+    docs = read("documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("row.doc_id", "held_out", "lang_pred", "score")
