@@ -122,9 +122,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest) of every row."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest_of(F.col("text")).alias("digest"))
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,3 +208,10 @@ def dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     joined = rows.join(index, "digest")
     keep = F.when(F.col("keep_id") != NEVER, F.col("keep_id"))
     return joined.select("doc_id", "digest", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"))
+
+
+def first_of_equal(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    gone = dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    same = (digest_of(docs["text"]) == gone["_digest"]) & docs["doc_id"].cast("bigint").eqNullSafe(gone["_id"])
+    return docs.join(gone, same, "left_anti")
