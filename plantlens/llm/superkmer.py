@@ -27,15 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..session import fresh_path
 from .words import GRAM, PLAIN, Words, flat, gather, mix, run_hash, sliding_min, text_of
 
 SPAN = 13
 MINI = 3
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 64 << 20
 NEVER = (1 << 63) - 1
-ROW = pa.schema([("place", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
-ROWS = "place bigint, kind int, chunk bigint, body binary"
+ROW = pa.schema([("place", pa.int64()), ("chunk", pa.int64()), ("body", pa.binary())])
+ROWS = "place bigint, chunk bigint, body binary"
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -45,7 +45,7 @@ def pack(**arrays: np.ndarray) -> bytes:
     batch = pa.record_batch(list(columns.values()), names=list(columns))
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+    return zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
 
 
 def unpack(body: bytes) -> dict[str, bytes]:
@@ -104,7 +104,7 @@ class SuperKmers:
 
 
 def _send(buckets: int):
-    """Super-k-mers (kind 1 rows to their buckets) of the chunks of this task."""
+    """Super-k-mers of the chunks of this task, addressed to buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in _opened(batches):
@@ -129,8 +129,11 @@ def _send(buckets: int):
                 last = kmers.end[kmers.sample[mine]]
                 text, offsets = gather(words.data, words.start[first], words.end[last - 1])
                 places.append(int(bucket[mine[0]]))
-                bodies.append(pack(text=text, size=np.diff(offsets).astype(np.int32), name=mine.astype(np.int32), low=low[mine], high=high[mine], mini=mini[mine]))
-            yield pa.record_batch([places, [1] * len(places), [number] * len(places), bodies], schema=ROW)
+                bodies.append(pack(
+                    text=text, size=np.diff(offsets).astype(np.int32), name=np.diff(mine, prepend=0).astype(np.int32),
+                    low=low[mine], more=high[mine] - low[mine], mini=mini[mine].astype(np.uint32),
+                ))
+            yield pa.record_batch([places, [number] * len(places), bodies], schema=ROW)
 
     return run
 
@@ -144,8 +147,10 @@ def answers_of(parts: list[tuple[int, dict[str, bytes]]]) -> Iterator[tuple[int,
     """(chunk, answer) of one bucket: super-k-mer name, window inside it, smallest document id, where that may remove something."""
     size = [np.frombuffer(p["size"], np.int32) for _, p in parts]
     chunk = np.repeat([c for c, _ in parts], [len(s) for s in size])
-    name, low, high, mini = (np.concatenate([np.frombuffer(p[k], t) for _, p in parts]) for k, t in (("name", np.int32), ("low", np.int64), ("high", np.int64), ("mini", np.uint64)))
-    # a minimiser that one document alone sent has no shared window
+    name = np.concatenate([np.cumsum(np.frombuffer(p["name"], np.int32), dtype=np.int64) for _, p in parts])
+    low, high, mini = (np.concatenate([np.frombuffer(p[k], t) for _, p in parts]) for k, t in (("low", np.int64), ("more", np.int64), ("mini", np.uint32)))
+    high = low + high
+    # a minimiser (its low half) that one document alone sent has no shared window
     order = np.argsort(mini, kind="stable")
     cut = np.flatnonzero(np.append(True, mini[order][1:] != mini[order][:-1]))
     least, most = np.minimum.reduceat(low[order], cut), np.maximum.reduceat(high[order], cut)
@@ -176,21 +181,21 @@ def answers_of(parts: list[tuple[int, dict[str, bytes]]]) -> Iterator[tuple[int,
     to = chunk[owner]
     cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
     for a, b in zip(cut, np.append(cut[1:], len(to))):
-        yield int(to[a]), pack(name=name[owner[a:b]], window=(spot[a:b] - words.first[owner[a:b]]).astype(np.int32), least=least[a:b])
+        yield int(to[a]), pack(name=name[owner[a:b]].astype(np.int32), window=(spot[a:b] - words.first[owner[a:b]]).astype(np.int32), least=least[a:b])
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: answers (kind 1) of each bucket, addressed to chunks."""
+    """Rows sorted by bucket: answers of each bucket, addressed to chunks."""
     for parts in _groups(batches):
-        for to, body in answers_of([(c, unpack(b)) for _, c, b in parts]):
-            yield pa.record_batch([[to], [1], [to], [body]], schema=ROW)
+        for to, body in answers_of([(chunk, unpack(body)) for chunk, body in parts]):
+            yield pa.record_batch([[to], [to], [body]], schema=ROW)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(kind, chunk, body) of each place, rows sorted by place."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
+    """(chunk, body) of each place, rows sorted by place."""
     held, at = [], None
     for batch in batches:
-        for place, *rest in zip(*(batch.column(c).to_pylist() for c in ("place", "kind", "chunk", "body"))):
+        for place, *rest in zip(*(batch.column(c).to_pylist() for c in ("place", "chunk", "body"))):
             if place != at and held:
                 yield held
                 held = []
@@ -201,14 +206,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int,
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each chunk (kind 0), compressed."""
+    """The rows of each chunk, compressed."""
     task = TaskContext.get().partitionId()
     for number, batch in enumerate(chunks(batches)):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema) as out:
             out.write_batch(batch)
         at = task << 32 | number
-        yield pa.record_batch([[at], [0], [at], [zstandard.ZstdCompressor(level=3).compress(sink.getvalue())]], schema=ROW)
+        yield pa.record_batch([[at], [at], [zstandard.ZstdCompressor(level=3).compress(sink.getvalue())]], schema=ROW)
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -247,10 +252,9 @@ def _removed(batch: pa.RecordBatch, bodies: list[bytes]) -> tuple[Words, np.ndar
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks with their answers: row, n_words, n_removed, kept text."""
-    for parts in _groups(batches):
-        body = [b for kind, _, b in parts if kind == 0]
-        batch = _rows(body[0])
-        words, gone = _removed(batch, [b for kind, _, b in parts if kind == 1])
+    for body, answers in ((b.as_py(), a.as_py()) for batch in batches for b, a in zip(batch.column("body"), batch.column("answers"))):
+        batch = _rows(body)
+        words, gone = _removed(batch, answers or [])
         doc = words.doc()
         stay = np.flatnonzero(~gone)
         raw, spans = gather(words.data, words.start[stay], words.end[stay])
@@ -271,16 +275,19 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``row`` (all columns of a document), n_words, n_removed and ``kept``, the words that stay joined by one space.
 
-    The chunks are written to the shared folder first, so both passes over them see the same rows whatever happens to an executor.
+    ``docs`` should be a stored table: chunks are numbered by task and place in it, and a task that runs again must see its rows again.
+    Both uses of the chunks share one exchange.
     """
-    spark = docs.sparkSession
-    path = fresh_path(spark, "chunks")
-    docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(_texts, ROWS).write.option("compression", "none").parquet(path)
-    texts = spark.read.parquet(path)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # several small ones a task
+    conf = docs.sparkSession.conf
+    texts = docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(_texts, ROWS).repartition("place")
+    size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    total = docs.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    # super-k-mers hold each word about three times
+    buckets = max(2 * int(conf.get("spark.sql.shuffle.partitions")), 3 * total // BUCKET_BYTES)
     sent = texts.mapInArrow(_send(buckets), ROWS)
     judged = sent.repartition("place").sortWithinPartitions("place").mapInArrow(_judge, ROWS)
-    met = texts.unionByName(judged).repartition("place").sortWithinPartitions("place", "kind")
+    answers = judged.groupBy("place").agg(F.collect_list("body").alias("answers"))
+    met = texts.join(answers, "place", "left").select("body", "answers")
     schema = StructType([
         StructField("row", docs.schema), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType()),
     ])
