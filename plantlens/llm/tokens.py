@@ -1,74 +1,108 @@
 """Token ids of whole texts with a public tokenizer file, with a bounded cache of the ids of single words.
 
-A text is cut before white space that follows other characters; each piece is encoded by the tokenizer itself and pieces seen before
-come from the cache. The cut changes no ids for tokenizers that split words at white space: ``LEADING`` for those that count one
-leading space to a word, ``BARE`` for those that drop white space. Texts with control characters, or white space other than
-space, tab and line ends, are encoded whole.
+A text is cut before white space that follows other characters; pieces seen before come from the cache. A new piece of plain Latin
+letters, digits and marks is split as the tokenizer's splitter does and each word goes to the tokenizer's model; any other piece goes to the whole
+tokenizer. The cut changes no ids for tokenizers that split words at white space: ``LEADING`` for those that count one leading
+space to a word, ``BARE`` for those that drop white space. Texts with control characters, or white space other than space, tab and
+line ends, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import struct
+from typing import NamedTuple
 
-LEADING = r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+"
-BARE = r"[^ \t\r\n]+"
-CACHE_WORDS = 300_000
+
+class Style(NamedTuple):
+    """How a tokenizer splits: ``pieces`` of a text, and the ``words`` of a piece of plain letters, digits and marks."""
+
+    pieces: str
+    words: str
+    lower: bool
+
+
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+SHORT = "'(?:s|t|re|ve|m|ll|d)"
+LEADING = Style(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+", rf"{SHORT}| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+", False)
+BARE = Style(r"[^ \t\r\n]+", rf"{SHORT}|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+", True)
+_PLAIN = re.compile(rf"[ \t\r\n!-;=-~{LETTERS}]+")  # without <, which opens the tokenizers' special strings
+CACHE_WORDS = 500_000
 ODD_RANGES = (  # control and format characters, and white space beyond space, tab and line ends
     (0x00, 0x08), (0x0B, 0x0C), (0x0E, 0x1F), (0x7F, 0xA0), (0xAD, 0xAD), (0x1680, 0x1680), (0x180E, 0x180E),
     (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x3000, 0x3000), (0xFEFF, 0xFEFF),
 )
 _ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD_RANGES) + "]")
-_ENCODERS: dict[tuple[str, str], "Encoder"] = {}
+_ENCODERS: dict[tuple[str, Style], "Encoder"] = {}
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies use for each byte: itself, or the next free one above 255."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes; two cache generations keep at most 2 x CACHE_WORDS words."""
 
-    def __init__(self, path: str, pieces: str):
+    def __init__(self, path: str, style: Style):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = re.compile(pieces)
+        self.model = self.tokenizer.model
+        self.lower = style.lower
+        self.pieces, self.split = re.compile(style.pieces).findall, re.compile(style.words).findall
+        self.letters = byte_letters()
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+    def whole(self, text: str) -> bytes:
+        """By the whole tokenizer."""
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return b"".join([self.id_bytes[i] for i in ids])
 
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        cut = [None if not t else [t] if _ODD.search(t) else self.pieces.findall(t) for t in texts]
-        whole = {i: c[0] for i, c in enumerate(cut) if c and len(c) == 1}
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._encode(list(whole.values()))):
-            out[i] = ids
-        for i, words in enumerate(cut):
-            if words and i not in whole:
-                out[i] = self._words(words)
-        return out
-
-    def _words(self, words: list[str]) -> bytes:
-        parts = list(map(self.young.get, words))
+    def _word(self, word: str) -> bytes:
+        """By the tokenizer's model alone: the word is one unit of its splitter."""
+        name = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(name)])
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None and _PLAIN.fullmatch(piece):
+            parts = []
+            for word in self.split(piece.lower() if self.lower else piece):
+                ids = self.young.get(word) or self.old.get(word)
+                if ids is None:
+                    ids = self.young[word] = self._word(word)
+                parts.append(ids)
+            found = b"".join(parts)
+        elif found is None:
+            found = self.whole(piece)
+        self.young[piece] = found
+        return found
+
+    def text(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if _ODD.search(text):
+            return self.whole(text)
+        pieces = self.pieces(text)
+        parts = list(map(self.young.get, pieces))
         if None in parts:
-            missing = list({w for w, p in zip(words, parts) if p is None})
-            unseen = []
-            for word in missing:
-                if word in self.old:
-                    self.young[word] = self.old[word]
-                else:
-                    unseen.append(word)
-            self.young.update(zip(unseen, self._encode(unseen)))
-            parts = list(map(self.young.get, words))
+            parts = [self._piece(p) if ids is None else ids for p, ids in zip(pieces, parts)]
             if len(self.young) > CACHE_WORDS:
                 self.old, self.young = self.young, {}
         return b"".join(parts)
 
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        return [self.text(t) for t in texts]
+
 
-def encoder(path: str, pieces: str) -> Encoder:
+def encoder(path: str, style: Style) -> Encoder:
     """One encoder for each worker process."""
-    if (path, pieces) not in _ENCODERS:
-        _ENCODERS[path, pieces] = Encoder(path, pieces)
-    return _ENCODERS[path, pieces]
+    if (path, style) not in _ENCODERS:
+        _ENCODERS[path, style] = Encoder(path, style)
+    return _ENCODERS[path, style]
