@@ -58,13 +58,15 @@ def encode(values: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarr
     jump = np.ones(n, np.uint8)
     most = {1: bits}
     for width in (2, 4, 8, 16, 32):
-        half = most[width // 2]
+        half, keep = most[width // 2], max(0, n - width // 2)
         most[width] = half.copy()
-        np.maximum(half[: n - width // 2], half[width // 2 :], out=most[width][: max(0, n - width // 2)])
+        np.maximum(half[:keep], half[n - keep :], out=most[width][:keep])
     for number in range(len(PACKINGS), 0, -1):
         count, width = PACKINGS[number - 1]
+        if count > n:
+            continue
         power = 1 << (count.bit_length() - 1)
-        tops = most[power][: max(0, n - count + 1)]
+        tops = most[power][: n - count + 1]
         if count > power:
             tops = np.maximum(tops, most[power][count - power : n - power + 1])
         fits = np.flatnonzero((tops <= width) & (remaining[: len(tops)] >= count))
