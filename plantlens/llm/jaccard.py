@@ -36,6 +36,7 @@ THRESHOLD = 85  # percent
 REGION_TOKENS = 4_000_000  # shingles of a region that one task joins
 BUCKET_WORDS = 8 << 20
 PIVOTS = 16
+NUMBER_BITS = 28  # of a shingle inside its bucket
 DOCS = "doc_id bigint, n_shingles bigint, key binary, members binary, prefix array<bigint>"
 
 
@@ -73,7 +74,17 @@ class Sets:
 
 def _address(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, number inside it); two shingles with one address only make a count too large."""
-    return (tokens >> np.uint64(33)) % np.uint64(buckets), (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return (tokens >> np.uint64(33)) % np.uint64(buckets), tokens & np.uint64((1 << NUMBER_BITS) - 1)
+
+
+def planes(rising: np.ndarray) -> bytes:
+    """Rising numbers as the bytes of their gaps, lowest bytes first."""
+    return np.diff(rising.astype(np.uint32), prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(body: bytes) -> np.ndarray:
+    gaps = np.frombuffer(body, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.cumsum(gaps, dtype=np.uint32)
 
 
 def _send(buckets: int, shingle: int):
@@ -84,9 +95,10 @@ def _send(buckets: int, shingle: int):
             sets = Sets(batch, shingle)
             bucket, token = _address(sets.tokens[sets.led], buckets)
             both, count = np.unique(bucket << np.uint64(32) | token, return_counts=True)
+            count = count.astype(np.uint32)
             cut = np.searchsorted(both >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
             places = np.flatnonzero(np.diff(cut)).tolist()
-            bodies = [pack(token=(both[cut[b] : cut[b + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), count=count[cut[b] : cut[b + 1]].astype(np.uint32)) for b in places]
+            bodies = [pack(token=planes(both[a:b]), count=count[a:b]) for a, b in zip(cut[places], cut[np.array(places, int) + 1])]
             yield pa.record_batch([places, [number] * len(places), bodies], schema=ROW)
 
     return run
@@ -95,8 +107,9 @@ def _send(buckets: int, shingle: int):
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each chunk, those of its shingles in a bucket that two or more sets hold, and how many do."""
     for place, parts in _placed(batches):
-        tokens = [np.frombuffer(unpack(b)["token"], np.uint32) for _, b in parts]
-        counts = np.concatenate([np.frombuffer(unpack(b)["count"], np.uint32) for _, b in parts])
+        known = [unpack(b) for _, b in parts]
+        tokens = [unplaned(k["token"]) for k in known]
+        counts = np.concatenate([np.frombuffer(k["count"], np.uint32) for k in known])
         chunk = np.repeat(np.arange(len(parts)), [len(t) for t in tokens])
         token = np.concatenate(tokens)
         order = np.argsort(token, kind="stable")
@@ -108,8 +121,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = slice(*np.searchsorted(chunk, [i, i + 1]))
             some = held[mine] > 1
             if some.any():
-                full = np.uint64(place) << np.uint64(32) | token[mine][some].astype(np.uint64)
-                body = pack(token=full, count=np.minimum(held[mine][some], 0xFFFFFFFF).astype(np.uint32))
+                count = np.minimum(held[mine][some], 0xFFFFFFFF).astype(np.uint32)
+                body = pack(place=np.array([place]), token=planes(token[mine][some]), count=count)
                 yield pa.record_batch([[to], [to], [body]], schema=ROW)
 
 
@@ -145,7 +158,8 @@ def _choose(buckets: int, shingle: int, threshold: int):
         bucket, token = _address(sets.tokens, buckets)
         full = bucket << np.uint64(32) | token
         known = [unpack(a) for a in answers]
-        name = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k["token"], np.uint64) for k in known)])
+        place = [np.frombuffer(k["place"], np.uint64) << np.uint64(32) for k in known]
+        name = np.concatenate([np.zeros(0, np.uint64), *(p | unplaned(k["token"]) for p, k in zip(place, known))])
         count = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(k["count"], np.uint32) for k in known)])
         order = np.argsort(name)
         name, count = name[order], count[order]
@@ -268,39 +282,40 @@ def _cells(pivots, threshold: int):
     return run
 
 
-def region_links(regions: DataFrame, threshold: int, most: int = REGION_TOKENS, parent: int | None = None) -> DataFrame:
-    """Links (a, b) of the rows (region, key, members); ``parent``: sets in the regions that these were cut from."""
-    spark = regions.sparkSession
-    size = regions.groupBy("region").agg(F.sum(F.octet_length("members") / 8).alias("tokens"), F.count(F.lit(1)).alias("sets"))
-    regions = stored(regions.join(size, "region"), "regions")
-    whole = regions.where(F.col("tokens") <= most).withColumn("side", F.lit(None).cast("int"))
-    crowded = regions.where(F.col("tokens") > most)
-    names = crowded.groupBy("region").agg(F.first("tokens").alias("tokens"), F.first("sets").alias("sets")).collect()  # at most all shingles / most
-    found = _solve(whole, threshold)
-    fresh = [r for r in names if parent is None or r.sets < 0.7 * parent]
-    stuck = [r for r in names if r not in fresh]
-    for r in stuck:  # every pair of blocks of one region; a block holds half of what a task joins
+def region_links(regions: DataFrame, sizes: DataFrame, threshold: int, most: int = REGION_TOKENS, parent: int | None = None) -> DataFrame:
+    """Links (a, b) of the rows (region, key, members). ``sizes``: tokens and sets of each region; ``parent``: sets in the regions
+    that these were cut from."""
+    crowded = sizes.where(F.col("tokens") > most).select("region", "tokens", "sets").collect()  # at most all shingles / most
+    none = F.lit(None).cast("int")
+    if not crowded:
+        return _solve(regions.withColumn("side", none), threshold)
+    names = [r.region for r in crowded]
+    found = _solve(regions.where(~F.col("region").isin(names)).withColumn("side", none), threshold)
+    crowd = stored(regions.where(F.col("region").isin(names)), "crowded")
+    fresh = [r for r in crowded if parent is None or r.sets < 0.7 * parent]
+    for r in (r for r in crowded if r not in fresh):  # every pair of blocks of one region; a block holds half of what a task joins
         blocks = int(-(-r.tokens * 2 // most))
-        mine = crowded.where(F.col("region") == r.region).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+        mine = crowd.where(F.col("region") == r.region).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
         pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(j, "block").alias("i"), F.greatest(j, "block").alias("j")))
         met = mine.withColumn("p", F.explode(pairs)).withColumn("region", F.concat_ws(".", "region", "p.i", "p.j"))
         side = F.when(F.col("p.i") != F.col("p.j"), (F.col("block") == F.col("p.j")).cast("int"))
         found = found.unionByName(_solve(met.withColumn("side", side), threshold))
-    if fresh:
-        mine = crowded.where(F.col("region").isin([r.region for r in fresh]))
-        place = Window.partitionBy("region").orderBy(F.xxhash64("key"))
-        some = mine.select("region", "key").withColumn("n", F.row_number().over(place)).where(F.col("n") <= PIVOTS)
-        pivots: dict[str, list] = {}
-        for r in some.join(mine, ["region", "key"]).select("region", "key", "members").collect():
-            pivots.setdefault(r.region, []).append((bytes(r.key), bytes(r.members)))
-        cells = mine.select("region", "key", "members").mapInArrow(
-            _cells(spark.sparkContext.broadcast(pivots), threshold), "region string, key binary, members binary, pivot binary, linked boolean")
-        cells = stored(cells, "cells")
-        found = found.unionByName(cells.where("linked AND key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        open_ = cells.groupBy("region").agg(F.min("linked").alias("done")).where("NOT done").select("region")
-        rest = cells.join(open_, "region").select("region", "key", "members")
-        found = found.unionByName(region_links(rest, threshold, most, max(r.sets for r in fresh)))
-    return found
+    if not fresh:
+        return found
+    mine = crowd.where(F.col("region").isin([r.region for r in fresh]))
+    place = Window.partitionBy("region").orderBy(F.xxhash64("key"))
+    some = mine.select("region", "key").withColumn("n", F.row_number().over(place)).where(F.col("n") <= PIVOTS)
+    pivots: dict[str, list] = {}
+    for r in some.join(mine, ["region", "key"]).select("region", "key", "members").collect():
+        pivots.setdefault(r.region, []).append((bytes(r.key), bytes(r.members)))
+    sent = regions.sparkSession.sparkContext.broadcast(pivots)
+    schema = "region string, key binary, members binary, pivot binary, linked boolean"
+    cells = stored(mine.select("region", "key", "members").mapInArrow(_cells(sent, threshold), schema), "cells")
+    found = found.unionByName(cells.where("linked AND key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+    tokens = F.sum((F.octet_length("members") / 8).cast("bigint"))
+    rest = cells.groupBy("region").agg(F.min("linked").alias("done"), tokens.alias("tokens"), F.count(F.lit(1)).alias("sets"))
+    rest = stored(rest.where("NOT done"), "open-cells")
+    return found.unionByName(region_links(cells.join(rest.select("region"), "region").select("region", "key", "members"), rest, threshold, most, max(r.sets for r in fresh)))
 
 
 def _solve(regions: DataFrame, threshold: int) -> DataFrame:
@@ -324,18 +339,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     met = texts.join(answers, "place", "left").select("body", "answers")
     found = stored(met.mapInArrow(_choose(buckets, shingle, threshold), DOCS), "sets")
 
-    nodes = found.where("members IS NOT NULL").select("key", "members", "prefix").dropDuplicates(["key"])
-    nodes = stored(nodes, "nodes")
-    posted = nodes.select(F.explode("prefix").alias("token"), "key")
+    live = found.where("members IS NOT NULL")
+    posted = live.select("key", F.explode("prefix").alias("token")).distinct()
     pivot = posted.groupBy("token").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     near = components(posted.join(pivot, "token").select(F.col("key").alias("a"), "b").distinct())
-    regions = nodes.select("key", "members").join(near, F.col("key") == F.col("node")).select(F.hex("root").alias("region"), "key", "members")
-    groups = components(region_links(regions, threshold, most))
+    near = stored(near.select(F.col("node").alias("key"), F.hex("root").alias("region")), "near")
+    sizes = live.select("key", "n_shingles").distinct().join(near, "key").groupBy("region")
+    sizes = sizes.agg(F.sum("n_shingles").alias("tokens"), F.count(F.lit(1)).alias("sets"))
+    regions = live.groupBy("key").agg(F.first("members").alias("members")).join(near, "key").select("region", "key", "members")
+    groups = components(region_links(regions, sizes, threshold, most))
 
     placed = found.select("doc_id", "n_shingles", "key").join(groups, F.col("key") == F.col("node"), "left")
     group = F.when(F.col("n_shingles") == 0, F.concat(F.lit("empty"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).otherwise(F.hex(F.coalesce("root", "key")))
     placed = stored(placed.select("doc_id", "n_shingles", group.alias("group")), "grouped")
-    least = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    least = stored(placed.groupBy("group").agg(F.min("doc_id").alias("component_id")), "least")
     return placed.join(least, "group").select("doc_id", "n_shingles", "component_id")
 
 
