@@ -8,6 +8,7 @@ have equal hashes, and two different words agree with probability about 2^-64.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,7 @@ class Words:
     """Words of several texts: byte ``start`` and ``end``, ``hash``, and ``first[d]`` the first word of text d."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, np.ndarray]):
-        word, fold = kind
+        word, self.fold = kind
         self.data, self.offsets = data, offsets
         n = len(data)
         inside = word[data]
@@ -105,10 +106,10 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
-        POWERS.reach(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * POWERS.up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * POWERS.down[self.start] + (self.end - self.start).astype(np.uint64))
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return run_hash(self.fold[self.data].astype(np.uint64) + np.uint64(1), self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -166,9 +167,15 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenated bytes of many spans, and their offsets in the result."""
+    """Concatenated bytes of many spans, and their offsets in the result; indices are made for a part at a time."""
     size = end - start
     offsets = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size, out=offsets[1:])
-    index = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
-    return data[index], offsets
+    out = np.empty(offsets[-1], data.dtype)
+    low = 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, "right")) - 1)
+        index = np.repeat(start[low:high] - offsets[low:high], size[low:high]) + np.arange(offsets[low], offsets[high])
+        out[offsets[low] : offsets[high]] = data[index]
+        low = high
+    return out, offsets
