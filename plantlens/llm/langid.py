@@ -124,6 +124,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) ->
         return rows.where(has_letter(F.col("text")) & (draw < share)).select("text", "lang")
 
     bits = drawn(landmarks).mapInArrow(_bits, "lang string, bits binary").orderBy("lang", "bits").collect()
+    if not bits:
+        return Model([], np.zeros((SLOTS, 0), np.float32))
     marks = unit(np.unpackbits(np.array([np.frombuffer(r.bits, np.uint8) for r in bits]).reshape(-1, SLOTS // 8), axis=1).astype(np.float32))
     sent = spark.sparkContext.broadcast(marks)
     found = drawn(sample).mapInArrow(_kernel(sent), "lang string, kernel binary").orderBy("lang", "kernel").collect()
