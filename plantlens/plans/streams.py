@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
 from ..sources import sinks
 from ..streaming import alarms, rates, signals
 from .bindings import status_history
@@ -112,12 +113,11 @@ def hourly_stream_s6b(t):
     "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS report_day, count(*) AS n FROM events GROUP BY 1",
 )
 def stream_upsert_s8(t):
-    """Day totals of every micro-batch go through the insert-if-absent sink, twice, as after a restart."""
+    """Day totals of all micro-batches go through the insert-if-absent sink, twice, as after a restart."""
     days = _Stream(t).events.select(F.date_format("ts", "yyyy-MM-dd").alias("report_day"), F.lit(1).cast("bigint").alias("n"))
-
-    def write(batch, path):
-        totals = batch.groupBy("report_day").agg(F.sum("n").alias("n"))
-        sinks.upsert_report(totals, path)
-        sinks.upsert_report(totals, path)
-
-    return rates.run_batches(days, "upsert", write)
+    total = lambda rows: rows.groupBy("report_day").agg(F.sum("n").alias("n"))
+    totals = total(rates.run_partials(days, "day-totals", total))
+    path = fresh_path(t.spark, "upsert")
+    sinks.upsert_report(totals, path)
+    sinks.upsert_report(totals, path)
+    return sinks.read_reports(t.spark, path, totals.schema)

@@ -251,13 +251,19 @@ def upsert_report_a18(t):
 
 @query(
     "claimable_a18b",
-    """SELECT DISTINCT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS report_day FROM events WHERE day(ts) % 3 <> 0 AND NOT (day(ts) % 3 = 1 AND day(ts) > 20)""",
+    """SELECT DISTINCT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS report_day,
+         CASE WHEN day(ts) % 3 = 0 THEN 'done' WHEN day(ts) % 3 = 1 AND day(ts) > 20 THEN 'running' ELSE 'again' END AS status FROM events""",
 )
 def claimable_a18b(t):
     days = t.events.select(F.to_date("ts").alias("d")).distinct().select(F.date_format("d", "yyyy-MM-dd").alias("report_day"), F.dayofmonth("d").alias("n"))
     age = F.when(F.col("n") > 20, F.lit("2024-02-01 11:55:00")).otherwise(F.lit("2024-02-01 11:00:00")).cast("timestamp")
     stored = days.filter("n % 3 < 2").select("report_day", F.when(F.col("n") % 3 == 0, "done").otherwise("running").alias("status"), age.alias("started_at"))
-    return sinks.claimable(days, stored, "2024-02-01 12:00:00").select("report_day")
+    path, now = fresh_path(t.spark, "claims"), "2024-02-01 12:00:00"
+    stored.write.parquet(path)
+    again = days.select("report_day", F.lit("again").alias("status"), F.lit(now).cast("timestamp").alias("started_at"))
+    sinks.upsert_report(again, path, now)
+    sinks.upsert_report(again, path, now)
+    return sinks.read_reports(t.spark, path, again.schema).select("report_day", "status")
 
 
 WANT_SQL = "(SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE lang END AS lang FROM documents WHERE doc_id % 11 <> 0)"
@@ -310,7 +316,7 @@ def reuse(t):
     return sync.reuse_vectors(text(wanted(t)), have, "id", "passage", "vec")
 
 
-REV_SQL = """(SELECT {doc} AS doc, count(*) || '-' || CAST(sum(CAST(('0x' || substr(md5(doc_id || chr(31) || {text}), 1, 15)) AS HUGEINT)) AS VARCHAR) AS revision FROM documents GROUP BY 1)"""
+REV_SQL = """(SELECT {doc} AS doc, count(*) || '-' || CAST(sum(CAST(('0x' || substr(md5(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || length({text}) || ':' || {text}), 1, 15)) AS HUGEINT)) AS VARCHAR) AS revision FROM documents GROUP BY 1)"""
 
 
 @query("revisions_k3", "SELECT doc, revision FROM " + REV_SQL.format(doc="source", text="text"))
@@ -383,11 +389,11 @@ def stale_and_new_h2(t):
     "shingle_overlap_h4",
     r"""WITH b AS (SELECT item_id, list_distinct(list_transform(range(1, CAST(length(c) AS BIGINT) - 6), lambda i: substr(c, i, 8))) AS g FROM (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS c FROM benchmark)),
           d AS (SELECT doc_id, list_distinct(list_transform(range(1, CAST(length(c) AS BIGINT) - 6), lambda i: substr(c, i, 8))) AS g FROM (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS c FROM documents))
-        SELECT doc_id, len(list_intersect(d.g, b.g)) AS overlap FROM d JOIN b ON item_id = doc_id % 40""",
+        SELECT doc_id, len(list_intersect(d.g, b.g)) AS overlap FROM d JOIN b ON item_id = doc_id % (SELECT count(*) FROM benchmark)""",
 )
 def shingle_overlap_h4(t):
     b = t.benchmark.select("item_id", char_shingles(F.col("text")).alias("bg"))
-    d = t.documents.select("doc_id", (F.col("doc_id") % 40).alias("item_id"), char_shingles(F.col("text")).alias("g"))
+    d = t.documents.select("doc_id", (F.col("doc_id") % t.benchmark.count()).alias("item_id"), char_shingles(F.col("text")).alias("g"))
     return d.join(b, "item_id").select("doc_id", F.size(F.array_intersect("g", "bg")).cast("bigint").alias("overlap"))
 
 

@@ -14,7 +14,8 @@ from ..operators.catalog import explode_machines
 from ..operators.vectors import unit_vectors
 
 
-def _existing(spark: SparkSession, path: str, schema) -> DataFrame:
+def existing(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stored table, empty when nothing was written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
@@ -33,7 +34,7 @@ def write_if_changed(df: DataFrame, path: str) -> DataFrame:
     """Append the rows whose content is not stored yet, addressed by the hash of the row; returns the whole store."""
     spark = df.sparkSession
     keyed = df.withColumn("content_hash", F.sha2(F.to_json(F.struct(*df.columns)), 256)).dropDuplicates(["content_hash"])
-    stored = _existing(spark, path, keyed.schema).select("content_hash").distinct()
+    stored = existing(spark, path, keyed.schema).select("content_hash").distinct()
     keyed.join(stored, "content_hash", "left_anti").select(*keyed.columns).write.mode("append").parquet(path)
     return spark.read.schema(keyed.schema).parquet(path)
 
@@ -46,20 +47,37 @@ def export_search(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
     vecs.write.mode("overwrite").partitionBy("machine").parquet(os.path.join(path, "vectors"))
 
 
-def claimable(reports: DataFrame, stored: DataFrame, now, minutes: int = 10) -> DataFrame:
-    """Reports to write: days not stored, or stored as unfinished for more than ``minutes``.
+def claimable(reports: DataFrame, stored: DataFrame, now, minutes: int = 10, force: bool = False) -> DataFrame:
+    """Reports to write: days not stored, or stored as unfinished for more than ``minutes``; with ``force`` also finished days.
 
-    ``reports``: report_day, ...; ``stored``: report_day, status, started_at.
+    ``reports``: report_day, ...; ``stored``: report_day, status, started_at, one row for each day.
     """
     limit = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {minutes} MINUTES")
-    blocked = stored.filter((F.col("status") == "done") | (F.col("started_at") > limit))
+    done = F.col("status") == "done"
+    blocked = stored.filter((done & F.lit(not force)) | (~done & (F.col("started_at") > limit)))
     return reports.join(blocked.select("report_day").distinct(), "report_day", "left_anti")
 
 
-def upsert_report(reports: DataFrame, path: str) -> None:
-    """Insert one row per report day, only for days not stored. Running it twice changes nothing."""
-    stored = _existing(reports.sparkSession, path, reports.schema).select("report_day").distinct()
-    reports.dropDuplicates(["report_day"]).join(stored, "report_day", "left_anti").select(*reports.columns).write.mode("append").parquet(path)
+def read_reports(spark: SparkSession, path: str, schema) -> DataFrame:
+    """One row for each report day. Where rows carry started_at, the newest claim of a day wins and its finished row before its
+    running one; two writers that claimed a day at once therefore leave one report."""
+    rows = existing(spark, path, schema)
+    if "started_at" not in rows.columns:
+        return rows
+    order = F.struct("started_at", (F.col("status") == "done").alias("done"))
+    return rows.groupBy("report_day").agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
+def upsert_report(reports: DataFrame, path: str, now=None, minutes: int = 10, force: bool = False) -> None:
+    """Insert one row for each report day that may be written. Running it twice changes nothing.
+
+    Without ``now`` only days not stored are written. With it rows have status and started_at, and days that are
+    ``claimable`` at that time are written as a newer version: a stale unfinished report is replaced, with ``force`` a finished one too.
+    """
+    stored = read_reports(reports.sparkSession, path, reports.schema)
+    one = reports.dropDuplicates(["report_day"])
+    fresh = one.join(stored.select("report_day"), "report_day", "left_anti") if now is None else claimable(one, stored, now, minutes, force)
+    fresh.select(*reports.columns).write.mode("append").parquet(path)
 
 
 def publish(df: DataFrame, root: str, version: str, fingerprint: DataFrame) -> None:

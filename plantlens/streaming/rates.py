@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.intervals import split_by
 from ..session import fresh_path
+from ..sources.sinks import existing
 
 
 def hourly_counts(status: DataFrame, delay: str | None = None) -> DataFrame:
@@ -24,8 +26,11 @@ def hourly_counts(status: DataFrame, delay: str | None = None) -> DataFrame:
     return run.groupBy("machine_code", "hour").agg(F.sum("s").alias("run_seconds"), F.sum("a").alias("n_alarms"))
 
 
-def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(folder)
+def read_stream(spark: SparkSession, folder: str, name: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files; by default one trigger takes all files that are there."""
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
+    return reader.parquet(f"{folder}/{name}.parque[t]")  # a pattern: a plain path would have to be a folder
 
 
 def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -34,7 +39,7 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     out, state = fresh_path(spark, label), fresh_path(spark, f"{label}-state")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return existing(spark, out, stream.schema)
 
 
 def run_updates(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -49,13 +54,19 @@ def run_updates(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     query.awaitTermination()
     values = [c for c in stream.columns if c not in keys]
     newest = [F.max_by(v, "batch").alias(v) for v in values]
-    return spark.read.parquet(out).groupBy(*keys).agg(*newest)
+    return existing(spark, out, StructType([*stream.schema, StructField("batch", IntegerType())])).groupBy(*keys).agg(*newest)
 
 
-def run_batches(stream: DataFrame, label: str, write: Callable[[DataFrame, str], None]) -> DataFrame:
-    """Run a stream through an idempotent sink function and read the sink's table."""
+def run_partials(stream: DataFrame, label: str, partial: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Partial results of every micro-batch, each in a folder of its own; a batch that runs again replaces its own folder,
+    so what is read back can be combined and counts each input row once."""
     spark = stream.sparkSession
     out, state = fresh_path(spark, label), fresh_path(spark, f"{label}-state")
-    query = stream.writeStream.option("checkpointLocation", state).foreachBatch(lambda batch, _: write(batch, out)).trigger(availableNow=True).start()
+
+    def store(batch: DataFrame, number: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{out}/batch_no={number}")
+
+    query = stream.writeStream.option("checkpointLocation", state).foreachBatch(store).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    empty = spark.createDataFrame([], stream.schema)
+    return existing(spark, out, partial(empty).schema)

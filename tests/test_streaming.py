@@ -84,3 +84,44 @@ def test_reader_refuses_an_unpublished_version(spark):
     df.limit(1).write.mode("overwrite").parquet(os.path.join(root, "data", "version=v1"))
     with pytest.raises(RuntimeError):
         sinks.read_ready(spark, root, "v1", finger)
+
+
+def test_streams_read_a_table_of_several_files(spark, tmp_path):
+    from plantlens.plans import load_all
+    from plantlens.session import Tables
+
+    whole = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{whole}/events.parquet")
+    folder = str(tmp_path / "t")
+    events.repartitionByRange(4, "ts").write.parquet(f"{folder}/events.parquet")
+    assert len(Tables(spark, folder).events.inputFiles()) == 4
+    for name in ("episode_stream_s1b", "hourly_stream_s6b", "stream_upsert_s8"):
+        run = load_all()[name].run
+        assert sorted(map(tuple, run(spark, folder).collect())) == sorted(map(tuple, run(spark, whole).collect())), name
+    one_by_one = rates.read_stream(spark, folder, "events", events.schema, files_per_trigger=1).select("ts", F.lit(1).alias("n"))
+    total = lambda rows: rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("n").alias("n"))
+    partials = rates.run_partials(one_by_one, "days", total)
+    assert partials.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_nothing_streamed_is_an_empty_table(spark, tmp_path):
+    schema = spark.createDataFrame([(1, "a")], "n long, day string").schema
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in" / "x.parquet"))
+    stream = rates.read_stream(spark, str(tmp_path / "in"), "x", schema)
+    assert rates.run_partials(stream, "none", lambda rows: rows.groupBy("day").agg(F.sum("n").alias("n"))).count() == 0
+
+
+def test_stale_report_is_replaced_and_a_finished_one_only_by_force(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    at = lambda minute: datetime(2026, 1, 1, 8, minute)
+    schema = "report_day string, status string, started_at timestamp, n int"
+    row = lambda *r: spark.createDataFrame([r], schema)
+    state = lambda: [(r.status, r.n) for r in sinks.read_reports(spark, path, row("d", "x", at(0), 0).schema).collect()]
+    sinks.upsert_report(row("d", "running", at(0), 1), path, at(0))
+    sinks.upsert_report(row("d", "running", at(5), 2), path, at(5))  # still fresh
+    assert state() == [("running", 1)]
+    sinks.upsert_report(row("d", "done", at(20), 3), path, at(20))
+    sinks.upsert_report(row("d", "done", at(50), 4), path, at(50))
+    assert state() == [("done", 3)]
+    sinks.upsert_report(row("d", "done", at(55), 5), path, at(55), force=True)
+    assert state() == [("done", 5)]
