@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Sequence
 
@@ -109,20 +110,16 @@ def signal_type(device: Column) -> Column:
 
 
 def term_pattern(terms: Sequence[str]) -> str:
-    """Alternatives with flexible spaces; Hangul ignores spacing, Latin terms match whole words."""
-    import re
-
-    out = []
-    for term in terms:
-        words = term.split()
-        if not words:
-            continue
-        if re.fullmatch(r"[가-힣\s]+", term):
-            out.append(r"[^\S\n]*".join("".join(words)))
-            continue
-        body = r"\s+".join(re.escape(w) for w in words)
-        out.append(rf"(?:^|[^a-z0-9]){body}(?:$|[^a-z0-9])" if term.isascii() else body)
-    return "|".join(out)
+    """One alternative for each term: Hangul with any spacing inside a line, Latin words between non-word characters."""
+
+    def alternative(words: list[str]) -> str:
+        letters = "".join(words)
+        if all("가" <= c <= "힣" for c in letters):
+            return r"[^\S\n]*".join(letters)
+        phrase = r"\s+".join(map(re.escape, words))
+        return rf"(?<![a-z0-9]){phrase}(?![a-z0-9])" if letters.isascii() else phrase
+
+    return "|".join(alternative(term.split()) for term in terms if term.strip())
 
 
 def term_rlike(c: Column, terms: Sequence[str]) -> Column:

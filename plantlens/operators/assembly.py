@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import first_per_key
 
@@ -42,12 +42,18 @@ def import_counters(chunks: DataFrame) -> DataFrame:
     )
 
 
+def row_text(columns: Sequence[str]) -> Column:
+    """The values as one text that tells every row apart: each with its length before it, null as a dash."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
+
+
 def fingerprint(df: DataFrame, order: str, columns: Sequence[str], width: int = 1024) -> DataFrame:
     """Hash of an ordered corpus as a tree: rows, blocks of ``width`` ids, blocks of blocks, root.
 
     No task ever holds more than one block of hashes per level.
     """
-    row = F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns]), 256)
+    row = F.sha2(row_text(columns), 256)
     level = df.select(F.col(order).cast("bigint").alias("at"), row.alias("h"))
     total = df.agg(F.count("*").alias("n")).scalar()
     for _ in range(2):

@@ -106,11 +106,13 @@ def missing_documents(linked: DataFrame, extracted: DataFrame, key: str) -> Data
 
 def keep_identified(items: DataFrame, query: str, text: str, kind: str, wanted: DataFrame) -> DataFrame:
     """Keep the pictures that name an identifier asked for; when none does, keep all of the query's items."""
-    pattern = F.concat(
-        F.lit(r"(?i)(^|[^\w.-])"), F.replace(F.col("identifier"), F.lit("."), F.lit(r"\.")), F.lit(r"($|[^\w.-])")
-    )
-    flagged = items.join(wanted, query, "left").withColumn(
-        "__hit", (F.col(kind) == "pictures") & F.coalesce(F.regexp_like(F.col(text), pattern), F.lit(False))
+    def named(identifier: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?i)(^|[^\w.-])"), F.replace(identifier, F.lit("."), F.lit(r"\.")), F.lit(r"($|[^\w.-])"))
+        return F.coalesce(F.regexp_like(F.col(text), pattern), F.lit(False))
+
+    asked = wanted.groupBy(query).agg(F.collect_set("identifier").alias("__asked"))  # the few a question names
+    flagged = items.join(asked, query, "left").withColumn(
+        "__hit", (F.col(kind) == "pictures") & F.coalesce(F.exists("__asked", named), F.lit(False))
     )
     any_hit = flagged.groupBy(query).agg(F.max("__hit").alias("__any"))
     return (

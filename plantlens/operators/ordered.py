@@ -28,6 +28,14 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return topk(df, keys, order, 1, "__first").drop("__first")
 
 
+def _with_carried(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the summary of their (key, bucket); null keys match like any other."""
+    names = [*keys, BUCKET]
+    other = carried.select(*[F.col(n).alias(f"__k{i}") for i, n in enumerate(names)], *[c for c in carried.columns if c not in names])
+    same = [rows[n].eqNullSafe(other[f"__k{i}"]) for i, n in enumerate(names)]
+    return rows.join(other, same).drop(*[f"__k{i}" for i in range(len(names))])
+
+
 def _within(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys, BUCKET).orderBy(*order)
 
@@ -53,7 +61,7 @@ def carry_last(
         *keys, BUCKET, *[F.last(f"__t_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in values]
     )
     rows = _within(keys, order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    out = d.join(carried, [*keys, BUCKET])
+    out = _with_carried(d, carried, keys)
     for n in values:
         out = out.withColumn(n, F.coalesce(F.last(f"__v_{n}", ignorenulls=True).over(rows), F.col(f"__c_{n}")))
     return out.select(*df.columns, *values)
@@ -69,7 +77,7 @@ def running_sum(
     offsets = sums.select(*keys, BUCKET, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"))
     rows = _within(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        d.join(offsets, [*keys, BUCKET])
+        _with_carried(d, offsets, keys)
         .withColumn(out, F.coalesce(F.sum("__x").over(rows), F.lit(0)) + F.col("__o"))
         .select(*df.columns, out)
     )
@@ -92,7 +100,7 @@ def neighbour(
     across = Window.partitionBy(*keys).orderBy(BUCKET)
     carried = edges.select(*keys, BUCKET, shift("__e").over(across).alias("__c"))
     near = F.coalesce(shift("__v").over(_within(keys, order)), F.col("__c"))
-    out = d.join(carried, [*keys, BUCKET]).withColumn("__n", near)
+    out = _with_carried(d, carried, keys).withColumn("__n", near)
     return out.select(*df.columns, *[F.col(f"__n.{n}").alias(n) for n in values])
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import excerpt, match_text, term_pattern
-from ..session import SMALL_ROWS, cut_lineage, small
+from ..session import cut_lineage, small
 from .chunking import char_shingles, word_windows
 from .ordered import first_per_key, neighbour, running_sum, topk
 
@@ -77,13 +77,16 @@ def evidence_page(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     return single.filter("n = 1").select("cid", "page", "overlap")
 
 
+SEED_WORDS = 3
+
+
 def highlight(items: DataFrame, passages: DataFrame, width: int = 18, segment: int = 65536) -> DataFrame:
     """Page items touched by the first occurrence of a passage window on the page.
 
     ``items``: page, pos, text; ``passages``: pid, text. A page is read in segments of about ``segment`` characters,
     each with the last ``width`` words before it, so no page has to fit into one task. The inner words of a window
-    must stand on the page as whole words, so segments are found by an equi join on them; the window itself is then
-    located as plain text. Windows of one or two words are matched on whole words only.
+    must stand on the page as whole words, so segments are found by an equi join on the hash of the first of them; the inner
+    words and then the window itself are located as plain text. Windows of one or two words are matched on whole words only.
     """
     plain = items.select("page", "pos", match_text(F.col("text")).alias("t")).filter(F.col("t") != "")
     spans = running_sum(plain, ["page"], ["pos"], F.floor(F.col("pos") / 4096), F.length("t") + 1, "__end")
@@ -94,13 +97,15 @@ def highlight(items: DataFrame, passages: DataFrame, width: int = 18, segment: i
     windows = passages.select("pid", word_windows(F.col("text"), width).alias("__w")).select("pid", F.explode_outer("__w").alias("window"))
     words = F.split("window", " ")
     inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(words)
-    windows = windows.filter("window is not null").select("pid", "window", F.array_join(inner, " ").alias("inner"), F.size(inner).alias("n"))
-    sizes = [r[0] for r in windows.select("n").distinct().collect()]  # at most ``width`` values
-    listed = [r[0] for r in windows.select("inner").distinct().limit(SMALL_ROWS + 1).collect()]
-    known = frozenset(listed) if len(listed) <= SMALL_ROWS else None
-
-    runs = bodies.select("page", "body", "offset", _word_runs(F.col("body"), sizes, known).alias("__r"))
-    near = runs.select("page", "body", "offset", F.explode_outer("__r").alias("inner")).filter("inner is not null").join(small(windows), "inner")
+    seed = F.slice(inner, 1, SEED_WORDS)
+    windows = windows.filter("window is not null").select(
+        "pid", "window", F.array_join(inner, " ").alias("inner"), F.size(seed).alias("n"), F.xxhash64(F.array_join(seed, " ")).alias("seed"))
+
+    bodies = cut_lineage(bodies)
+    runs = bodies.withColumn("w", F.split("body", " ")).select("page", "offset", F.explode(_seeds(F.col("w"))).alias("s"))
+    met = runs.select("page", "offset", "s.n", "s.seed").join(windows, ["n", "seed"]).select("page", "offset", "pid", "window", "inner")
+    near = met.join(bodies, ["page", "offset"])
+    near = near.filter(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "inner", F.lit(" "))))
     at = F.instr(F.col("body"), F.col("window"))
     found = near.select("page", "pid", "window", (F.col("offset") + at - 1).alias("s"), at.alias("at")).filter("at > 0")
     hit = found.groupBy("page", "pid", "window").agg(F.min("s").alias("s")).select("page", "pid", "s", (F.col("s") + F.length("window")).alias("e"))
@@ -128,19 +133,17 @@ def _segments(spans: DataFrame, width: int) -> DataFrame:
     return d.select("page", full.alias("body"), (F.col("a") - lead).alias("offset"))
 
 
-def _word_runs(texts: Column, sizes: Sequence[int], known: frozenset | None) -> Column:
-    """Distinct runs of n words, for each n asked for; only the known ones when their set is small enough to send."""
-
-    @F.pandas_udf("array<string>")
-    def runs(bodies: pd.Series) -> pd.Series:
-        def cut(body: str) -> list[str]:
-            words = body.split(" ")
-            found = {" ".join(words[i:i + n]) for n in sizes for i in range(len(words) - n + 1)}
-            return list(found if known is None else found & known)
+def _seeds(words: Column) -> Column:
+    """Distinct hashes of all runs of 1 to SEED_WORDS words, with the number of words; the shorter runs serve windows of few
+    inner words."""
 
-        return bodies.map(cut)
+    def runs(n: int) -> Column:
+        last = F.size(words) - n + 1
+        hashes = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(n)), " ")))
+        hashes = F.when(last > 0, F.array_distinct(hashes)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(hashes, lambda h: F.struct(F.lit(n).alias("n"), h.alias("seed")))
 
-    return runs(texts)
+    return F.concat(*[runs(n) for n in range(1, SEED_WORDS + 1)])
 
 
 def boost_code(scored: DataFrame, text: str, score: str, code: str, needs_alarm_word: bool = False) -> DataFrame:

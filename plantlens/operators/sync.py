@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .assembly import row_text
+
 
 def _hash(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
@@ -13,12 +15,12 @@ def _hash(columns: Sequence[str]) -> Column:
 
 def sync_plan(desired: DataFrame, stored: DataFrame, key: str, text: str, metadata: Sequence[str]) -> DataFrame:
     """What to do with every id: new, text (embed again), metadata (update only), stale (delete), unchanged."""
-    side = lambda df, p: df.select(key, F.sha2(text, 256).alias(f"{p}t"), _hash(metadata).alias(f"{p}m"))
+    side = lambda df, p: df.select(key, F.lit(True).alias(p), F.sha2(text, 256).alias(f"{p}t"), _hash(metadata).alias(f"{p}m"))
     both = side(desired, "d").join(side(stored, "s"), key, "full_outer")
     action = (
-        F.when(F.col("st").isNull(), "new")
-        .when(F.col("dt").isNull(), "stale")
-        .when(F.col("dt") != F.col("st"), "text")
+        F.when(F.col("s").isNull(), "new")
+        .when(F.col("d").isNull(), "stale")
+        .when(~F.col("dt").eqNullSafe(F.col("st")), "text")
         .when(F.col("dm") != F.col("sm"), "metadata")
         .otherwise("unchanged")
     )
@@ -37,7 +39,7 @@ def reuse_vectors(desired: DataFrame, stored: DataFrame, key: str, passage: str,
 def revisions(df: DataFrame, doc: str, columns: Sequence[str]) -> DataFrame:
     """Order-free revision per document: row count and the sum of 60-bit row hashes. Both combine on the map side,
     so a document with very many rows costs no more than any other."""
-    digest = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns])), 1, 15), 16, 10)
+    digest = F.conv(F.substring(F.md5(row_text(columns)), 1, 15), 16, 10)
     return df.groupBy(doc).agg(
         F.concat_ws("-", F.count("*").cast("string"), F.sum(digest.cast("decimal(20,0)")).cast("string")).alias("revision")
     )

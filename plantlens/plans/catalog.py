@@ -281,7 +281,7 @@ def import_counters_e15(t):
     return assembly.import_counters(d)
 
 
-FINGER_SQL = """WITH r AS (SELECT doc_id AS id, sha256(doc_id || chr(31) || text) AS h FROM documents),
+FINGER_SQL = """WITH r AS (SELECT doc_id AS id, sha256(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || length(text) || ':' || text) AS h FROM documents),
   l1 AS (SELECT id // 1024 AS b, sha256(string_agg(h, '' ORDER BY id)) AS h FROM r GROUP BY 1), l2 AS (SELECT b // 1024 AS b, sha256(string_agg(h, '' ORDER BY b)) AS h FROM l1 GROUP BY 1)
   SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint, (SELECT count(*) FROM documents) AS n FROM l2"""
 

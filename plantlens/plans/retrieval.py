@@ -391,9 +391,9 @@ def boost_code_i15(t):
 
 @query(
     "boost_terms_i15b",
-    rf"""SELECT doc_id, CASE WHEN regexp_matches(b, '(?:^|[^a-z0-9])the(?:$|[^a-z0-9])') THEN round(score + 1 + CASE WHEN
-            regexp_matches(b, '((?:^|[^a-z0-9])the(?:$|[^a-z0-9]))[^\n]{{0,100}}((?:^|[^a-z0-9])of(?:$|[^a-z0-9]))|((?:^|[^a-z0-9])of(?:$|[^a-z0-9]))[^\n]{{0,100}}((?:^|[^a-z0-9])the(?:$|[^a-z0-9]))')
-            THEN 1 ELSE 0 END, 6) ELSE 0.0 END AS score FROM (SELECT *, lower(text) AS b FROM {SCORED_SQL})""",
+    rf"""SELECT doc_id, CASE WHEN regexp_matches(b, '\bthe\b') THEN round(score + 1 + CASE WHEN len(list_filter(string_split(b, chr(10)),
+            lambda l: regexp_matches(l, '\bthe\b.{{0,100}}\bof\b') OR regexp_matches(l, '\bof\b.{{0,100}}\bthe\b'))) > 0
+            THEN 1 ELSE 0 END, 6) ELSE 0.0 END AS score FROM (SELECT *, replace(lower(text), '_', ' ') AS b FROM {SCORED_SQL})""",
 )
 def boost_terms_i15b(t):
     out = pages.boost_terms(scored(t), "text", "score", ["the"], ["of"])

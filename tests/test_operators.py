@@ -322,3 +322,34 @@ def test_caller_supplied_batch_functions(spark):
     df = spark.createDataFrame([(1, "aa"), (2, "b")], "id int, p string")
     embed_fn = lambda batches: (pd.DataFrame({"id": b["id"], "vec": [[float(len(p))] for p in b["p"]]}) for b in batches)
     assert values(tables.embed(df, embed_fn, "id", "p")) == [(1, [2.0]), (2, [1.0])]
+
+
+def test_sync_plan_compares_nulls(spark):
+    schema = "id int, t string, meta string"
+    a = spark.createDataFrame([(1, None, "m"), (2, "x", "m"), (3, None, "m")], schema)
+    b = spark.createDataFrame([(1, None, "m"), (2, None, "m"), (4, None, "m")], schema)
+    assert values(sync.sync_plan(b, a, "id", "t", ["meta"])) == [(1, "unchanged"), (2, "text"), (3, "stale"), (4, "new")]
+
+
+def test_revisions_and_fingerprints_see_where_a_null_stands(spark):
+    from plantlens.operators.assembly import fingerprint
+
+    one = spark.createDataFrame([("d", 1, None, "b")], "doc string, n int, x string, y string")
+    two = spark.createDataFrame([("d", 1, "b", None)], "doc string, n int, x string, y string")
+    revision = lambda df: sync.revisions(df, "doc", ["n", "x", "y"]).first().revision
+    finger = lambda df: fingerprint(df, "n", ["n", "x", "y"]).first().fingerprint
+    assert revision(one) != revision(two) and finger(one) != finger(two)
+
+
+def test_two_identifiers_do_not_repeat_an_item(spark):
+    from plantlens.operators.catalog import keep_identified
+
+    items = spark.createDataFrame([(1, "pictures", "see A1 and B2"), (1, "pictures", "none"), (1, "text", "x")], "q int, kind string, t string")
+    wanted = spark.createDataFrame([(1, "A1"), (1, "B2")], "q int, identifier string")
+    assert values(keep_identified(items, "q", "t", "kind", wanted)) == [(1, "pictures", "see A1 and B2"), (1, "text", "x")]
+
+
+@pytest.mark.parametrize("text, want", [("the of", 2), ("the\n of", 1), ("of, the", 2), ("then of", 0), ("the" + "x" * 3 + " of", 0), ("_the_ of", 2), ("the " + "-" * 101 + " of", 1)])
+def test_terms_on_one_line(spark, text, want):
+    scored = spark.createDataFrame([(text, 0.0)], "t string, score double")
+    assert pages.boost_terms(scored, "t", "score", ["the"], ["of"]).first().score == want

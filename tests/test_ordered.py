@@ -64,3 +64,16 @@ def test_number_rows_and_positions(rows):
 def test_topk_is_limited_before_the_shuffle(rows):
     plan = ordered.topk(rows, ["key"], [F.col("at").desc()], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_rows_with_a_null_key_stay(spark):
+    from pyspark.sql import functions as F
+
+    from plantlens.operators import ordered
+
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 5)], "k string, n int")
+    assert sorted((r.k or "", r.n, r.at) for r in ordered.number_rows(df, ["k"], ["n"], F.col("n"), "at").collect()) == [("", 1, 1), ("", 2, 2), ("a", 1, 1), ("a", 5, 2)]
+    near = ordered.neighbour(df, ["k"], ["n"], F.col("n"), {"p": F.col("n")}).collect()
+    assert sorted((r.k or "", r.n, r.p or 0) for r in near) == [("", 1, 0), ("", 2, 1), ("a", 1, 0), ("a", 5, 1)]
+    last = ordered.carry_last(df, ["k"], ["n"], F.col("n"), {"p": F.when(F.col("n") == 1, F.col("n"))}).collect()
+    assert sorted((r.k or "", r.n, r.p) for r in last) == [("", 1, 1), ("", 2, 1), ("a", 1, 1), ("a", 5, 1)]
