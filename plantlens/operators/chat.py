@@ -93,24 +93,18 @@ def questioner_counts(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy(name.alias("questioner")).agg(F.count("*").alias("n_sessions"))
 
 
-DEEP_OFFSET = 100_000  # beyond this a page is found by position, not by a limit
-
-
-def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int, deep: int = DEEP_OFFSET) -> DataFrame:
+def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
     """One page of an ordered list with the page actually shown, the total and the number of pages.
 
-    The page number is clamped to the existing pages. An early page is a distributed limit; a deep one is cut
-    out of the globally sorted positions, so the rows before it never meet in one task.
+    The page number is clamped to the existing pages. A page is cut out of the globally sorted positions, so the rows
+    before it never meet in one task.
     """
     total = df.count()
     pages = max(1, -(-total // size))
     shown = min(max(page, 1), pages)
     first = (shown - 1) * size
-    if first <= deep:
-        rows = df.orderBy(*order).offset(first).limit(size)
-    else:
-        at = F.col("__position")
-        rows = global_positions(df, order, "__position").filter((at > first) & (at <= first + size)).drop("__position")
+    at = F.col("__position")
+    rows = global_positions(df, order, "__position").filter((at > first) & (at <= first + size)).drop("__position")
     return (
         rows.withColumn("page", F.lit(shown))
         .withColumn("total", F.lit(total).cast("bigint"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -122,14 +124,13 @@ def similar_topk(df: DataFrame, id: str, vec: str, threshold: float, per_row: in
     rows = df.select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
     id_type = rows.schema["id"].dataType.simpleString()
     n = rows.count()
-    wanted = int(min(256, max(1, n // (4 * UNIT))))
+    wanted = max(1, min(n // (4 * UNIT), math.isqrt(n)))  # grows with the rows; a broadcast of at most sqrt(n) vectors
     pivots = np.stack([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()])
     pivots = spark.sparkContext.broadcast(np.unique(pivots, axis=0))
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
 
     def assign(batches):
         centres = pivots.value
-        between = np.sqrt(np.maximum(0, ((centres[:, None, :] - centres[None, :, :]) ** 2).sum(-1)))
         for batch in batches:
             if batch.empty:
                 continue
@@ -137,7 +138,10 @@ def similar_topk(df: DataFrame, id: str, vec: str, threshold: float, per_row: in
             d2 = ((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None, :]).clip(min=0)
             home = d2.argmin(1)
             gap = d2 - d2[np.arange(len(x)), home][:, None]
-            near = gap <= 2 * radius * between[home] + 1e-9
+            homes, which = np.unique(home, return_inverse=True)
+            at = centres[homes]
+            between = np.sqrt(((at**2).sum(1)[:, None] - 2 * at @ centres.T + (centres**2).sum(1)[None, :]).clip(min=0))
+            near = gap <= 2 * radius * between[which] + 1e-9
             near[np.arange(len(x)), home] = True
             r, c = np.nonzero(near)
             yield pd.DataFrame(

@@ -154,7 +154,7 @@ def pagination_g4(t):
 def clamped_page_g4b(t):
     """A page far past the end, found by position."""
     order = [F.col("c_acctbal").desc(), F.col("c_custkey")]
-    return chat.page_of(t.customer, order, 10**9, 100, deep=0).select("c_custkey", "page", "total", "pages")
+    return chat.page_of(t.customer, order, 10**9, 100).select("c_custkey", "page", "total", "pages")
 
 
 CITED = "text || ' [chunk:' || (turn % 3 + 1) || '] x [chunk:' || (conv_id % 4 + 1) || ']'"

@@ -247,10 +247,10 @@ def ppr_sql() -> str:
     return head + f", pr AS MATERIALIZED (SELECT qid, node, round(score, 6) AS score FROM x{ROUNDS})"
 
 
-@query("ppr_j9", f"WITH {ppr_sql()} SELECT qid, node, score FROM pr WHERE score >= 0.0001")
+@query("ppr_j9", f"WITH {ppr_sql()} SELECT qid, node, score FROM pr WHERE score > 0")
 def ppr_j9(t):
     scores = graph.ppr(graph.page_graph(blocks(t))[1], page_seeds(t))
-    scores = scores.select("qid", "node", F.round("score", 6).alias("score")).filter("score >= 0.0001")
+    scores = scores.select("qid", "node", F.round("score", 6).alias("score")).filter("score > 0")
     return scores
 
 

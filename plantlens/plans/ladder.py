@@ -255,11 +255,11 @@ def rerank_l11(t):
 @query(
     "with_values_l12",
     f"""SELECT file, block, line_no, s.address, CAST(coalesce((v >> CAST(split_part(s.address, '.', 2) AS INT)) & 1, -1) AS INT) AS value FROM {STEP_SQL} s
-        LEFT JOIN (SELECT substr('XYR', CAST(s_suppkey % 3 + 1 AS INT), 1) AS area, s_suppkey AS b, s_nationkey * 7 % 256 AS v FROM supplier WHERE s_suppkey < 100)
+        LEFT JOIN (SELECT substr('XYR', CAST(s_suppkey % 3 + 1 AS INT), 1) AS area, s_suppkey AS b, s_nationkey * 7 % 256 AS v FROM supplier)
           ON s.address LIKE area || b || '.%' WHERE s.address IS NOT NULL""",
 )
 def with_values_l12(t):
-    bytes_ = t.supplier.filter("s_suppkey < 100").select(
+    bytes_ = t.supplier.select(
         F.expr("substr('XYR', CAST(s_suppkey % 3 + 1 AS INT), 1)").alias("area"), F.col("s_suppkey").alias("b"), (F.col("s_nationkey") * 7 % 256).cast("int").alias("v")
     )
     bits = bytes_.select("area", "b", "v", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).select(

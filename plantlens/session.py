@@ -86,12 +86,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SMALL_ROWS = 500_000
+SMALL_BYTES = 32 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side has at most ``rows`` rows.
+def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring that the rows of the side have at most ``most`` bytes.
 
-    A larger side is returned without a hint: Spark then shuffles, and AQE splits the skewed keys.
+    The sum is one distributed aggregate. A larger side is returned without a hint: Spark then shuffles, and AQE splits the skewed keys.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
