@@ -73,6 +73,15 @@ def delta_direction(change: Column, increase_is_good: bool) -> Column:
     return F.when(change.isNull() | (change == 0), "neutral").when(better, "good").otherwise("danger")
 
 
+def delta_text(change: Column, unit: str) -> Column:
+    """Change against the day before with its sign: ``point`` in percent points, ``hours`` in hours and minutes."""
+    sign = F.when(change > 0, "+").when(change < 0, "-").otherwise("")
+    minutes = F.floor(F.abs(change) * 60 + 0.5)
+    hours = F.concat(F.format_number(F.floor(minutes / 60), 0), F.lit("시간 "), (minutes % 60).cast("string"), F.lit("분"))
+    points = F.concat(F.format_string("%.1f", F.abs(change).cast("double")), F.lit("%p"))
+    return F.when(change.isNull(), "전일 데이터 없음").otherwise(F.concat(sign, points if unit == "point" else hours))
+
+
 def kst_label(text: Column) -> Column:
     """ISO time with zone -> label in UTC+9; missing, unreadable and zoneless texts get their own marker."""
     zoned = text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
@@ -89,6 +98,11 @@ def kst_label(text: Column) -> Column:
     )
 
 
+def report_date_allowed(day: Column, now: Column) -> Column:
+    """Reports exist up to yesterday in UTC+9; ``now`` is an instant."""
+    return day < F.to_date(F.from_utc_timestamp(F.to_utc_timestamp(now, F.current_timezone()), "+09:00"))
+
+
 def prev_report_date(day: Column) -> Column:
     """The day before; Monday looks back to Friday."""
     return F.when(F.dayofweek(day) == 2, F.date_sub(day, 3)).otherwise(F.date_sub(day, 1))

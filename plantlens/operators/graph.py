@@ -188,9 +188,10 @@ def rounds_needed(restart: float = RESTART, tolerance: float = TOLERANCE) -> int
 def ppr(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, restart: float = RESTART, cut_every: int = 4) -> DataFrame:
     """Personalised PageRank per query; the mass of nodes without out-edges returns to the seeds.
 
-    ``edges``: src, dst; ``seeds``: qid, node, weight. Only nodes with mass are stored.
+    ``edges``: src, dst; ``seeds``: qid, node, weight, of which only positive weights count. Only nodes with mass are stored.
     """
     walk = small(cut_lineage(transitions(edges)))
+    seeds = seeds.filter("weight > 0")
     total = seeds.groupBy("qid").agg(F.sum("weight").alias("__t"))
     seed = cut_lineage(seeds.join(total, "qid").select("qid", "node", (F.col("weight") / F.col("__t")).alias("s")))
     # the few seeds of a query travel with its rows, so stuck mass goes back without a second pass

@@ -346,8 +346,9 @@ def risk_label_b22(t):
     """SELECT event_id, (m // 60) || '시간 ' || (m % 60) || '분' AS hours,
          CASE WHEN s >= 3600 THEN (s // 3600) || '시간 ' || ((s % 3600) // 60) || '분' WHEN s >= 60 THEN (s // 60) || '분 ' || (s % 60) || '초'
               ELSE s || '초' END AS duration,
-         CASE WHEN s = 3600 THEN 'neutral' WHEN s > 3600 THEN 'danger' ELSE 'good' END AS direction
-       FROM (SELECT event_id, s, CAST(round_even(s / 60.0, 0) AS BIGINT) AS m FROM (SELECT event_id, CAST(floor(value * 60) AS BIGINT) AS s FROM events))""",
+         CASE WHEN s = 3600 THEN 'neutral' WHEN s > 3600 THEN 'danger' ELSE 'good' END AS direction,
+         CASE WHEN s > 3600 THEN '+' WHEN s < 3600 THEN '-' ELSE '' END || (d // 60) || '시간 ' || (d % 60) || '분' AS change
+       FROM (SELECT event_id, s, CAST(round_even(s / 60.0, 0) AS BIGINT) AS m, CAST(floor(abs(CAST(s - 3600 AS DOUBLE) / 3600) * 60 + 0.5) AS BIGINT) AS d FROM (SELECT event_id, CAST(floor(value * 60) AS BIGINT) AS s FROM events))""",
 )
 def duration_text_b23(t):
     s = F.floor(F.col("value") * 60)
@@ -356,6 +357,7 @@ def duration_text_b23(t):
         bands.hours_text(s).alias("hours"),
         bands.duration_text(s).alias("duration"),
         bands.delta_direction(s - 3600, False).alias("direction"),
+        bands.delta_text((s - 3600) / 3600, "hours").alias("change"),
     )
 
 
@@ -380,10 +382,13 @@ def kst_label_b24(t):
 
 @query(
     "prev_report_date_b25",
-    """SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) - CASE WHEN isodow(o_orderdate) = 1 THEN 3 ELSE 1 END, '%Y-%m-%d') AS previous FROM orders""",
+    """SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) - CASE WHEN isodow(o_orderdate) = 1 THEN 3 ELSE 1 END, '%Y-%m-%d') AS previous,
+         CAST(o_orderdate AS DATE) <= DATE '1995-06-30' AS allowed FROM orders""",
 )
 def prev_report_date_b25(t):
-    return t.orders.select("o_orderkey", bands.prev_report_date(F.to_date("o_orderdate")).cast("string").alias("previous"))
+    now = F.lit("1995-06-30 16:00:00").cast("timestamp")  # already the first of July in UTC+9
+    day = F.to_date("o_orderdate")
+    return t.orders.select("o_orderkey", bands.prev_report_date(day).cast("string").alias("previous"), bands.report_date_allowed(day, now).alias("allowed"))
 
 
 @query(
@@ -400,7 +405,8 @@ def anonymise_b26(t):
 @query(
     "is_period_question_b27",
     rf"""SELECT conv_id, turn, regexp_matches(q, '[0-9]{{4}}\s*[-./년]\s*[0-9]{{1,2}}\s*[-./월]\s*[0-9]{{1,2}}|[0-9]{{4}}\s*년|[0-9]{{1,2}}\s*월|(^|[^0-9])(0?[1-9]|1[0-2])[/\-](0?[1-9]|[12][0-9]|3[01])([^0-9]|$)')
-           OR regexp_matches(q, '언제|날짜|일자|며칠|오늘|어제|그제|내일|금주|전주|부터|까지|수집일|생성일|저장일') AS period
+           OR regexp_matches(q, '언제|날짜|일자|며칠|몇\s*년|몇\s*월|수집일|생성일|저장일|오늘|어제|그제|내일|지난\s*(주|달|월)|이번\s*(주|달|월)|금주|전주|부터|까지|기준일(은|이)?\s*(뭐|무엇|알려|말해|확인)')
+           OR contains(replace(q, '지속기간', ''), '기간') AS period
          FROM {CHAT_SQL}""",
 )
 def is_period_question_b27(t):

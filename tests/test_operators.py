@@ -353,3 +353,32 @@ def test_two_identifiers_do_not_repeat_an_item(spark):
 def test_terms_on_one_line(spark, text, want):
     scored = spark.createDataFrame([(text, 0.0)], "t string, score double")
     assert pages.boost_terms(scored, "t", "score", ["the"], ["of"]).first().score == want
+
+
+def test_windows_end_at_lines():
+    from plantlens.operators.chunking import cut_windows
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        text = "".join(rng.choice(list("ab \n"), rng.integers(0, 60)))
+        size = int(rng.integers(2, 20))
+        overlap = int(rng.integers(0, size))
+        want, at = [], 0
+        while at < len(text):
+            stop = at + size
+            if stop < len(text):
+                ends = [i + 1 for i in range(at + size // 2, stop) if text[i] == "\n" and i > at + overlap]
+                stop = ends[-1] if ends else stop
+            want.append(text[at:stop].strip())
+            if stop >= len(text):
+                break
+            at = stop - overlap
+        assert cut_windows(text, size, overlap) == [w for w in want if w]
+
+
+def test_delta_text(spark):
+    from plantlens.functions.bands import delta_text
+
+    df = spark.createDataFrame([(0, 1.25), (1, -1250.5), (2, 0.0), (3, None)], "i int, d double")
+    rows = df.orderBy("i").select(delta_text(F.col("d"), "point"), delta_text(F.col("d"), "hours")).collect()
+    assert [tuple(r) for r in rows] == [("+1.3%p", "+1시간 15분"), ("-1250.5%p", "-1,250시간 30분"), ("0.0%p", "0시간 0분"), ("전일 데이터 없음", "전일 데이터 없음")]
