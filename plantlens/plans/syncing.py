@@ -207,11 +207,6 @@ def page_evidence_a14(t):
     return out.select("page", "coverage", F.md5("evidence").alias("evidence"))
 
 
-@query("list_assets_a15")
-def list_assets_a15(t):
-    return readers.list_assets(t.spark, t.sf_dir, "*.parquet").select("name", "length")
-
-
 @query("write_if_changed_a16", "SELECT doc_id, md5(text) AS body FROM documents UNION ALL SELECT doc_id, md5(text || '!') FROM documents WHERE doc_id % 4 = 0")
 def write_if_changed_a16(t):
     """Written twice unchanged, then with a quarter of the rows changed."""
