@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -176,6 +177,9 @@ def boost_action(scored: DataFrame, text: str, score: str, message: Column, targ
     return scored.withColumn(score, F.col(score) + F.when(exact, 4.0).when(careful, 0.18).otherwise(0.0))
 
 
+BEFORE, AFTER = 650, 500  # fixed values: characters of an excerpt around a mention
+
+
 def item_coverage(
     scored: DataFrame, key: str, text: str, score: str, items: dict[str, Sequence[str]], condition: Sequence[str], best: int = 2
 ) -> DataFrame:
@@ -183,23 +187,17 @@ def item_coverage(
     patterns = {label: re.compile(_guarded(terms), re.I) for label, terms in items.items()}
     needed = re.compile(_guarded(condition), re.I) if condition else None
 
+    def holds(pattern: re.Pattern | None, passage: str) -> bool:
+        return pattern is None or pattern.search(passage) is not None
+
     def cover(body: str) -> list[dict]:
         out = []
-        if needed and not needed.search(body):
-            return out
-        for label, pattern in patterns.items():
-            top, kept = 0, ""
-            for hit in pattern.finditer(body):
-                around = body[max(0, hit.start() - 650):hit.end() + 500]
-                if needed and not needed.search(around):
-                    continue
-                n = sum(1 for p in patterns.values() if p.search(around))
-                if n > top:
-                    top, kept = n, around
-                if n == len(patterns):
-                    break
-            if kept:
-                out.append({"item": label, "coverage": top, "excerpt": kept})
+        for label, pattern in patterns.items() if holds(needed, body) else ():
+            around = [body[max(0, m.start() - BEFORE):m.end() + AFTER] for m in pattern.finditer(body)]
+            counted = [(sum(holds(p, x) for p in patterns.values()), x) for x in around if holds(needed, x)]
+            if counted:
+                coverage, passage = max(counted, key=itemgetter(0))  # the first of the best
+                out.append({"item": label, "coverage": coverage, "excerpt": passage})
         return out
 
     @F.pandas_udf("array<struct<item:string,coverage:int,excerpt:string>>")

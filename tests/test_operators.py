@@ -100,13 +100,20 @@ def test_bm25_fills_with_the_smallest_unmatched_ids(spark):
     assert lexical.bm25_topk(q, "q", "t", docs, "id", "text", None, 3, keep_zero=False).count() == 1
 
 
-def test_logic_expression():
+def test_logic_expression(spark):
     step = lambda op, label="": (op, ladder.ROLES[op], label, "SUB 3")
-    assert ladder.logic_text([step("RD", "X1.0"), step("AND", "X1.1"), step("WRT", "Y1.0")]) == "(X1.0 AND X1.1) -> Y1.0"
-    assert ladder.logic_text([step("RD", "X1.0"), step("AND.STK"), step("WRT", "Y1.0")]) is None
-    both = [step("RD", "A"), step("RD.STK", "B"), step("OR.NOT", "C"), step("AND.STK"), step("SUB"), step("WRT", "Y")]
-    assert ladder.logic_text(both) == "(A AND (B OR NOT C)) -> SUB 3 -> Y"
-    assert ladder.logic_text([step("RD", "A"), step("RD.STK", "B"), step("WRT", "Y")]) is None
+    cases = [
+        ([step("RD", "X1.0"), step("AND", "X1.1"), step("WRT", "Y1.0")], "(X1.0 AND X1.1) -> Y1.0"),
+        ([step("RD", "X1.0"), step("AND.STK"), step("WRT", "Y1.0")], None),
+        ([step("RD", "A"), step("RD.STK", "B"), step("OR.NOT", "C"), step("AND.STK"), step("SUB"), step("WRT", "Y")], "(A AND (B OR NOT C)) -> SUB 3 -> Y"),
+        ([step("RD", "A"), step("RD.STK", "B"), step("WRT", "Y")], None),
+        ([step("RD", "A"), step("AND", "B"), step("RD.STK", "C"), step("AND", "D"), step("AND.STK"), step("WRT", "Y")], "(A AND B AND C AND D) -> Y"),
+        ([step("RD", "A"), step("RD.STK", "B"), step("SUB")], "B -> SUB 3 [stack: A]"),
+        ([step("RD", "A")], None),
+    ]
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(cases)], "i int, s array<struct<op:string,role:string,label:string,f:string>>")
+    got = df.orderBy("i").select(ladder.logic_text(F.col("s")).alias("t")).collect()
+    assert [r.t for r in got] == [want for _, want in cases]
 
 
 def test_listing_with_unknown_lines_inside_a_function(spark):
