@@ -39,19 +39,20 @@ def expand_pages(hits: DataFrame, blocks: DataFrame, limit: int = PAGE_LIMIT) ->
     return row(pages, "page", F.col("page_text")).unionByName(row(single, "hit", F.col("text")))
 
 
-def nearby_figures(hits: DataFrame, figures: DataFrame, limit: int = 5) -> DataFrame:
+def nearby_figures(hits: DataFrame, figures: DataFrame, limit: int = 5, already: DataFrame | None = None) -> DataFrame:
     """Figures with a caption on a hit's page or the next one; first mention of a path counts; at most ``limit``.
 
-    ``hits``: qid, doc, page (null unless the hit covers one page), rank; ``figures``: doc, page, path, caption.
-    The first ``limit`` paths of a page are enough: a query holds fewer than ``limit`` paths before it is full.
+    ``hits``: qid, doc, page (null unless the hit covers one page), rank; ``figures``: doc, page, path, caption;
+    ``already``: qid, path of the pictures that the hits show themselves, which are not offered again.
     """
     shown = figures.filter((F.coalesce(F.trim("caption"), F.lit("")) != "") & (F.coalesce("path", F.lit("")) != ""))
     shown = first_per_key(shown, ["doc", "page", "path"], [F.col("caption")])
-    few = topk(shown, ["doc", "page"], [F.col("path")], limit, "fig_no")
     asked = first_per_key(hits.filter(F.col("page").isNotNull()), ["qid", "doc", "page"], [F.col("rank")])
     wanted = asked.select("qid", "doc", "rank", F.explode(F.array(F.col("page"), F.col("page") + 1)).alias("page"))
-    found = wanted.join(few, ["doc", "page"])
-    order = [F.col("rank"), F.col("page"), F.col("fig_no"), F.col("doc")]
+    found = wanted.join(shown, ["doc", "page"])
+    if already is not None:
+        found = found.join(already.select("qid", "path").distinct(), ["qid", "path"], "left_anti")
+    order = [F.col("rank"), F.col("page"), F.col("path"), F.col("doc")]
     return topk(first_per_key(found, ["qid", "path"], order), ["qid"], order, limit, "figure_no").select(
         "qid", "figure_no", "doc", "page", "path", "caption"
     )

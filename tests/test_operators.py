@@ -389,3 +389,11 @@ def test_delta_text(spark):
     df = spark.createDataFrame([(0, 1.25), (1, -1250.5), (2, 0.0), (3, None)], "i int, d double")
     rows = df.orderBy("i").select(delta_text(F.col("d"), "point"), delta_text(F.col("d"), "hours")).collect()
     assert [tuple(r) for r in rows] == [("+1.3%p", "+1시간 15분"), ("-1250.5%p", "-1,250시간 30분"), ("0.0%p", "0시간 0분"), ("전일 데이터 없음", "전일 데이터 없음")]
+
+
+def test_pictures_that_hits_show_are_not_offered_again(spark):
+    hits = spark.createDataFrame([(1, "d", 3, 1), (2, "d", 3, 1)], "qid int, doc string, page int, rank int")
+    figures = spark.createDataFrame([("d", 3, f"p{i}", "c") for i in range(4)] + [("d", 4, "p9", "c"), ("d", 4, "p8", " ")], "doc string, page int, path string, caption string")
+    already = spark.createDataFrame([(1, "p0"), (1, "p1")], "qid int, path string")
+    got = values(pages.nearby_figures(hits, figures, 3, already).select("qid", "figure_no", "path"))
+    assert got == [(1, 1, "p2"), (1, 2, "p3"), (1, 3, "p9"), (2, 1, "p0"), (2, 2, "p1"), (2, 3, "p2")]
