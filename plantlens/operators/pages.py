@@ -104,7 +104,8 @@ def highlight(items: DataFrame, passages: DataFrame, width: int = 18, segment: i
         "pid", "window", F.array_join(inner, " ").alias("inner"), F.size(seed).alias("n"), F.xxhash64(F.array_join(seed, " ")).alias("seed"))
 
     bodies = cut_lineage(bodies)
-    runs = bodies.withColumn("w", F.split("body", " ")).select("page", "offset", F.explode(_seeds(F.col("w"))).alias("s"))
+    sizes = sorted(r[0] for r in windows.select("n").distinct().collect())  # at most SEED_WORDS values
+    runs = bodies.withColumn("w", F.split("body", " ")).select("page", "offset", F.explode(_seeds(F.col("w"), sizes)).alias("s"))
     met = runs.select("page", "offset", "s.n", "s.seed").join(windows, ["n", "seed"]).select("page", "offset", "pid", "window", "inner")
     near = met.join(bodies, ["page", "offset"])
     near = near.filter(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "inner", F.lit(" "))))
@@ -135,9 +136,8 @@ def _segments(spans: DataFrame, width: int) -> DataFrame:
     return d.select("page", full.alias("body"), (F.col("a") - lead).alias("offset"))
 
 
-def _seeds(words: Column) -> Column:
-    """Distinct hashes of all runs of 1 to SEED_WORDS words, with the number of words; the shorter runs serve windows of few
-    inner words."""
+def _seeds(words: Column, sizes: Sequence[int]) -> Column:
+    """Distinct hashes of all runs of the given numbers of words, with that number."""
 
     def runs(n: int) -> Column:
         last = F.size(words) - n + 1
@@ -145,7 +145,7 @@ def _seeds(words: Column) -> Column:
         hashes = F.when(last > 0, F.array_distinct(hashes)).otherwise(F.array().cast("array<bigint>"))
         return F.transform(hashes, lambda h: F.struct(F.lit(n).alias("n"), h.alias("seed")))
 
-    return F.concat(*[runs(n) for n in range(1, SEED_WORDS + 1)])
+    return F.concat(*[runs(n) for n in sizes or (SEED_WORDS,)])
 
 
 def boost_code(scored: DataFrame, text: str, score: str, code: str, needs_alarm_word: bool = False) -> DataFrame:
