@@ -30,6 +30,7 @@ from .words import slices
 # fixed values: values per word and their bits, by selector 1 to 14
 PACKINGS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
+JUMPS = np.array([0, *(count for count, _ in PACKINGS), 1])
 SHIFT = np.uint64(60)
 LOW = np.uint64((1 << 60) - 1)
 BLOCK_IDS = 1 << 16
@@ -46,16 +47,10 @@ def encode(values: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarr
     ends = np.array([n], np.int64) if ends is None else ends
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    bits = np.zeros(n, np.uint8)
-    left = values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = left >= np.uint64(1 << step)
-        bits[big] += step
-        left[big] >>= np.uint64(step)
-    bits += 1
-    remaining = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
+    # binary exponents; rounding of huge values can only ask for a wider place
+    bits = np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.uint8)
+    remaining = np.minimum(np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n), 255).astype(np.uint8)
     selector = np.full(n, ESCAPE, np.uint8)
-    jump = np.ones(n, np.uint8)
     most = {1: bits}
     for width in (2, 4, 8, 16, 32):
         half, keep = most[width // 2], max(0, n - width // 2)
@@ -69,9 +64,10 @@ def encode(values: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarr
         tops = most[power][: n - count + 1]
         if count > power:
             tops = np.maximum(tops, most[power][count - power : n - power + 1])
-        fits = np.flatnonzero((tops <= width) & (remaining[: len(tops)] >= count))
-        selector[fits], jump[fits] = number, count
-    steps, starts, at = jump.tolist(), [], 0
+        fits = tops <= width
+        fits &= remaining[: len(tops)] >= count
+        np.copyto(selector[: len(tops)], number, where=fits)
+    steps, starts, at = JUMPS[selector].tolist(), [], 0
     while at < n:
         starts.append(at)
         at += steps[at]
@@ -90,7 +86,7 @@ def encode(values: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarr
 def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     """All values of the words."""
     chosen = (words >> SHIFT).astype(np.int64)
-    counts = np.array([0] + [c for c, _ in PACKINGS] + [1])[chosen]
+    counts = JUMPS[chosen]
     first = np.cumsum(counts) - counts
     out = np.zeros(int(counts.sum()), np.uint64)
     for number, (count, width) in enumerate(PACKINGS, 1):
