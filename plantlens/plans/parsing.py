@@ -218,3 +218,16 @@ def char_shingles_c6(t):
     return t.documents.select(
         "doc_id", F.size(g).cast("bigint").alias("n"), F.md5(F.array_join(F.array_sort(g), "|")).alias("shingles")
     )
+
+
+@query(
+    "parse_items_b33c",
+    """SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE json_extract_string(props, '$.k') || ':' || event_type || ',a:b' END AS items FROM events""",
+)
+def parse_items_b33c(t):
+    """Replies as a fenced list of objects with incomplete and foreign items; a reply for an error is cut short."""
+    item = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "kind": " '), "event_type", F.lit('"}'))
+    reply = F.concat(F.lit("```json\n["), item, F.lit(', {"k": "", "kind": "x"}, 3, {"kind": "y"}, {"k": " a ", "kind": "b"}]\n```'))
+    text = F.when(F.col("event_type") == "error", F.substring(reply, 1, 20)).otherwise(reply)
+    items = F.transform(parse.parse_items(text, ["k", "kind"]), lambda x: F.concat_ws(":", x["k"], x["kind"]))
+    return t.events.select("event_id", F.array_join(items, ",").alias("items"))
