@@ -250,12 +250,11 @@ def maxsim_i8(t):
 
 @query(
     "page_search_i9",
-    f"""WITH {MAXSIM_SQL} SELECT qid, page, score, rank, n_name AS text FROM {top_sql('ms', 4, 'qid', 'score DESC, page')} JOIN nation ON n_nationkey = page""",
+    f"""WITH {MAXSIM_SQL} SELECT qid, page, score, rank, coalesce(n_name, '') AS text FROM {top_sql('ms', 4, 'qid', 'score DESC, page')} LEFT JOIN nation ON n_nationkey = page AND page > 2""",
 )
 def page_search_i9(t):
-    best = topk(page_scores(t), ["qid"], [F.col("score").desc(), F.col("page")], 4)
-    texts = t.nation.select(F.col("n_nationkey").alias("page"), F.col("n_name").alias("text"))
-    return best.join(texts, "page").select("qid", "page", "score", "rank", "text")
+    texts = t.nation.filter("n_nationkey > 2").select(F.col("n_nationkey").alias("page"), F.col("n_name").alias("text"))
+    return pages.page_search(page_scores(t), texts, 4)
 
 
 @query(
@@ -423,23 +422,20 @@ SCOPED_SQL = f"""(SELECT q.*, d.id, d.text, d.scoped FROM {QUESTION_SQL} q JOIN
 
 @query(
     "scoped_search_i17",
-    f"""WITH {BM_MACHINE}, s AS (SELECT bm.qid, bm.id, score FROM bm JOIN documents ON doc_id = id JOIN {QUESTION_SQL} q USING (qid)
-        WHERE score > 0 AND ((q.machine <> 'es' AND source IN ('src1', 'src2', 'src3')) OR q.machine = 'es'))
-       SELECT s.qid, id, score, rank, machine = 'es' AS fallback FROM {top_sql('s', 5)} s JOIN {QUESTION_SQL} q USING (qid)""",
+    f"""WITH {BM_MACHINE}, h AS (SELECT bm.qid, bm.id, score, q.machine <> 'es' AND source IN ('src1', 'src2', 'src3') AS allowed
+          FROM bm JOIN documents ON doc_id = id JOIN {QUESTION_SQL} q USING (qid) WHERE score > 0),
+        s AS (SELECT qid, id, score, NOT bool_or(allowed) OVER (PARTITION BY qid) AS fallback, allowed FROM h)
+       SELECT qid, id, score, rank, fallback FROM {top_sql('(SELECT * FROM s WHERE allowed OR fallback)', 5)}""",
 )
 def scoped_search_i17(t):
-    """Files allowed per machine; a machine whose files hold nothing falls back to all of its documents."""
+    """Files allowed per machine; a question without a hit in them falls back to all documents of its machine."""
     allowed = t.documents.select(F.col("lang").alias("machine"), F.col("source").alias("doc")).filter(
         F.col("doc").isin("src1", "src2", "src3") & (F.col("machine") != "es")
     ).distinct()
     d, q = docs(t), questions(t)
     scores = lexical.bm25_scores(q, "qid", "qtext", d, "id", "text", "machine").filter("score > 0")
-    has_files = q.join(allowed.select("machine").distinct(), "machine", "left_semi").select("qid", F.lit(False).alias("fallback"))
-    rows = scores.join(d.select("id", "doc", "machine"), "id").join(has_files, "qid", "left")
-    inside = rows.filter("fallback is not null").join(allowed, ["machine", "doc"], "left_semi")
-    other = rows.filter("fallback is null").withColumn("fallback", F.lit(True))
-    both = inside.unionByName(other)
-    return topk(both, ["qid"], [F.col("score").desc(), F.col("id")], 5).select("qid", "id", "score", "rank", "fallback")
+    rows = scores.select("qid", "id", "score").join(d.select("id", "doc", "machine"), "id")
+    return pages.scoped_topk(rows, allowed, ["machine", "doc"], 5)
 
 
 @query(

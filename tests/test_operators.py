@@ -397,3 +397,22 @@ def test_pictures_that_hits_show_are_not_offered_again(spark):
     already = spark.createDataFrame([(1, "p0"), (1, "p1")], "qid int, path string")
     got = values(pages.nearby_figures(hits, figures, 3, already).select("qid", "figure_no", "path"))
     assert got == [(1, 1, "p2"), (1, 2, "p3"), (1, 3, "p9"), (2, 1, "p0"), (2, 2, "p1"), (2, 3, "p2")]
+
+
+def test_page_search_by_document_and_scope(spark):
+    scores = spark.createDataFrame([(1, "a", 1, 0.5), (1, "b", 1, 0.9), (1, "b", 2, 0.1)], "qid int, doc string, page int, score double")
+    texts = spark.createDataFrame([("a", 1, "A1"), ("b", 2, "B2")], "doc string, page int, text string")
+    got = values(pages.page_search(scores, texts, 2, ("doc", "page")).select("qid", "rank", "doc", "text"))
+    assert got == [(1, 1, "b", ""), (1, 2, "a", "A1")]
+    hits = spark.createDataFrame([(1, 10, 0.5, "x"), (1, 11, 0.9, "y"), (2, 12, 0.3, "y")], "qid int, id int, score double, doc string")
+    scope = spark.createDataFrame([("x",)], "doc string")
+    assert values(pages.scoped_topk(hits, scope, ["doc"], 3).select("qid", "id", "fallback")) == [(1, 10, False), (2, 12, True)]
+
+
+def test_items_of_model_output(spark):
+    from plantlens.functions.parse import parse_items
+
+    texts = ['```json\n[{"a": " x ", "b": 2}, {"a": "y"}, 3]\n```', '[{"a": "1", "b": "2"}]', '{"a": "1", "b": "2"}', "nothing", None, "```", "[]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [[tuple(x) for x in r[0]] for r in df.orderBy("i").select(parse_items(F.col("t"), ["a", "b"])).collect()]
+    assert got == [[("x", "2")], [("1", "2")], [], [], [], [], []]
