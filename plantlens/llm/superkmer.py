@@ -34,6 +34,7 @@ MINI = 3
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 64 << 20
 NEVER = (1 << 63) - 1
+MINI_BITS = 0xFFFFFF
 ROW = pa.schema([("place", pa.int64()), ("chunk", pa.int64()), ("body", pa.binary())])
 ROWS = "place bigint, chunk bigint, body binary"
 
@@ -131,7 +132,7 @@ def _send(buckets: int):
                 places.append(int(bucket[mine[0]]))
                 bodies.append(pack(
                     text=text, size=np.diff(offsets).astype(np.int32), name=np.diff(mine, prepend=0).astype(np.int32),
-                    low=low[mine], more=high[mine] - low[mine], mini=mini[mine].astype(np.uint32),
+                    low=low[mine], more=high[mine] - low[mine], mini=(mini[mine] & np.uint64(MINI_BITS)).astype(np.uint32),
                 ))
             yield pa.record_batch([places, [number] * len(places), bodies], schema=ROW)
 
@@ -144,13 +145,13 @@ def _ranks(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def answers_of(parts: list[tuple[int, dict[str, bytes]]]) -> Iterator[tuple[int, bytes]]:
-    """(chunk, answer) of one bucket: super-k-mer name, window inside it, smallest document id, where that may remove something."""
+    """(chunk, answer) of one bucket: super-k-mer name, run of windows inside it, smallest document id, where that may remove something."""
     size = [np.frombuffer(p["size"], np.int32) for _, p in parts]
     chunk = np.repeat([c for c, _ in parts], [len(s) for s in size])
     name = np.concatenate([np.cumsum(np.frombuffer(p["name"], np.int32), dtype=np.int64) for _, p in parts])
     low, high, mini = (np.concatenate([np.frombuffer(p[k], t) for _, p in parts]) for k, t in (("low", np.int64), ("more", np.int64), ("mini", np.uint32)))
     high = low + high
-    # a minimiser (its low half) that one document alone sent has no shared window
+    # a minimiser (its low bits) that one document alone sent has no shared window
     order = np.argsort(mini, kind="stable")
     cut = np.flatnonzero(np.append(True, mini[order][1:] != mini[order][:-1]))
     least, most = np.minimum.reduceat(low[order], cut), np.maximum.reduceat(high[order], cut)
@@ -174,14 +175,20 @@ def answers_of(parts: list[tuple[int, dict[str, bytes]]]) -> Iterator[tuple[int,
     owner = np.searchsorted(words.first, spot, "right") - 1
     least = np.full(rank.max(initial=0) + 1, NEVER)
     np.minimum.at(least, rank, low[owner])
-    told = least[rank] < high[owner]
-    owner, spot, least = owner[told], spot[told], least[rank[told]]
-    turn = np.argsort(chunk[owner], kind="stable")
-    owner, spot, least = owner[turn], spot[turn], least[turn]
+    told = np.flatnonzero(least[rank] < high[owner])
+    owner, place, least = owner[told], spot[told] - words.first[owner[told]], least[rank[told]]
+    # runs of windows of one super-k-mer with one answer
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1) | (least[1:] != least[:-1])
+    first = np.flatnonzero(new)
+    owner, place, least, count = owner[first], place[first], least[first], np.diff(np.append(first, len(new)))
     to = chunk[owner]
-    cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
+    turn = np.argsort(to, kind="stable")
+    cut = np.flatnonzero(np.append(True, to[turn][1:] != to[turn][:-1])) if len(to) else []
     for a, b in zip(cut, np.append(cut[1:], len(to))):
-        yield int(to[a]), pack(name=name[owner[a:b]].astype(np.int32), window=(spot[a:b] - words.first[owner[a:b]]).astype(np.int32), least=least[a:b])
+        mine = turn[a:b]
+        yield int(to[mine[0]]), pack(
+            name=name[owner[mine]].astype(np.int32), window=place[mine].astype(np.int32), count=count[mine].astype(np.int32), least=least[mine])
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +242,7 @@ def _removed(batch: pa.RecordBatch, bodies: list[bytes]) -> tuple[Words, np.ndar
     if bodies:
         kmers = SuperKmers(words)
         found = [unpack(b) for b in bodies]
-        name, window = (np.concatenate([np.frombuffer(p[k], np.int32) for p in found]).astype(np.int64) for k in ("name", "window"))
+        name, window, count = (np.concatenate([np.frombuffer(p[k], np.int32) for p in found]).astype(np.int64) for k in ("name", "window", "count"))
         least = np.concatenate([np.frombuffer(p["least"], np.int64) for p in found])
         # every occurrence of a named super-k-mer, joined with its answers
         order = np.argsort(kmers.which, kind="stable")
@@ -246,7 +253,7 @@ def _removed(batch: pa.RecordBatch, bodies: list[bytes]) -> tuple[Words, np.ndar
         drop = ids_of(batch)[kmers.doc[one]] > least[entry]
         start = kmers.window[one[drop]] + window[entry[drop]]
         np.add.at(change, start, 1)
-        np.add.at(change, start + SPAN, -1)
+        np.add.at(change, start + count[entry[drop]] - 1 + SPAN, -1)
     return words, np.cumsum(change[:-1]) > 0
 
 
