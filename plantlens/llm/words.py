@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+HASH_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 GRAM = np.uint64(0xD6E8FEB86659FD93)
 
@@ -50,7 +51,7 @@ class _Powers:
     def reach(self, n: int) -> None:
         if n <= len(self.up):
             return
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, 2 * len(self.up))
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         up = np.full(size, BASE, np.uint64)
         down = np.full(size, inverse, np.uint64)
@@ -109,7 +110,15 @@ class Words:
 
     @cached_property
     def hash(self) -> np.ndarray:
-        return run_hash(self.fold[self.data].astype(np.uint64) + np.uint64(1), self.start, self.end)
+        """Hashes of the words, for HASH_BYTES of text at a time."""
+        out, low = np.empty(len(self), np.uint64), 0
+        while low < len(self):
+            base = self.start[low]
+            high = max(low + 1, int(np.searchsorted(self.end, base + HASH_BYTES, "right")))
+            part = self.fold[self.data[base : self.end[high - 1]]].astype(np.uint64) + np.uint64(1)
+            out[low:high] = run_hash(part, self.start[low:high] - base, self.end[low:high] - base)
+            low = high
+        return out
 
     def __len__(self) -> int:
         return len(self.start)

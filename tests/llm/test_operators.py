@@ -77,6 +77,13 @@ def test_words_match_regular_expressions(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_word_hashes_do_not_depend_on_the_parts(monkeypatch):
+    data, offsets = flat(pa.array([BASE, "one two", "", BASE[::-1]]))
+    whole = Words(data, offsets, FOLDED).hash
+    monkeypatch.setattr("plantlens.llm.words.HASH_BYTES", 7)
+    assert (Words(data, offsets, FOLDED).hash == whole).all()
+
+
 def test_gather_in_parts(monkeypatch):
     monkeypatch.setattr("plantlens.llm.words.SLICE_BYTES", 5)
     data = np.arange(100, dtype=np.uint8)
