@@ -88,9 +88,18 @@ def history_search(sessions: DataFrame, answers: DataFrame, mode: str, text: str
     return answers.join(found.select("session", "title", "questioner"), "session")
 
 
+def questioner_name() -> Column:
+    """Name as shown: trimmed, a dash when there is none."""
+    return F.coalesce(F.when(F.trim("questioner") != "", F.trim("questioner")), F.lit("-"))
+
+
 def questioner_counts(sessions: DataFrame) -> DataFrame:
-    name = F.coalesce(F.when(F.trim("questioner") != "", F.trim("questioner")), F.lit("-"))
-    return sessions.groupBy(name.alias("questioner")).agg(F.count("*").alias("n_sessions"))
+    return sessions.groupBy(questioner_name().alias("questioner")).agg(F.count("*").alias("n_sessions"))
+
+
+def questioner_sessions(sessions: DataFrame, questioner: str, order: Sequence[Column], page: int, size: int) -> DataFrame:
+    """One page of the sessions of one questioner, clamped to the pages that exist; a blank name asks for those without one."""
+    return page_of(sessions.filter(questioner_name() == (questioner.strip() or "-")), order, page, size)
 
 
 def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:

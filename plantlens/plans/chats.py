@@ -135,6 +135,17 @@ def questioner_page_p4(t):
     return chat.page_of(chat.questioner_counts(sessions(t)), [F.col("n_sessions").desc(), F.col("questioner")], 0, 3)
 
 
+@query(
+    "questioner_sessions_p4b",
+    f"""WITH s AS (SELECT session, row_number() OVER (ORDER BY updated_at DESC, session DESC) AS r, count(*) OVER () AS total FROM {SESSION_SQL} WHERE trim(questioner) = 'user2'),
+         n AS (SELECT *, CAST(ceil(total / 4.0) AS INT) AS pages FROM s)
+       SELECT session, least(2, pages) AS page, total, pages FROM n WHERE (r - 1) // 4 + 1 = least(2, pages)""",
+)
+def questioner_sessions_p4b(t):
+    order = [F.col("updated_at").desc(), F.col("session").desc()]
+    return chat.questioner_sessions(sessions(t), " user2 ", order, 2, 4).select("session", "page", "total", "pages")
+
+
 @query(
     "pagination_g4",
     """SELECT o_orderkey, 4 AS page, total, CAST(ceil(total / 25.0) AS INT) AS pages FROM (SELECT o_orderkey, count(*) OVER () AS total,
