@@ -212,6 +212,6 @@ def dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 def first_of_equal(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    gone = dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    gone = dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     same = (digest_of(docs["text"]) == gone["_digest"]) & docs["doc_id"].cast("bigint").eqNullSafe(gone["_id"])
     return docs.join(gone, same, "left_anti")
