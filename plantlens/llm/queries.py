@@ -153,7 +153,7 @@ def license_scan(read):
     return found.select(
         "doc_id", "n_words", F.size("found").cast("bigint").alias("n_found"), F.array_join(F.transform("found", lambda f: f["license"]), ",").alias("licenses"),
         F.array_max(F.transform("found", lambda f: f["coverage"])).alias("best_coverage"),
-        F.array_join(F.transform("found", lambda f: F.concat_ws("-", f["start"], f["end"])), ",").alias("ranges"),
+        F.array_join(F.transform("found", lambda f: F.array_join(F.transform(f["places"], lambda p: F.concat_ws("-", p["start"], p["end"])), ";")), ",").alias("ranges"),
     )
 
 

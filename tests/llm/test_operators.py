@@ -269,6 +269,32 @@ def test_license_scan(docs, nothing, spark):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_licenses_beyond_the_given_tables(spark):
+    notices = {
+        "Released under the BSD License.": ["BSD-notice"],
+        "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0-notice"],
+        "Licensed under the Mozilla Public License, Version 2.0.": ["MPL-2.0-notice"],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0-notice"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0-notice"],
+        "This work is licensed under the GNU General Public License, version 3.1.": ["GPL-notice"],
+        "Licensed under the Apache License, Version 1.1.": ["Apache-1.1-notice"],
+        "Licensed under the Foo License, Version 2.0.": [],
+        "Released under the MIT Press License.": [],
+        "The MIT License is short.": [],
+        "SPDX-License-Identifier: MIT-0": ["MIT-0-notice"],
+        "SPDX-License-Identifier: AGPL-3.0-or-later": ["AGPL-3.0-notice"],
+    }
+    rows = [(i, f"{prose(i, 30)} {text}\n{prose(i + 50, 30)}") for i, text in enumerate(notices)]
+    rows.append((100, "foo Released under the MIT License. Released under the MIT License. " + prose(9, 20) + " Released under the MIT License."))
+    names = sorted(licenses.TEMPLATES)
+    rows += [(200 + i, prose(i, 100) + "\n" + licenses.TEMPLATES[n] + "\n" + prose(i + 60, 90) + "\n" + licenses.TEMPLATES[n]) for i, n in enumerate(names)]
+    got = {r.doc_id: r.found for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [[f.license for f in got[i]] for i in range(len(notices))] == list(notices.values())
+    assert [(f.license, [(p.start, p.end) for p in f.places]) for f in got[100]] == [("MIT-notice", [(1, 6), (6, 11), (31, 36)])]
+    assert [[f.license for f in got[200 + i]] for i in range(len(names))] == [[n] for n in names]
+    assert all(len(got[200 + i][0].places) == 2 and got[200 + i][0].places[0].start == 100 for i in range(len(names)))
+
+
 # 6 language
 
 
