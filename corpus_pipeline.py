@@ -23,8 +23,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each text."""
-    return cuckoo.first_of_equal(docs)
+    """The document with the smallest id of each text; of repeated rows one."""
+    return cuckoo.one_of_equal(docs)
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

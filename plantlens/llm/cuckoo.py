@@ -10,7 +10,7 @@ most once per batch; the join that gives every row its keeper is a plain equi jo
 
 Defined results: a null doc_id is larger than any other; rows without id are kept only if their text has no row with one (keep_id
 is then null). Repeated (doc_id, text) rows count separately and share their keeper; each row that carries the keeper's id is
-kept. An empty table gives no rows. Only doc_id and text are read, so further columns may have any name.
+kept (``one_of_equal`` goes on to one row of each text). An empty table gives no rows. Only doc_id and text are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import fresh_path
+from ..session import small
+from .components import stored
+from .identity import one_of_repeated, repeated, without
 
 SLOTS = 4
 KICKS = 200
@@ -200,18 +202,28 @@ def dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     The digests are written to the shared folder once; index and join read that small table.
     """
-    spark = docs.sparkSession
-    path = fresh_path(spark, "digests")
-    digests(docs).write.parquet(path)
-    rows = spark.read.parquet(path)
+    return _judged(stored(digests(docs), "digests"), buckets)
+
+
+def _judged(rows: DataFrame, buckets: int | None = None) -> DataFrame:
     index = build(rows, buckets or buckets_for(rows)).select("digest", "keep_id", "group_size")
     joined = rows.join(index, "digest")
     keep = F.when(F.col("keep_id") != NEVER, F.col("keep_id"))
     return joined.select("doc_id", "digest", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"))
 
 
+def _gone(judged: DataFrame) -> DataFrame:
+    return judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+
+
 def first_of_equal(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    gone = dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    same = (digest_of(docs["text"]) == gone["_digest"]) & docs["doc_id"].cast("bigint").eqNullSafe(gone["_id"])
-    return docs.join(gone, same, "left_anti")
+    return without(docs, digest_of(docs["text"]), _gone(dedup(docs)))
+
+
+def one_of_equal(docs: DataFrame) -> DataFrame:
+    """One row of each text, with all its columns: of the rows that are kept, repeated ones (same id or none) count once."""
+    rows = stored(digests(docs), "digests")
+    twice = stored(repeated(rows), "repeated")
+    kept = without(docs, digest_of(docs["text"]), small(stored(_gone(_judged(rows)), "gone")))
+    return one_of_repeated(kept, digest_of(kept["text"]), twice)

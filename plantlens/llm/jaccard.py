@@ -21,13 +21,16 @@ are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import small
 from .components import components, stored
+from .identity import one_of_repeated, repeated, without
 from .superkmer import NEVER, ROW, ROWS, _opened, _rows, _texts, ids_of, pack, unpack
 from .words import FOLDED, GRAM, Words, flat, mix, run_hash, text_of
 
@@ -37,7 +40,7 @@ REGION_TOKENS = 4_000_000  # shingles of a region that one task joins
 BUCKET_WORDS = 8 << 20
 PIVOTS = 16
 NUMBER_BITS = 28  # of a shingle inside its bucket
-DOCS = "doc_id bigint, n_shingles bigint, key binary, members binary, prefix array<bigint>"
+DOCS = "doc_id bigint, digest binary, n_shingles bigint, key binary, members binary, prefix array<bigint>"
 
 
 class Sets:
@@ -145,8 +148,12 @@ def needed(size: np.ndarray, threshold: int) -> np.ndarray:
     return (threshold * size + 99) // 100
 
 
-def _choose(buckets: int, shingle: int, threshold: int):
-    """Every document with its key; the first of each possible set also with its shingles and its region shingles."""
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def _choose(buckets: int, shingle: int, threshold: int, named: bool):
+    """Every document with its key, and with the digest of its text if ``named``; the first of each possible set also with its shingles and its region shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,13 +181,16 @@ def _choose(buckets: int, shingle: int, threshold: int):
             members[d] = sets.tokens[mine].tobytes()
             rare = np.lexsort((sets.tokens[mine], held[mine]))[alone[d] : prefix[d]]
             regions[d] = sets.tokens[mine][rare].view(np.int64)
-        ids = ids_of(batch)
+        ids, digest = ids_of(batch), [None] * batch.num_rows
+        if named:
+            data, at = flat(text_of(batch))
+            digest = [hashlib.sha256(data[a:b]).digest() for a, b in zip(at[:-1], at[1:])]
         return pa.record_batch(
             [
-                pa.array(ids, mask=ids == NEVER), pa.array(sets.size, pa.int64()), pa.array([k.tobytes() for k in sets.key], pa.binary()),
+                pa.array(ids, mask=ids == NEVER), pa.array(digest, pa.binary()), pa.array(sets.size, pa.int64()), pa.array([k.tobytes() for k in sets.key], pa.binary()),
                 pa.array(members, pa.binary()), pa.array(regions, pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n_shingles", "key", "members", "prefix"],
+            names=["doc_id", "digest", "n_shingles", "key", "members", "prefix"],
         )
 
     return run
@@ -323,8 +333,8 @@ def _solve(regions: DataFrame, threshold: int) -> DataFrame:
     return rows.mapInArrow(_join(threshold), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, most: int = REGION_TOKENS) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each document.
+def grouped(docs: DataFrame, shingle: int, threshold: int, most: int = REGION_TOKENS, named: bool = False) -> DataFrame:
+    """doc_id, digest (of the text if ``named``), n_shingles and group of each document.
 
     ``docs`` should be a stored table: chunks are numbered by task and place in it.
     """
@@ -337,7 +347,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     counted = sent.repartition("place").sortWithinPartitions("place").mapInArrow(_count, ROWS)
     answers = counted.groupBy("place").agg(F.collect_list("body").alias("answers"))
     met = texts.join(answers, "place", "left").select("body", "answers")
-    found = stored(met.mapInArrow(_choose(buckets, shingle, threshold), DOCS), "sets")
+    found = stored(met.mapInArrow(_choose(buckets, shingle, threshold, named), DOCS), "sets")
 
     live = found.where("members IS NOT NULL")
     posted = live.select("key", F.explode("prefix").alias("token")).distinct()
@@ -349,14 +359,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     regions = live.groupBy("key").agg(F.first("members").alias("members")).join(near, "key").select("region", "key", "members")
     groups = components(region_links(regions, sizes, threshold, most))
 
-    placed = found.select("doc_id", "n_shingles", "key").join(groups, F.col("key") == F.col("node"), "left")
+    placed = found.select("doc_id", "digest", "n_shingles", "key").join(groups, F.col("key") == F.col("node"), "left")
     group = F.when(F.col("n_shingles") == 0, F.concat(F.lit("empty"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).otherwise(F.hex(F.coalesce("root", "key")))
-    placed = stored(placed.select("doc_id", "n_shingles", group.alias("group")), "grouped")
+    return stored(placed.select("doc_id", "digest", "n_shingles", group.alias("group")), "grouped")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, most: int = REGION_TOKENS) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each document."""
+    placed = grouped(docs, shingle, threshold, most)
     least = stored(placed.groupBy("group").agg(F.min("doc_id").alias("component_id")), "least")
     return placed.join(least, "group").select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that lead their component (rows without id stay), with all their columns."""
-    gone = near_duplicates(docs, shingle, threshold).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of each component, with all its columns: the smallest id (null is larger than any), of equal ids the smallest digest of the text.
+
+    Rows are named by id and text, so texts that share an id are told apart and repeated rows count once. Texts without words stay.
+    """
+    placed = grouped(docs, shingle, threshold, named=True).where("n_shingles > 0")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    lead = stored(placed.groupBy("group").agg(F.min(first).alias("lead")), "leads")
+    leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("digest") == F.col("lead.digest"))
+    gone = placed.join(lead, "group").where(~leads).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    twice = stored(repeated(placed.select("doc_id", "digest")), "repeated")
+    kept = without(docs, digest_of(docs["text"]), small(stored(gone, "gone")))
+    return one_of_repeated(kept, digest_of(kept["text"]), twice)

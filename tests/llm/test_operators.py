@@ -436,6 +436,24 @@ def test_exact_dedup(docs, nothing):
     assert kept.columns == docs.columns and kept.count() == sum(r[3] for r in want)
 
 
+def test_filter_stages_keep_one_row_of_each_group(spark):
+    near_base, other = near(BASE, [10]), prose(70, 200)
+    rows = [
+        (1, BASE, "a"), (1, BASE, "b"), (2, BASE, "c"), (None, BASE, "d"), (1, other, "e"), (None, near_base, "f"), (None, near_base, "g"),
+        (5, prose(71, 100), "h"), (5, prose(72, 100), "i"), (5, near(prose(72, 100), [50]), "j"), (None, prose(73, 80), "k"), (None, prose(73, 80), "l"),
+        (3, near(BASE, [20]), "m"), (3, prose(74, 120), "n"), (None, "", "o"), (None, " ", "p"),
+    ]
+    table = stored(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "repeats")
+    kept = [r.source for r in cuckoo.one_of_equal(table).collect()]
+    texts = {s: re.sub(r"\s+", " ", t) for _, t, s in rows}
+    assert sorted(texts[s] for s in kept) == sorted(set(texts.values()))
+    assert {"a", "e", "f", "h", "i", "j", "k", "m", "n"} <= set(kept)
+    left = [r.source for r in jaccard.one_of_each(table, 5, 80).collect()]
+    assert {s for s in left if s not in "op" and s not in "ij"} == {"a", "e", "h", "k", "n"} and len({"i", "j"} & set(left)) == 1
+    assert len(left) == len(set(left)) and {"o", "p"} <= set(left)
+    assert cuckoo.one_of_equal(table).columns == jaccard.one_of_each(table).columns == table.columns
+
+
 def test_index_changes(spark):
     rows = lambda pairs: cuckoo.digests(spark.createDataFrame(pairs, "doc_id bigint, text string"))
     first = stored(cuckoo.build(rows([(1, "a"), (2, "b"), (3, "a")]), 2), "index")
