@@ -143,18 +143,24 @@ def gram_terms(low: int = 2, high: int = 4) -> Callable[[Column], Column]:
 
 
 def tfidf_scores(
-    queries: DataFrame, qid: str, qtext: str, docs: DataFrame, id: str, text: str, terms: Callable[[Column], Column] = word_terms
+    queries: DataFrame, qid: str, qtext: str, docs: DataFrame, id: str, text: str, terms: Callable[[Column], Column] = word_terms,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """Cosine of sublinear tf times smoothed idf, for every document sharing a term with a query.
 
     The postings (id, term, tf) are counted and stored once; document frequencies, lengths and the products with
-    the queries are read from them.
+    the queries are read from them. ``statistics`` (the same text column) gives the frequencies where they are those of another corpus;
+    terms that it lacks count for nothing.
     """
     tk = docs.select(F.col(id).alias("id"), terms(F.col(text)).alias("tk"))
     rows = tk.select("id", F.explode_outer("tk").alias("term")).filter("term is not null")
     tf = cut_lineage(rows.groupBy("id", "term").agg(F.count("*").alias("tf")))
-    n = docs.agg(F.count("*").alias("n")).scalar()
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    if statistics is None:
+        n, df = docs.agg(F.count("*").alias("n")).scalar(), tf.groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        n = statistics.agg(F.count("*").alias("n")).scalar()
+        held = statistics.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+        df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     weight = (1 + F.log("tf")) * F.col("idf")
     weighted = tf.join(idf, "term").withColumn("w", weight)

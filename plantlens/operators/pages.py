@@ -9,7 +9,7 @@ from operator import itemgetter
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import excerpt, match_text, term_pattern
+from ..functions.text import excerpt, match_text
 from ..session import cut_lineage, small
 from .chunking import char_shingles, word_windows
 from .ordered import first_per_key, neighbour, running_sum, topk
@@ -169,36 +169,6 @@ def _seeds(words: Column, sizes: Sequence[int]) -> Column:
     return F.concat(*[runs(n) for n in sizes or (SEED_WORDS,)])
 
 
-def boost_code(scored: DataFrame, text: str, score: str, code: str, needs_alarm_word: bool = False) -> DataFrame:
-    """+1 where the code stands alone (near the word alarm when asked for), 0 elsewhere, with an excerpt."""
-    alone = rf"(?i)(?<![#a-z0-9]){re.escape(code)}(?![a-z0-9])"
-    hit = F.col(text).rlike(alone)
-    if needs_alarm_word:
-        around = rf"(?is)(alarm|\bALM\b).{{0,120}}{alone[4:]}|{alone[4:]}.{{0,120}}(alarm|\bALM\b)"
-        hit = hit & F.col(text).rlike(around)
-    at = F.length(F.regexp_extract(F.col(text), rf"(?s)^(.*?){alone}", 1))
-    return scored.withColumn("excerpt", F.when(hit, F.substring(F.col(text), F.greatest(at - 159, F.lit(1)), F.lit(1100)))).withColumn(
-        score, F.when(hit, F.col(score) + 1).otherwise(0.0)
-    )
-
-
-def boost_terms(scored: DataFrame, text: str, score: str, target: Sequence[str], state: Sequence[str]) -> DataFrame:
-    """+1 where the target occurs, +1 more when the state stands on the same line, 0 elsewhere."""
-    t, s = term_pattern(target).lower(), term_pattern(state).lower()
-    body = F.lower(F.col(text))
-    same_line = body.rlike(rf"({t})[^\n]{{0,100}}({s})|({s})[^\n]{{0,100}}({t})") if target and state else F.lit(False)
-    hit = body.rlike(t or s)
-    return scored.withColumn(score, F.when(hit, F.col(score) + 1 + F.when(same_line, 1).otherwise(0)).otherwise(0.0))
-
-
-def boost_action(scored: DataFrame, text: str, score: str, message: Column, target: Sequence[str], caution: Sequence[str]) -> DataFrame:
-    """+4 for the exact message, else +0.18 where the target occurs beside caution words; other rows keep their score."""
-    body = F.lower(F.col(text))
-    exact = F.coalesce((message != "") & body.contains(F.lower(message)), F.lit(False))
-    careful = body.rlike(term_pattern(target).lower()) & body.rlike("|".join(map(re.escape, caution)))
-    return scored.withColumn(score, F.col(score) + F.when(exact, 4.0).when(careful, 0.18).otherwise(0.0))
-
-
 BEFORE, AFTER = 650, 500  # fixed values: characters of an excerpt around a mention
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import content_key
-from ..operators import fusion, lexical, pages, vectors
+from ..functions.text import content_key, term_pattern
+from ..operators import evidence, fusion, lexical, pages, vectors
 from ..operators.ordered import first_per_key, topk
 from .bindings import (
     CENTROID_SQL,
@@ -274,21 +274,21 @@ def expand_pages_i10(t):
 
 @query(
     "nearby_figures_i11",
-    f"""WITH fig AS (SELECT l_suppkey AS doc, l_partkey AS page, 'img/' || (l_orderkey % 50) AS path, min(l_shipdate) AS cap FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
-      few AS {top_sql('fig', 5, 'doc, page', 'path', 'fig_no')},
+    """WITH fig AS (SELECT l_suppkey AS doc, l_partkey AS page, 'img/' || (l_orderkey % 50) AS path FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
       h AS (SELECT l_orderkey AS qid, l_suppkey AS doc, l_partkey AS page, min(l_linenumber) AS rank FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL),
-      j AS (SELECT qid, rank, f.doc, f.page, fig_no, path FROM h JOIN few f ON f.doc = h.doc AND f.page IN (h.page, h.page + 1))
-      SELECT qid, figure_no, doc, page, path FROM {top_sql(top_sql('j', 1, 'qid, path', 'rank, page, fig_no, doc', 'r1'), 5, 'qid', 'rank, page, fig_no, doc', 'figure_no')}""",
+      shown AS (SELECT DISTINCT l_orderkey AS qid, 'img/' || (l_partkey % 50) AS path FROM lineitem),
+      j AS (SELECT qid, rank, fig.doc, fig.page, path FROM h JOIN fig ON fig.doc = h.doc AND fig.page IN (h.page, h.page + 1) ANTI JOIN shown USING (qid, path)),
+      one AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY qid, path ORDER BY rank, page, doc) = 1)
+      SELECT qid, CAST(row_number() OVER w AS INT) AS figure_no, doc, page, path FROM one WINDOW w AS (PARTITION BY qid ORDER BY rank, page, path, doc) QUALIFY row_number() OVER w <= 5""",
 )
 def nearby_figures_i11(t):
+    picture = lambda c: F.concat(F.lit("img/"), (F.col(c) % 50).cast("string")).alias("path")
     figures = t.lineitem.filter("l_returnflag = 'R'").select(
-        F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("page"),
-        F.concat(F.lit("img/"), (F.col("l_orderkey") % 50).cast("string")).alias("path"), F.col("l_shipdate").cast("string").alias("caption"),
-    )
+        F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("page"), picture("l_orderkey"), F.col("l_shipdate").cast("string").alias("caption"))
     hits = t.lineitem.filter("l_linestatus = 'O'").select(
-        F.col("l_orderkey").alias("qid"), F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("page"), F.col("l_linenumber").alias("rank")
-    )
-    return pages.nearby_figures(hits, figures).select("qid", "figure_no", "doc", "page", "path")
+        F.col("l_orderkey").alias("qid"), F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("page"), F.col("l_linenumber").alias("rank"))
+    shown = t.lineitem.select(F.col("l_orderkey").alias("qid"), picture("l_partkey"))
+    return pages.nearby_figures(hits, figures, already=shown).select("qid", "figure_no", "doc", "page", "path")
 
 
 SHINGLES = r"""(SELECT {k}, unnest(list_distinct(list_transform(range(1, CAST(length(c) AS BIGINT) - 6), lambda i: substr(c, i, 8)))) AS piece
@@ -332,10 +332,12 @@ def highlight_i13(t):
     return pages.highlight(items, t.benchmark.select(F.col("item_id").alias("pid"), "text"))
 
 
-def tfidf_sql(terms: str, q: str, d: str) -> str:
-    """CTEs ending in ti(qid, id, score); ``terms`` maps {0} (a text) to a list of terms."""
+def tfidf_sql(terms: str, q: str, d: str, corpus: str | None = None) -> str:
+    """CTEs ending in ti(qid, id, score); ``terms`` maps {0} (a text) to a list of terms, ``corpus`` gives their frequencies."""
+    corpus = corpus or d
     return rf"""dtf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({terms.format('text')}) AS term FROM {d}) GROUP BY ALL),
-      idf AS (SELECT term, ln((1 + (SELECT count(*) FROM {d})) / (1 + count(*))) + 1 AS idf FROM dtf GROUP BY term),
+      idf AS (SELECT term, ln((1 + (SELECT count(*) FROM {corpus})) / (1 + count(*))) + 1 AS idf
+        FROM (SELECT DISTINCT id, term FROM (SELECT id, unnest({terms.format('text')}) AS term FROM {corpus})) GROUP BY term),
       dw AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM dtf JOIN idf USING (term)), dn AS (SELECT id, sqrt(sum(w * w)) AS len FROM dw GROUP BY id),
       qw AS (SELECT qid, term, (1 + ln(tf)) * idf AS qw FROM (SELECT qid, term, count(*) AS tf FROM (SELECT qid, unnest({terms.format('qtext')}) AS term FROM {q}) GROUP BY ALL) JOIN idf USING (term)),
       qn AS (SELECT qid, sqrt(sum(qw * qw)) AS qlen FROM qw GROUP BY qid),
@@ -370,44 +372,135 @@ def tfidf_grams_i14b(t):
     return lexical.tfidf_topk(q, "qid", "qtext", d, "id", "text", 3, lexical.gram_terms())
 
 
-SCORED_SQL = "(SELECT doc_id, text, source, CAST(n_chars AS DOUBLE) / 100000 AS score FROM documents)"
+SCORED_SQL = """(SELECT doc_id, text, CAST(n_chars AS DOUBLE) / 100000 AS score, CASE WHEN contains(text, '|') THEN 'table' ELSE 'passage' END AS kind FROM documents)"""
+THE = "(^|[^a-z0-9])the($|[^a-z0-9])"
+FIRST_THE = "length(regexp_extract(lower(text), '(?s)^(.*?(?:^|[^#a-z0-9]))the(?:$|[^a-z0-9])', 1))"
 
 
 def scored(t):
-    return t.documents.select("doc_id", "text", "source", (F.col("n_chars").cast("double") / 100000).alias("score"))
+    kind = F.when(F.contains("text", F.lit("|")), "table").otherwise("passage")
+    return t.documents.select("doc_id", "text", (F.col("n_chars").cast("double") / 100000).alias("score"), kind.alias("kind"))
+
+
+def shown(rows, *keys):
+    return rows.select(*keys, F.round("score", 6).alias("score"), F.md5("excerpt").alias("excerpt"))
 
 
 @query(
     "boost_code_i15",
-    rf"""SELECT doc_id, CASE WHEN hit THEN round(score + 1, 6) ELSE 0.0 END AS score, CASE WHEN hit THEN md5(substr(text, greatest(pos - 159, 1), 1100)) END AS excerpt
-        FROM (SELECT *, regexp_matches(lower(text), '(^|[^#a-z0-9])the($|[^a-z0-9])') AS hit,
-                length(regexp_extract(text, '(?is)^(.*?(?:^|[^#a-z0-9]))the(?:$|[^a-z0-9])', 1)) AS pos FROM {SCORED_SQL})""",
+    rf"""SELECT doc_id, CASE WHEN hit THEN round(score + 1, 6) ELSE 0.0 END AS score, CASE WHEN hit THEN md5(CASE WHEN kind = 'table'
+            THEN substr(array_to_string(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(lower(l), '(^|[^#a-z0-9])the($|[^a-z0-9])')), chr(10)), 1, 1100)
+            ELSE substr(text, greatest(pos - 159, 1), 1100) END) END AS excerpt
+        FROM (SELECT *, regexp_matches(lower(text), '(^|[^#a-z0-9])the($|[^a-z0-9])') AS hit, {FIRST_THE} AS pos FROM {SCORED_SQL})""",
 )
 def boost_code_i15(t):
-    out = pages.boost_code(scored(t), "text", "score", "the")
-    return out.select("doc_id", F.round("score", 6).alias("score"), F.md5("excerpt").alias("excerpt"))
+    return shown(evidence.boost_code(scored(t), "the"), "doc_id")
+
+
+ALARM_SQL = """(SELECT event_id, CAST(value AS DOUBLE) AS score, event_type || repeat(' ' || event_type, user_id % 40) ||
+    CASE WHEN event_type = 'error' THEN ' alarm' ELSE '' END || repeat(' ' || user_id, event_id % 40) || ' AL' || json_extract_string(props, '$.k') || '.' AS text FROM events)"""
+
+
+@query(
+    "boost_alarm_code_i15e",
+    f"""SELECT event_id, CASE WHEN hit THEN round(score + 1, 6) ELSE 0.0 END AS score, CASE WHEN hit THEN md5(substr(text, greatest(pos - 159, 1), 1100)) END AS excerpt
+        FROM (SELECT *, pos >= 0 AND contains(substr(text, greatest(pos - 119, 1), pos + 4 + 120 - greatest(pos - 120, 0)), 'alarm') AS hit
+          FROM (SELECT *, CASE WHEN regexp_matches(text, ' AL42[.]') THEN instr(text, ' AL42.') ELSE -1 END AS pos FROM {ALARM_SQL}))""",
+)
+def boost_alarm_code_i15e(t):
+    """Alarm messages of uneven length: the code counts only beside the word alarm."""
+    many = lambda c, n: F.repeat(F.concat(F.lit(" "), F.col(c).cast("string")), n.cast("int"))
+    text = F.concat(
+        "event_type", many("event_type", F.col("user_id") % 40), F.when(F.col("event_type") == "error", " alarm").otherwise(""),
+        many("user_id", F.col("event_id") % 40), F.lit(" AL"), F.get_json_object("props", "$.k"), F.lit("."))
+    rows = t.events.select("event_id", F.col("value").cast("double").alias("score"), text.alias("text"), F.lit("passage").alias("kind"))
+    return shown(evidence.boost_code(rows, "AL42", needs_alarm_word=True), "event_id")
+
+
+SECTIONED_SQL = rf"""(SELECT doc_id, score, regexp_replace(text, '([.!?]) ', '\1' || chr(10) || '① ', 'g') AS text FROM {SCORED_SQL})"""
 
 
 @query(
     "boost_terms_i15b",
-    rf"""SELECT doc_id, CASE WHEN regexp_matches(b, '\bthe\b') THEN round(score + 1 + CASE WHEN len(list_filter(string_split(b, chr(10)),
-            lambda l: regexp_matches(l, '\bthe\b.{{0,100}}\bof\b') OR regexp_matches(l, '\bof\b.{{0,100}}\bthe\b'))) > 0
-            THEN 1 ELSE 0 END, 6) ELSE 0.0 END AS score FROM (SELECT *, replace(lower(text), '_', ' ') AS b FROM {SCORED_SQL})""",
+    rf"""WITH d AS {SECTIONED_SQL},
+      ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM d),
+      lo AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS off FROM ln),
+      tk AS (SELECT doc_id, k, line, off, unnest(tk) AS tok, unnest(range(len(tk))) AS i FROM (SELECT *, regexp_extract_all(lower(line), '[a-z0-9]+|[^a-z0-9]+') AS tk FROM lo)),
+      pl AS (SELECT *, sum(length(tok)) OVER (PARTITION BY doc_id, k ORDER BY i) - length(tok) AS spot FROM tk),
+      th AS (SELECT doc_id, k, off + spot AS spot, regexp_matches(lower(substr(line, CAST(greatest(spot - 100, 0) AS BIGINT) + 1, CAST(spot + 103 - greatest(spot - 100, 0) AS BIGINT))), '(^|[^a-z0-9])of($|[^a-z0-9])') AS near
+             FROM pl WHERE tok = 'the'),
+      m AS (SELECT doc_id, bool_or(near) AS near, coalesce(min(spot) FILTER (near), min(spot)) AS spot FROM th GROUP BY doc_id),
+      b AS (SELECT doc_id, max(off) FILTER (off <= spot) AS low, min(off) FILTER (off > spot) AS high FROM lo JOIN m USING (doc_id) WHERE starts_with(ltrim(line), '①') GROUP BY doc_id, spot),
+      e AS (SELECT d.*, near, spot, greatest(spot - 200, coalesce(low, 0), 0) AS low, coalesce(high, length(text)) AS high FROM d LEFT JOIN m USING (doc_id) LEFT JOIN b USING (doc_id))
+      SELECT doc_id, CASE WHEN spot IS NULL THEN 0.0 ELSE round(score + 1 + CAST(near AS INT), 6) END AS score,
+        CASE WHEN spot IS NOT NULL THEN md5(substr(text, CAST(low AS BIGINT) + 1, CAST(least(1100, high - low) AS BIGINT))) END AS excerpt FROM e""",
 )
 def boost_terms_i15b(t):
-    out = pages.boost_terms(scored(t), "text", "score", ["the"], ["of"])
-    return out.select("doc_id", F.round("score", 6).alias("score"))
+    """Sentences stand for the numbered sections of a page."""
+    rows = scored(t).withColumn("text", F.regexp_replace("text", r"([.!?]) ", "$1\n① "))
+    return shown(evidence.boost_terms(rows, ["the"], ["of"]), "doc_id")
+
+
+FAULT_WORDS = evidence.WORDING._replace(steps="er", check=r"\Qing\E", operate="ation", caution="an|check")
+HITS_SQL = f"""(SELECT qid, id, score, qtext, text, doc AS label,
+    list_transform(list_filter(string_split(text, chr(10)), lambda l: contains(l, '|')), lambda l: list_transform(string_split(l, '|'), lambda c: trim(c))) AS grid
+    FROM {top_sql('bm', 20)} JOIN {DOCS_SQL} USING (id) JOIN {QUESTION_SQL} USING (qid))"""
 
 
 @query(
     "boost_action_i15c",
-    rf"""SELECT doc_id, round(score + CASE WHEN msg <> '' AND contains(lower(text), lower(msg)) THEN 4.0
-            WHEN regexp_matches(lower(text), '(?:^|[^a-z0-9])on(?:$|[^a-z0-9])') AND regexp_matches(lower(text), 'check|the') THEN 0.18 ELSE 0 END, 6) AS score
-        FROM (SELECT *, substr(text, 5, 12) AS msg FROM {SCORED_SQL} WHERE length(text) > 0)""",
+    rf"""WITH {BM_ALL}, a AS (SELECT *, regexp_extract(qtext, '(?:^|[^\p{{L}}\p{{N}}_])([A-Za-z]+(?:[ \t]+[A-Za-z]+){{2,}})(?:$|[^\p{{L}}\p{{N}}_])', 1) AS msg, string_split(text, chr(10)) AS ls FROM {HITS_SQL}),
+      b AS (SELECT *, msg <> '' AND regexp_matches(lower(text), regexp_replace(lower(msg), '[ \t]+', '\\s+', 'g')) AS named, len(grid) > 0 AS tab,
+        CASE WHEN regexp_matches(lower(text), '{THE}') THEN length(regexp_extract(lower(text), '(?s)^(.*?(?:^|[^a-z0-9]))the(?:$|[^a-z0-9])', 1)) END AS first FROM a),
+      c AS (SELECT *, CASE WHEN named THEN length(regexp_extract(lower(text), '(?s)^(.*?)' || regexp_replace(lower(msg), '[ \t]+', '\\s+', 'g'), 1)) ELSE first END AS spot,
+        tab AND regexp_matches(lower(ls[1]), 'er') AS steps,
+        list_filter(flatten(list_transform(range(1, least(3, len(grid)) + 1), lambda i: list_transform(range(2, len(grid[i]) + 1), lambda j: {{'i': i, 'j': j}}))),
+          lambda h: lower(grid[h.i][h.j]) = 'the' AND h.i < len(grid))[1] AS head,
+        CASE WHEN NOT tab THEN list_filter(ls, lambda l: regexp_matches(lower(l), '{THE}') AND contains(lower(l), 'ing'))[1] END AS line,
+        CASE WHEN NOT tab THEN list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n'), lambda l: regexp_matches(lower(l), '{THE}') AND contains(lower(l), 'ation'))[1] END AS sentence,
+        list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '^\s*\d+\s*\|')) AS nums FROM b),
+      d AS (SELECT *, steps AND len(list_filter(grid[2:3], lambda r: len(r) > 1 AND regexp_matches(lower(r[2]), '^the($|[^a-z0-9])'))) > 0 AS proc,
+        coalesce(list_filter(range(1, len(grid[head.i]) + 1), lambda j: grid[head.i][j] <> grid[head.i][1])[1] - 1, head.j - 1) AS nlab,
+        list_filter(nums, lambda i: contains(lower(ls[i]), lower(msg)))[1] AS mine FROM c),
+      e AS (SELECT *, CASE WHEN head IS NOT NULL THEN array_to_string(list_concat([grid[head.i][head.j]], list_transform(grid[head.i + 1:],
+          lambda r: array_to_string(list_filter(r[1:nlab], lambda x, k: list_position(r, x) = k), ' · ') || ' | ' || r[head.j])), chr(10)) END AS col,
+        CASE WHEN steps THEN 0 ELSE greatest(spot - 160, 0) END AS low,
+        CASE WHEN named AND tab AND mine IS NOT NULL THEN array_to_string(ls[mine : coalesce(list_filter(nums, lambda i: i > mine)[1] - 1, len(ls))], chr(10)) END AS rws FROM d),
+      f AS (SELECT *, coalesce(col, CASE WHEN proc THEN text END, substr(text, CAST(low AS BIGINT) + 1, 1400)) AS part FROM e),
+      g AS (SELECT *, spot IS NOT NULL AS found, col IS NULL AND NOT steps AND regexp_matches(part, '\.{{3,}}\s*\d+') AS toc FROM f)
+      SELECT qid, id, round(CASE WHEN NOT found THEN score WHEN toc THEN 0.0 ELSE score + CASE WHEN named THEN 4.0 ELSE 0 END
+          + CASE WHEN sentence IS NOT NULL OR col IS NOT NULL OR proc OR line IS NOT NULL THEN 2.0 WHEN regexp_matches(lower(part), 'an|check') THEN 0.18 ELSE 0 END END, 6) AS score,
+        CASE WHEN found AND NOT toc THEN CASE WHEN sentence IS NOT NULL THEN 'operation_detail' WHEN col IS NOT NULL THEN 'comparison' WHEN proc THEN 'steps'
+          WHEN line IS NOT NULL THEN 'precaution' WHEN rws IS NOT NULL THEN 'message' END END AS evidence,
+        CASE WHEN found AND NOT toc THEN md5(coalesce(sentence, label || chr(10) || line, rws, label || chr(10) || part)) END AS excerpt FROM g"""
 )
 def boost_action_i15c(t):
-    out = pages.boost_action(scored(t).filter(F.length("text") > 0), "text", "score", F.substring("text", 5, 12), ["on"], ["check", "the"])
-    return out.select("doc_id", F.round("score", 6).alias("score"))
+    """The 20 best passages of each question; lines with bars are the rows of their tables."""
+    d = docs(t)
+    top = lexical.bm25_topk(questions(t), "qid", "qtext", d, "id", "text", None, 20).drop("bm25_rank")
+    cells = F.transform(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit("|"))), lambda x: F.transform(F.split(x, r"\|"), F.trim))
+    rows = top.join(d.select("id", "text", F.col("doc").alias("label"), cells.alias("grid")), "id").join(
+        questions(t).select("qid", F.col("qtext").alias("question")), "qid")
+    return shown(evidence.boost_action(rows, ["the"], FAULT_WORDS), "qid", "id", "evidence")
+
+
+INCIDENT_WORDS = evidence.WORDING._replace(condition=term_pattern(["the"]), action=term_pattern(["was", "hed"]))
+PASSAGE_SQL = "(SELECT doc_id AS id, text FROM documents)"
+TFIDF_BLOCKS = tfidf_sql(WORDS_SQL, QUESTION_SQL, "bd", PASSAGE_SQL)
+
+
+@query(
+    "general_incident_i15d",
+    rf"""WITH ln AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls FROM {SCORED_SQL} WHERE kind = 'passage'),
+      bl AS (SELECT id, list_filter(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN regexp_matches(lower(ls[i]), '{THE}') AND regexp_matches(lower(ls[i]), '(^|[^a-z0-9])(was|hed)($|[^a-z0-9])')
+          THEN ls[i] || CASE WHEN i < len(ls) AND NOT regexp_matches(ls[i], '[.!?。]\s*$') THEN ' ' || ls[i + 1] ELSE '' END END), lambda x: x IS NOT NULL) AS b FROM ln),
+      bd AS (SELECT id, array_to_string(b, chr(10)) AS text FROM bl WHERE len(b) > 0), {TFIDF_BLOCKS}
+      SELECT qid, id, score, md5(substr(text, 1, 1100)) AS excerpt FROM ti JOIN bd USING (id)""",
+)
+def general_incident_i15d(t):
+    passages = scored(t).withColumnRenamed("doc_id", "id")
+    out = evidence.general_incident(passages, questions(t), wording=INCIDENT_WORDS)
+    return shown(out, "qid", "id")
 
 
 @query("item_coverage_i16")

@@ -356,12 +356,6 @@ def test_two_identifiers_do_not_repeat_an_item(spark):
     assert values(keep_identified(items, "q", "t", "kind", wanted)) == [(1, "pictures", "see A1 and B2"), (1, "text", "x")]
 
 
-@pytest.mark.parametrize("text, want", [("the of", 2), ("the\n of", 1), ("of, the", 2), ("then of", 0), ("the" + "x" * 3 + " of", 0), ("_the_ of", 2), ("the " + "-" * 101 + " of", 1)])
-def test_terms_on_one_line(spark, text, want):
-    scored = spark.createDataFrame([(text, 0.0)], "t string, score double")
-    assert pages.boost_terms(scored, "t", "score", ["the"], ["of"]).first().score == want
-
-
 def test_windows_end_at_lines():
     from plantlens.operators.chunking import cut_windows
 
