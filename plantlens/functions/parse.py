@@ -4,34 +4,88 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Replacements that turn page markup into text, applied in this order.
-MARKUP_STEPS = (
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""),
-    (r'(?i)<img[^>]*\balt="([^"]+)"[^>]*>', "\n[그림 설명] $1\n"),
-    (r"(?i)<(tr|div|p|br|table)(\s[^>]*)?/?>", "\n"),
-    (r"(?i)</(td|th)\s*>", " | "),
-    (r"(?i)</(tr|div|p|table)\s*>", "\n"),
-    (r"<[!/a-zA-Z][^>]*>", ""),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&amp;", "&"),
-    (r"\n[ \t]*\n([ \t]*\n)+", "\n\n"),
-)
+from .rules import WARNING_TITLE, is_warning_icon
+
+TAG = r"""</?[a-zA-Z](?:[^'">]++|"[^"]*+"|'[^']*+')*+>"""
+ENTITY = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]{0,31};?)"
+TOKEN = rf"(?s)<!--.*?-->|(?i:<(script|style)\b[^>]*+>.*?</\1\s*+>)|<[!?][^>]*+>|{TAG}|{ENTITY}|[^<&]++|[<&]"
+OPENS_LINE, CLOSES_LINE, CLOSES_CELL = ("tr", "div", "p", "br", "table"), ("tr", "div", "p", "table"), ("td", "th")  # fixed values
+PICTURE = "[그림 설명] "
+
+
+def _character(code: Column) -> Column:
+    """The character of a numeric reference: bytes 128 to 159 as Windows text, none for codes that are no text, the replacement mark for no character."""
+    windows = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)}
+    old = F.element_at(F.create_map(*[F.lit(x) for pair in windows.items() for x in pair]), code.cast("int"))
+    control = (code < 9) | ((code > 13) & (code < 32)) | (code == 11) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    wrong = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(wrong, "\ufffd").when(code == 13, "\r").when(control, "").when(code.between(0x80, 0x9F), old).otherwise(plain)
+
+
+def _entity(token: Column) -> Column:
+    """Text of one character reference; a name without its semicolon is read by its longest known beginning."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    number = F.regexp_extract(token, r"^&#([0-9]+)", 1)
+    hexed = F.regexp_extract(token, r"^&#[xX]([0-9a-fA-F]+)", 1)
+    code = F.when(number != "", number.try_cast("bigint")).otherwise(F.conv(F.when(F.length(hexed) <= 8, hexed).otherwise("ffffffff"), 16, 10).try_cast("bigint"))
+    name = F.substring(token, F.lit(2), F.length(token))
+    begun = [F.concat(F.element_at(names, F.substring(name, 1, n)), F.substring(name, F.lit(n + 1), F.length(name))) for n in range(6, 1, -1)]
+    named = F.coalesce(F.element_at(names, name), *begun, token)
+    common = F.when(token == "&amp;", "&").when(token == "&lt;", "<").when(token == "&gt;", ">").when(token == "&quot;", '"')
+    return common.when(token.startswith("&#"), _character(code)).otherwise(named)
+
+
+def unescape(text: Column) -> Column:
+    """Character references of a text replaced by what they stand for."""
+    parts = F.regexp_extract_all(text, F.lit(rf"{ENTITY}|[^&]++|&"), F.lit(0))
+    read = lambda p: F.when(F.startswith(p, F.lit("&")) & (F.length(p) > 1), _entity(p)).otherwise(p)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, read), "")).otherwise(text)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    value = lambda i: F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", i)
+    return unescape(F.concat(value(1), value(2), value(3)))
+
+
+def _token_text(token: Column) -> Column:
+    """What one token of the markup adds to the text."""
+    name = F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    label = _attribute(token, "alt")
+    image = F.when((label == "") | is_warning_icon(label), "").otherwise(F.concat(F.lit("\n" + PICTURE), label, F.lit("\n")))
+    ends = F.startswith(token, F.lit("</")) | F.endswith(token, F.lit("/>"))
+    opened = F.when(~F.startswith(token, F.lit("</")) & name.isin(*OPENS_LINE), "\n").otherwise("")
+    closed = F.when(ends & name.isin(*CLOSES_CELL), " | ").when(ends & name.isin(*CLOSES_LINE), "\n").otherwise("")
+    tag = F.when(name == "img", F.when(F.startswith(token, F.lit("</")), "").otherwise(image)).otherwise(F.concat(opened, closed))
+    markup = F.startswith(token, F.lit("<")) & (F.length(token) > 1)
+    dropped = token.rlike(r"(?i)^<(?:[!?]|(?:script|style)\b)")
+    entity = F.startswith(token, F.lit("&")) & (F.length(token) > 1)
+    return F.when(markup, F.when(dropped, "").otherwise(tag)).when(entity, _entity(token)).otherwise(token)
 
 
 def page_text(html: Column) -> Column:
-    """Readable text of a page: cells end with a bar, blocks break lines, image labels are kept."""
-    out = html
-    for pattern, replacement in MARKUP_STEPS:
+    """Readable text of a page of markup and Markdown.
+
+    The page is read once as tokens: cells end with a bar, blocks break lines, comments, scripts and styles go, character references are read and
+    images leave their label. Warning icons leave nothing, be they images of the markup, Markdown images or annotations in bold with their list.
+    """
+    icon = rf"\s*(?i:{WARNING_TITLE})\s*"
+    steps = (
+        (rf"(?m)^\*\*\[그림\]{icon}(?:[:：](?:(?!\*\*)[^\n])*+)?\*\*[^\n]*+(?:\n[ \t]++-[^\n]*+)*+", ""),
+        (rf"!\[{icon}(?:[:：][^\]]*+)?\]\([^)]++\)", ""),
+        (r"!\[([^\]]*+)\]\([^)]++\)", r"\[그림 설명\] $1"),
+        (r"\n[ \t]*+\n(?:[ \t]*+\n)++", "\n\n"),
+        (r"^\s+|\s+$", ""),
+    )
+    out = F.array_join(F.transform(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), _token_text), "")
+    for pattern, replacement in steps:
         out = F.regexp_replace(out, pattern, replacement)
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    return out
 
 
 def table_cells(df: DataFrame, key: str, html: str) -> DataFrame:
@@ -102,7 +156,7 @@ def _flattener():
     @F.pandas_udf("array<struct<path:string,value:string>>")
     def flatten_json(docs: pd.Series, prefixes: pd.Series) -> pd.Series:
         return pd.Series(
-            [[{"path": p, "value": v} for p, v in walk(json.loads(d), prefix)] for d, prefix in zip(docs, prefixes)]
+            [[{"path": p, "value": v} for p, v in (walk(json.loads(d), prefix) if d else ())] for d, prefix in zip(docs, prefixes)]
         )
 
     return flatten_json

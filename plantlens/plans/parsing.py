@@ -34,18 +34,29 @@ def project_spec_b9(t):
     return parse.project_spec(df, SPEC)
 
 
-def _markup_sql(column: str) -> str:
-    out = column
-    for pattern, replacement in parse.MARKUP_STEPS:
-        pattern = pattern.replace("'", "''")
-        replacement = replacement.replace("$1", "\\1").replace("'", "''")
-        out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
-    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
-
-
-@query("page_text_b17", f"SELECT page_id, md5({_markup_sql('html')}) AS body, CAST(length({_markup_sql('html')}) AS BIGINT) AS n FROM pages")
+PICTURES = ("Warning sign: hot", "Diagram of a warning: pump", "경고 표지", "Fuse &amp; box &copy;", "")
+PAGE_SQL = f"""(SELECT page_id, '<td>k</td><IMG src="a.png" alt="' || label || '"/>' || html || chr(10) || '**[그림] ' || label || '** note' || chr(10) || '  - more' || chr(10)
+    || 'rest ![' || label || '](x.png) end' AS html FROM (SELECT *, list_extract({list(PICTURES)}, CAST(page_id % 5 + 1 AS INT)) AS label FROM pages))"""
+MARKUP_SQL = PAGE_SQL
+for _pattern, _text in (
+    (r"(?s)<!--.*?-->", ""), (r"(?is)<script\b[^>]*>.*?</script\s*>", ""), (r"(?is)<style\b[^>]*>.*?</style\s*>", ""), ("<![^>]*>", ""),
+    (r'(?i)<img src="a.png" alt="(?:Warning sign: hot|경고 표지|)"/>', ""), (r'(?i)<img src="a.png" alt="([^"]*)"/>', r"\n[그림 설명] \1\n"),
+    (r"(?i)<(tr|div|p|br|table)(\s[^>]*)?/?>", r"\n"), (r"(?i)</(td|th)\s*>", " | "), (r"(?i)</(tr|div|p|table)\s*>", r"\n"), ("</?[a-zA-Z][^>]*>", ""),
+    ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;?", "&"),
+    (r"\*\*\[그림\] (Warning sign: hot|경고 표지)\*\* note\n  - more", ""), (r"!\[(Warning sign: hot|경고 표지)\]\(x.png\)", ""),
+    (r"!\[([^\]]*)\]\([^)]+\)", r"[그림 설명] \1"), (r"\n[ \t]*\n([ \t]*\n)+", r"\n\n"), (r"^\s+|\s+$", ""),
+):  # newlines are written as chr(10), since the engine reads \n in patterns only
+    _to = "'" + _text.replace("\\n", "' || chr(10) || '") + "'"
+    MARKUP_SQL = f"(SELECT page_id, regexp_replace(html, '{_pattern}', {_to}, 'g') AS html FROM {MARKUP_SQL})"
+
+
+@query("page_text_b17", f"SELECT page_id, md5(html) AS body, CAST(length(html) AS BIGINT) AS n FROM {MARKUP_SQL}")
 def page_text_b17(t):
-    body = parse.page_text(F.col("html"))
+    """Pages between an image in front and an annotation and a Markdown image behind, warning icons among them."""
+    label = F.get(F.array(*map(F.lit, PICTURES)), (F.col("page_id") % 5).cast("int"))
+    html = F.concat(
+        F.lit('<td>k</td><IMG src="a.png" alt="'), label, F.lit('"/>'), "html", F.lit("\n**[그림] "), label, F.lit("** note\n  - more\nrest !["), label, F.lit("](x.png) end"))
+    body = parse.page_text(html)
     return t.pages.select("page_id", F.md5(body).alias("body"), F.length(body).cast("bigint").alias("n"))
 
 
