@@ -6,12 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from .ordered import topk
 
-QUERY_BLOCK = 4096  # queries held by one task at a time
+QUERY_BLOCK = 4096  # queries in one unit
+ROW_BLOCK = 8192  # rows in one unit
 UNIT = 2048  # rows of either side in one similarity unit
 
 
@@ -51,66 +54,62 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[order]
 
 
+def _grid(asked: DataFrame, rows: DataFrame, ask_key: list[str], row_key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt to the units (part, i, j) of a grid: at most about QUERY_BLOCK rows of ``asked`` meet ROW_BLOCK of ``rows`` in one.
+
+    Each row goes to every unit of its line or column; a part that one side lacks has no unit.
+    """
+    many = lambda df, size, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = cut_lineage(many(asked, QUERY_BLOCK, "n_i").join(many(rows, ROW_BLOCK, "n_j"), "part"))
+
+    def deal(df: DataFrame, key: list[str], own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*key), F.col(own_n)).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other)
+        return df.join(sizes, "part").select("*", mine, every).drop("n_i", "n_j")
+
+    return deal(asked, ask_key, "i", "n_i", "j", "n_j"), deal(rows, row_key, "j", "n_j", "i", "n_i")
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    whole = column.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
+
+
+def _in_units(asked: DataFrame, rows: DataFrame, unit, schema: str) -> DataFrame:
+    keys = ["part", "i", "j"]
+    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(unit, schema)
+
+
 def vector_topk(
     queries: DataFrame, qid: str, qvec: str, vectors: DataFrame, id: str, vec: str, k: int, part: str | None = None
 ) -> DataFrame:
     """Best k rows per query by inner product (cosine for unit vectors), in (qid, id, score, rank).
 
-    Queries are taken in blocks of at most QUERY_BLOCK rows. Each task keeps its k best rows per query of the
-    block and emits only those. Among equal scores at the cut the larger id survives; the output is ordered
-    by score, then id. With ``part`` a query only sees rows of its own part.
+    Queries and rows meet in the units of a grid, one matrix product each, which hand on their k best rows per query. Among equal scores at the
+    cut the larger id survives; the output is ordered by score, then id. With ``part`` a query only sees rows of its own part.
     """
-    spark = vectors.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    columns = [F.col(qid).alias("qid"), F.col(qvec).cast("array<double>").alias("qvec")]
-    columns.append((F.col(part) if part else F.lit(0)).cast("string").alias("qpart"))
-    asked = queries.select(*columns)
-    rows = vectors.select(
-        F.col(id).alias("id"),
-        F.col(vec).cast("array<double>").alias("vec"),
-        (F.col(part) if part else F.lit(0)).cast("string").alias("part"),
-    )
+    own = lambda: (F.col(part) if part else F.lit("")).cast("string").alias("part")
+    asked = queries.select(own(), F.col(qid).alias("qid"), F.col(qvec).cast("array<double>").alias("qvec"))
+    rows = vectors.select(own(), F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
     id_type, qid_type = rows.schema["id"].dataType.simpleString(), asked.schema["qid"].dataType.simpleString()
-    out = None
-    for block in range(blocks):
-        some = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toPandas() if blocks > 1 else asked.toPandas()
-        if some.empty:
-            continue
-        held = spark.sparkContext.broadcast(
-            (some["qid"].to_numpy(), np.stack(some["qvec"].to_numpy()), some["qpart"].to_numpy())
-        )
-        found = rows.mapInPandas(_scan(held, k), f"qid {qid_type}, id {id_type}, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], f"qid {qid_type}, id {id_type}, score double, rank int")
-    kept = topk(out, ["qid"], [F.col("score").desc(), F.col("id").desc()], k, "__r").drop("__r")
-    return topk(kept, ["qid"], [F.col("score").desc(), F.col("id").asc()], k)
 
-
-def _scan(held, k: int):
-    def run(batches):
-        qids, matrix, qparts = held.value
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch["id"].to_numpy()
-            scores = np.round(np.stack(batch["vec"].to_numpy()) @ matrix.T, 6)
-            parts = batch["part"].to_numpy()
-            for j in range(len(qids)):
-                mine = np.flatnonzero(parts == qparts[j])
-                if not len(mine):
-                    continue
-                s, i = scores[mine, j], ids[mine]
-                if j in best:
-                    s, i = np.concatenate([best[j][0], s]), np.concatenate([best[j][1], i])
-                keep = _best(s, i, k)
-                best[j] = (s[keep], i[keep])
-        for j, (s, i) in best.items():
-            yield pd.DataFrame({"qid": [qids[j]] * len(i), "id": i, "score": s + 0.0})
-
-    return run
+    def unit(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, which, values = [], [], []
+        if left.num_rows and right.num_rows:
+            ids = right["id"].to_numpy()
+            scores = np.round(_matrix(left["qvec"]) @ _matrix(right["vec"]).T, 6) + 0.0
+            for q, row in enumerate(scores):
+                best = _best(row, ids, k)
+                at.append(np.full(len(best), q))
+                which.append(best)
+                values.append(row[best])
+        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return pa.table({
+            "qid": left["qid"].take(pa.array(flat(at, np.int64))), "id": right["id"].take(pa.array(flat(which, np.int64))), "score": pa.array(flat(values, float))})
+
+    found = _in_units(*_grid(asked, rows, ["qid"], ["id"]), unit, f"qid {qid_type}, id {id_type}, score double")
+    kept = topk(found, ["qid"], [F.col("score").desc(), F.col("id").desc()], k, "__r").drop("__r")
+    return topk(kept, ["qid"], [F.col("score").desc(), F.col("id").asc()], k)
 
 
 def similar_topk(df: DataFrame, id: str, vec: str, threshold: float, per_row: int) -> DataFrame:
@@ -185,34 +184,28 @@ def similar_topk(df: DataFrame, id: str, vec: str, threshold: float, per_row: in
 def maxsim(queries: DataFrame, qid: str, token: str, qvec: str, patches: DataFrame, page: str, vec: str) -> DataFrame:
     """Late interaction: per page the best patch of every query token, summed over the tokens.
 
-    Each task reduces its patches to one maximum per (query token, page); no pair of token and patch is stored.
+    Tokens and patches meet in the units of a grid; each reduces its patches to one maximum per (query token, page), so no pair of token and
+    patch is stored.
     """
-    spark = patches.sparkSession
-    asked = queries.select(F.col(qid).alias("qid"), F.col(token).alias("token"), F.col(qvec).cast("array<double>").alias("v"))
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    rows = patches.select(F.col(page).alias("page"), F.col(vec).cast("array<double>").alias("vec"))
-    schema = ", ".join(
-        [f"qid {asked.schema['qid'].dataType.simpleString()}", f"token {asked.schema['token'].dataType.simpleString()}",
-         f"page {rows.schema['page'].dataType.simpleString()}", "best double"]
-    )
-    out = None
-    for block in range(blocks):
-        some = asked.filter(F.pmod(F.xxhash64("qid", "token"), F.lit(blocks)) == block).toPandas()
-        if some.empty:
-            continue
-        held = spark.sparkContext.broadcast((some["qid"].to_numpy(), some["token"].to_numpy(), np.stack(some["v"].to_numpy())))
-
-        def run(batches, held=held):
-            qids, toks, matrix = held.value
-            for batch in batches:
-                if batch.empty:
-                    continue
-                scores = np.stack(batch["vec"].to_numpy()) @ matrix.T
-                for page_key, where in batch.groupby("page").indices.items():
-                    yield pd.DataFrame({"qid": qids, "token": toks, "page": page_key, "best": scores[where].max(0)})
-
-        found = rows.mapInPandas(run, schema)
-        out = found if out is None else out.unionByName(found)
-    best = out.groupBy("qid", "token", "page").agg(F.max("best").alias("best"))
+    asked = queries.select(F.lit("").alias("part"), F.col(qid).alias("qid"), F.col(token).alias("token"), F.col(qvec).cast("array<double>").alias("v"))
+    rows = patches.select(F.lit("").alias("part"), F.col(page).alias("page"), F.col(vec).cast("array<double>").alias("vec"))
+    kind = lambda df, name: f"{name} {df.schema[name].dataType.simpleString()}"
+
+    def unit(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = pc.sort_indices(right["page"])
+        right = right.take(order)
+        page_of = right["page"].combine_chunks()
+        codes = page_of.dictionary_encode().indices.to_numpy() if right.num_rows else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        n, pages = left.num_rows, len(first)
+        best = np.zeros((n, 0))
+        if n and pages:
+            best = np.maximum.reduceat(_matrix(left["v"]) @ _matrix(right["vec"]).T, first, axis=1)
+        tokens = pa.array(np.repeat(np.arange(n), best.shape[1]))
+        return pa.table({
+            "qid": left["qid"].take(tokens), "token": left["token"].take(tokens), "page": page_of.take(pa.array(np.tile(first, n if pages else 0))), "best": best.ravel()})
+
+    schema = f"{kind(asked, 'qid')}, {kind(asked, 'token')}, {kind(rows, 'page')}, best double"
+    found = _in_units(*_grid(asked, rows, ["qid", "token"], ["page", "vec"]), unit, schema)
+    best = found.groupBy("qid", "token", "page").agg(F.max("best").alias("best"))
     return best.groupBy("qid", "page").agg(F.round(F.sum("best"), 6).alias("score"))

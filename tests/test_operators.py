@@ -58,6 +58,7 @@ def test_vector_topk_in_blocks_equals_brute_force(spark, monkeypatch):
     data = rng.normal(size=(300, 8))
     df = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(data)], "id int, v array<double>, part int").repartition(5)
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 70)
     got = {(r["qid"], r["rank"]): r["id"] for r in vectors.vector_topk(df, "id", "v", df, "id", "v", 4, "part").collect()}
     scores = np.round(data @ data.T, 6)
     for q in range(300):
