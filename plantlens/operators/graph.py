@@ -82,62 +82,86 @@ def adaptive_hops(edges: DataFrame, seeds: DataFrame, min_sections: int = 2, cap
     return one.join(enough, "qid", "left_semi").withColumn("hops", F.lit(1)).unionByName(two.withColumn("hops", F.lit(2)))
 
 
+STATE = ("kind", "edge_id", "src", "dst", "score", "depth", "pick")
+PICKED, OPEN, CACHED, NODE, WANTED = range(5)
+
+
 def best_first(
     edges: DataFrame, seeds: DataFrame, queries: DataFrame, max_triples: int = 20, floor: float = 0.30, max_depth: int = 4
 ) -> DataFrame:
     """Edges in the order a best-first walk picks them by their cosine with the query.
 
-    ``edges``: edge_id, src, dst, vec; ``seeds``: qid, node; ``queries``: qid, qvec. A node can contribute at
-    most its ``max_triples`` best out-edges to the walk, so only those travel on; the walk itself then sees a
-    group bounded by max_triples and max_depth.
+    ``edges``: edge_id, src, dst, vec; ``seeds``: qid, node; ``queries``: qid, qvec. The walk keeps a state of bounded size per query: its picks, the
+    best open edges (no more than it can still pick), and the out-edges of the nodes that those lead to. A round looks up, for all queries at
+    once, the nodes whose out-edges a pick may open, ``max_triples`` of them each; then every walk goes on until it needs a node that it has
+    not seen. State is checkpointed each round; there are at most ``max_triples`` rounds, seldom more than ``max_depth`` + 2.
     """
     asked = queries.select("qid", "qvec")
-    frontier = seeds.select("qid", "node").distinct()
-    seen, kept = frontier, None
-    for _ in range(max_depth + 1):
-        scored = (
-            frontier.join(edges, F.col("node") == F.col("src"))
-            .join(asked, "qid")
-            .withColumn("score", F.round(dot(F.col("qvec"), F.col("vec")), 6))
-            .filter(F.col("score") >= floor)
-            .select("qid", "src", "dst", "edge_id", "score")
-        )
-        best = topk(scored, ["qid", "src"], [F.col("score").desc(), F.col("edge_id")], max_triples, "__r").drop("__r")
-        kept = best if kept is None else kept.unionByName(best)
-        frontier = best.select("qid", F.col("dst").alias("node")).distinct().join(seen, ["qid", "node"], "left_anti")
-        seen = seen.unionByName(frontier)
-    held = cut_lineage(
-        kept.withColumn("seed", F.lit(False)).unionByName(
-            seeds.select("qid", F.col("node").alias("src"), F.lit(None).cast(kept.schema["dst"].dataType).alias("dst"),
-                         F.lit(None).cast(kept.schema["edge_id"].dataType).alias("edge_id"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("seed"))
-        )
+    scored = lambda nodes: (
+        nodes.join(edges, F.col("node") == F.col("src")).join(small(asked), "qid")
+        .withColumn("score", F.round(dot(F.col("qvec"), F.col("vec")), 6)).filter(F.col("score") >= floor)
+        .select("qid", "src", "dst", "edge_id", "score")
     )
-    types = {f.name: f.dataType.simpleString() for f in held.schema.fields}
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        out_edges: dict = {}
-        for row in group[~group["seed"]].itertuples():
-            out_edges.setdefault(row.src, []).append((-row.score, row.edge_id, row.src, row.dst))
-        heap, visited, picked = [], set(), []
-
-        def visit(node, depth):
-            if node not in visited:
-                visited.add(node)
-                for edge in out_edges.get(node, ()):
-                    heapq.heappush(heap, (*edge, depth))
-
-        for node in group[group["seed"]]["src"]:
-            visit(node, 0)
-        while heap and len(picked) < max_triples:
-            score, edge_id, src, dst, depth = heapq.heappop(heap)
-            picked.append((group["qid"].iloc[0], len(picked) + 1, edge_id, src, dst, -score))
-            if depth < max_depth:
-                visit(src, depth + 1)
-                visit(dst, depth + 1)
-        return pd.DataFrame(picked, columns=["qid", "pick", "edge_id", "src", "dst", "score"])
-
-    schema = f"qid {types['qid']}, pick int, edge_id {types['edge_id']}, src {types['src']}, dst {types['dst']}, score double"
-    return held.groupBy("qid").applyInPandas(walk, schema)
+    best = [F.col("score").desc(), F.col("edge_id")]
+
+    def rows(df: DataFrame, kind: int) -> DataFrame:
+        null = lambda c: F.col(c) if c in df.columns else F.lit(None).cast(types[c])
+        return df.select("qid", F.lit(kind).alias("kind"), *[null(c).alias(c) for c in STATE[1:]])
+
+    types = {c: edges.schema[c].dataType for c in ("edge_id", "src", "dst")} | {"score": "double", "depth": "int", "pick": "int"}
+    schema = f"qid {seeds.schema['qid'].dataType.simpleString()}, kind int, " + ", ".join(
+        f"{c} {types[c] if isinstance(types[c], str) else types[c].simpleString()}" for c in STATE[1:])
+    first = topk(scored(seeds.select("qid", "node").distinct()), ["qid"], best, max_triples, "__r").withColumn("depth", F.lit(0))
+    state = cut_lineage(rows(first, OPEN).groupBy("qid").applyInPandas(_walk(max_triples, max_depth), schema))
+    for _ in range(max_triples):
+        wanted = state.filter(F.col("kind") == WANTED).select("qid", F.col("dst").alias("node"))
+        if wanted.isEmpty():
+            break
+        found = topk(scored(small(wanted)), ["qid", "src"], best, max_triples, "__r")
+        more = rows(found, CACHED).unionByName(rows(wanted.withColumnRenamed("node", "src"), NODE))
+        held = state.filter(F.col("kind") != WANTED).unionByName(more)
+        state = cut_lineage(held.groupBy("qid").applyInPandas(_walk(max_triples, max_depth), schema))
+    return state.filter(F.col("kind") == PICKED).select("qid", "pick", "edge_id", "src", "dst", "score")
+
+
+def _walk(max_triples: int, max_depth: int):
+    """Go on with the walk of one query as far as its state reaches; what it lacks to go on becomes WANTED."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        by_kind = {kind: list(rows[["score", "edge_id", "src", "dst", "depth", "pick"]].itertuples(index=False)) for kind, rows in group.groupby("kind")}
+        picked = sorted(by_kind.get(PICKED, []), key=lambda r: r.pick)
+        queue = [(-r.score, r.edge_id, r.src, r.dst, int(r.depth)) for r in by_kind.get(OPEN, [])]
+        heapq.heapify(queue)
+        cache: dict = {r.src: [] for r in by_kind.get(NODE, [])}
+        for r in by_kind.get(CACHED, []):
+            cache[r.src].append(r)
+        visited = {r.src for r in picked} | {r.dst for r in picked if r.depth < max_depth}
+        picked = [(r.score, r.edge_id, r.src, r.dst, int(r.depth)) for r in picked]
+        known = {edge for _, edge, *_ in picked} | {q[1] for q in queue}
+        while queue and len(picked) < max_triples:
+            cost, edge, src, dst, depth = queue[0]
+            opens = depth < max_depth and dst not in visited
+            if opens and dst not in cache:
+                break
+            heapq.heappop(queue)
+            picked.append((-cost, edge, src, dst, depth))
+            if opens:
+                visited.add(dst)
+                for r in cache[dst]:
+                    if r.edge_id not in known:
+                        known.add(r.edge_id)
+                        heapq.heappush(queue, (-r.score, r.edge_id, r.src, r.dst, depth + 1))
+        queue = heapq.nsmallest(max_triples - len(picked), queue)
+        leads = {dst for *_, dst, depth in queue if depth < max_depth and dst not in visited}
+        out = [(PICKED, e, s, d, score, depth, n) for n, (score, e, s, d, depth) in enumerate(picked, 1)]
+        out += [(OPEN, e, s, d, -cost, depth, None) for cost, e, s, d, depth in queue]
+        out += [(NODE, None, n, None, None, None, None) for n in leads if n in cache]
+        out += [(CACHED, r.edge_id, r.src, r.dst, r.score, None, None) for n in leads if n in cache for r in cache[n]]
+        out += [(WANTED, None, None, n, None, None, None) for n in leads if n not in cache]
+        frame = pd.DataFrame(out, columns=list(STATE)).astype({"edge_id": object, "depth": object, "pick": object})
+        return frame.assign(qid=group["qid"].iloc[0])[["qid", *STATE]]
+
+    return run
 
 
 def sections_to_chunks(titles: DataFrame, chunks: DataFrame, limit: int = 8) -> DataFrame:

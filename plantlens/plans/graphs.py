@@ -136,29 +136,50 @@ def edge_vectors(t):
     n = t.embeddings.agg(F.count("*").alias("n")).scalar()
     e = order_graph(t)
     back = e.select((F.col("edge_id") + 50000000).alias("edge_id"), F.col("dst").alias("src"), F.col("src").alias("dst"), "section")
-    return e.unionByName(back).withColumn("vec_id", F.pmod(F.xxhash64("edge_id"), n)).join(t.embeddings, "vec_id").select(
+    return e.unionByName(back).withColumn("vec_id", F.col("edge_id") % n).join(t.embeddings, "vec_id").select(
         "edge_id", "src", "dst", F.col("embedding").alias("vec")
     )
 
 
 def walk_inputs(t):
-    seeds = t.orders.groupBy((F.col("o_custkey") % 10).cast("int").alias("qid")).agg(
-        F.concat(F.lit("o"), F.max_by("o_orderkey", "o_totalprice")).alias("node")
-    )
+    """Every label asks from the open orders of its customers."""
+    labels = t.embeddings.agg(F.count_distinct("label").alias("n")).scalar()
+    seeds = t.orders.filter("o_orderstatus = 'P'").select((F.col("o_custkey") % labels).cast("int").alias("qid"), F.concat(F.lit("o"), "o_orderkey").alias("node"))
     unit = vectors.unit_vectors(centroids(t), "cvec")
     return edge_vectors(t), seeds, unit.select(F.col("label").alias("qid"), F.col("cvec").alias("qvec"))
 
 
-@query("best_first_j6")
+WALK_SQL = f"""sd AS (SELECT DISTINCT CAST(o_custkey % (SELECT count(DISTINCT label) FROM embeddings) AS INT) AS qid, 'o' || o_orderkey AS node FROM orders WHERE o_orderstatus = 'P'),
+  ed AS (SELECT edge_id, src, dst FROM {GRAPH_SQL} UNION ALL SELECT edge_id + 50000000, dst, src FROM {GRAPH_SQL}),
+  se AS (SELECT * FROM (SELECT c.label AS qid, edge_id, src, dst, round(list_dot_product(cvec, CAST(embedding AS DOUBLE[])) / sqrt(list_dot_product(cvec, cvec)), 6) AS score
+    FROM ed JOIN embeddings ON vec_id = edge_id % (SELECT count(*) FROM embeddings), {CENTROID_SQL} c) WHERE score >= 0.3),
+  s0 AS (SELECT * FROM {top_sql('(SELECT se.* FROM se JOIN sd ON sd.qid = se.qid AND node = src)', 20, 'qid', 'score DESC, edge_id', 'r0')}),
+  w(qid, k, picked, nodes, depths) AS (
+    SELECT qid, 0, []::BIGINT[], []::VARCHAR[], []::INT[] FROM s0 GROUP BY qid
+    UNION ALL
+    SELECT qid, k + 1, list_append(picked, b.edge), CASE WHEN b.depth < 4 AND NOT list_contains(nodes, b.dst) THEN list_append(nodes, b.dst) ELSE nodes END,
+      CASE WHEN b.depth < 4 AND NOT list_contains(nodes, b.dst) THEN list_append(depths, b.depth + 1) ELSE depths END
+    FROM (SELECT qid, any_value(k) AS k, any_value(picked) AS picked, any_value(nodes) AS nodes, any_value(depths) AS depths,
+        arg_min(struct_pack(edge := edge_id, dst := dst, depth := depth), row(-score, edge_id, depth)) AS b
+      FROM (SELECT w.*, edge_id, dst, score, 0 AS depth FROM w JOIN s0 USING (qid)
+        UNION ALL SELECT x.qid, k, picked, nodes, depths, edge_id, dst, score, depth FROM (SELECT *, unnest(nodes) AS node, unnest(depths) AS depth FROM w) x JOIN se ON se.qid = x.qid AND se.src = node)
+      WHERE k < 20 AND NOT list_contains(picked, edge_id) GROUP BY qid)),
+  walk AS (SELECT qid, CAST(unnest(range(1, len(picked) + 1)) AS INT) AS pick, unnest(picked) AS edge_id FROM (SELECT qid, arg_max(picked, k) AS picked FROM w GROUP BY qid))"""
+
+
+@query("best_first_j6", f"WITH RECURSIVE {WALK_SQL} SELECT qid, pick, edge_id, src, dst, score FROM walk JOIN se USING (qid, edge_id)")
 def best_first_j6(t):
-    edges, seeds, asked = walk_inputs(t)
-    return graph.best_first(edges, seeds, asked, floor=0.05, max_depth=2)
+    return graph.best_first(*walk_inputs(t))
 
 
-@query("triple_hits_j12")
+@query(
+    "triple_hits_j12",
+    f"""WITH RECURSIVE {WALK_SQL}, nm AS (SELECT DISTINCT l_orderkey * 100000000 + l_partkey AS edge_id, ' Order ' || l_orderkey AS s, l_returnflag AS p, 'Part ' || l_partkey AS o FROM lineitem),
+      fi AS (SELECT s, p, o, arg_min(chunk_id, row(chunk_id, pos)) AS chunk_id FROM {TRIPLE_SQL} GROUP BY ALL)
+      SELECT DISTINCT qid, s, p, o, chunk_id, 'passage::' || chunk_id AS passage FROM walk JOIN nm USING (edge_id) JOIN fi USING (s, p, o)""",
+)
 def triple_hits_j12(t):
-    edges, seeds, asked = walk_inputs(t)
-    picked = graph.best_first(edges, seeds, asked, floor=0.05, max_depth=2)
+    picked = graph.best_first(*walk_inputs(t))
     named = t.lineitem.select(
         (F.col("l_orderkey") * 100000000 + F.col("l_partkey")).alias("edge_id"), F.concat(F.lit(" Order "), F.col("l_orderkey")).alias("s"),
         F.col("l_returnflag").alias("p"), F.concat(F.lit("Part "), F.col("l_partkey")).alias("o"),

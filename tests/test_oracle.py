@@ -21,7 +21,7 @@ def con():
 
 
 #: Their results depend on an order that SQL cannot state; test_operators.py holds them against brute force.
-NO_TWIN = {"split_recursive_c1", "refine_c3", "item_coverage_i16", "best_first_j6", "triple_hits_j12", "trace_lines_l10c"}
+NO_TWIN = {"split_recursive_c1", "refine_c3", "item_coverage_i16", "trace_lines_l10c"}
 
 
 def test_every_other_query_has_a_twin():
