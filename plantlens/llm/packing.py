@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -67,9 +68,10 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[tuple[int, int
 def _measure(path: str, capacity: int, end: int, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, LEADING)
-        tail = end.to_bytes(4, "little")
         for batch in slices(batches):
-            docs = [ids + tail for ids in encode.texts(batch.column("text").to_pylist())]
+            ids, size = encode.column(batch.column("text"), end)
+            raw, ends = ids.tobytes(), (4 * np.cumsum(size)).tolist()
+            docs = [raw[a:b] for a, b in zip([0, *ends], ends)]
             parts = [[d[i : i + 4 * capacity] for i in range(0, len(d), 4 * capacity)] for d in docs]
             yield pa.record_batch(
                 [

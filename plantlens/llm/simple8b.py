@@ -102,11 +102,9 @@ def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
 def _code(path: str, end: int, borders: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path, BARE)
-        tail = end.to_bytes(4, "little")
         for batch in slices(batches):
-            docs = [ids + tail for ids in tokens.texts(batch.column("text").to_pylist())]
-            size = np.array([len(d) // 4 for d in docs], np.int64)
-            words, escapes, ends = encode(np.frombuffer(b"".join(docs), "<u4"), np.cumsum(size))
+            tokened, size = tokens.column(batch.column("text"), end)
+            words, escapes, ends = encode(tokened, np.cumsum(size))
             raw, cut = words.tobytes(), [0, *(8 * ends).tolist()]
             escaped = np.cumsum(np.append(0, (words >> SHIFT) == ESCAPE))[np.append(0, ends)]
             ids = batch.column("doc_id")

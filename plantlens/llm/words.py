@@ -20,7 +20,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 GRAM = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _table(separators: set[int], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def table(separators: set[int], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(is a word byte, byte after folding A-Z) for each byte value."""
     word = np.array([b not in separators for b in range(256)])
     fold = np.array([b + 32 if lower and 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
@@ -28,9 +28,9 @@ def _table(separators: set[int], lower: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 SPACES = {0x20, *range(0x09, 0x0E)}
-PLAIN = _table(SPACES, lower=False)
-FOLDED = _table(SPACES, lower=True)
-ALNUM = _table({b for b in range(0x80) if not (chr(b).isascii() and chr(b).isalnum())}, lower=True)
+PLAIN = table(SPACES, lower=False)
+FOLDED = table(SPACES, lower=True)
+ALNUM = table({b for b in range(0x80) if not (chr(b).isascii() and chr(b).isalnum())}, lower=True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,13 +110,16 @@ class Words:
 
     @cached_property
     def hash(self) -> np.ndarray:
-        """Hashes of the words, for HASH_BYTES of text at a time."""
-        out, low = np.empty(len(self), np.uint64), 0
-        while low < len(self):
-            base = self.start[low]
-            high = max(low + 1, int(np.searchsorted(self.end, base + HASH_BYTES, "right")))
-            part = self.fold[self.data[base : self.end[high - 1]]].astype(np.uint64) + np.uint64(1)
-            out[low:high] = run_hash(part, self.start[low:high] - base, self.end[low:high] - base)
+        return self.hashes(self.start, self.end)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of ascending spans of the texts, for HASH_BYTES of text at a time."""
+        out, low = np.empty(len(start), np.uint64), 0
+        while low < len(start):
+            base = start[low]
+            high = max(low + 1, int(np.searchsorted(end, base + HASH_BYTES, "right")))
+            part = self.fold[self.data[base : end[high - 1]]].astype(np.uint64) + np.uint64(1)
+            out[low:high] = run_hash(part, start[low:high] - base, end[low:high] - base)
             low = high
         return out
 

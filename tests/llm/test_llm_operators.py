@@ -491,3 +491,30 @@ def test_decontamination(spark, docs, nothing, monkeypatch, block):
     assert cleaned.columns == docs.columns and cleaned.count() == sum(not w[-1] for w in want)
     assert winnow.contamination(nothing, bench).count() == 0
     assert not any(r.contaminated for r in winnow.contamination(docs, bench.limit(0)).collect())
+
+
+def test_piece_table_finds_what_it_holds():
+    known, rng = tokens.Known(), np.random.default_rng(11)
+    hashes = np.unique(rng.integers(1, 1 << 63, 70_000).astype(np.uint64) >> np.uint64(20) << np.uint64(20))  # crowded slots
+    held = {}
+    for part in np.array_split(rng.permutation(hashes), 7):
+        assert (known.find(part) == -1).all()
+        ids = [int(h).to_bytes(8, "little") * (int(h) % 3) for h in part]
+        for h, ref, x in zip(part.tolist(), known.add(part, np.ones(len(part), np.int64), part, ids).tolist(), ids):
+            held[h] = (ref, x)
+    for h, ref in zip(hashes.tolist(), known.find(hashes).tolist()):
+        assert held[h] == (ref, known.ids[known.place[ref] : known.place[ref + 1]].tobytes())
+
+
+@pytest.mark.parametrize("path, style", [(BYTE, tokens.LEADING), (WORD, tokens.BARE)])
+def test_ids_do_not_depend_on_the_cache(path, style, monkeypatch):
+    texts = [*TEXTS, " a  b ", "\n\n", " \t x", "tail \n", "<|endoftext|> x", "a" * 5000, "don't can't", "x" * 8 + "y", "x" * 8 + "z"]
+    tokenizer = Tokenizer.from_file(path)
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder = tokens.Encoder(path, style)
+    assert encoder.texts(texts) == want == encoder.texts(texts)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 10)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 10)
+    assert [encoder.texts([t])[0] for t in texts] == want
+    monkeypatch.setattr(Words, "hashes", lambda self, start, end: (end - start).astype(np.uint64) % np.uint64(5))  # nearly all agree
+    assert tokens.Encoder(path, style).texts(texts) == want
