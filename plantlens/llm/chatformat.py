@@ -84,14 +84,23 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return chats.select("conv_id", F.when(parse(F.col("formatted")).eqNullSafe(F.col("wanted")), F.col("formatted")).otherwise(broken).alias("formatted"), "loss")
 
 
+def masked_texts(formatted: Column, loss: Column) -> Column:
+    """The source texts of the spans of a loss mask: each is cut out of the document and undone if the mark before it says so."""
+
+    def text(span: Column) -> Column:
+        cut = F.substr(formatted, span["start"] + 1, span["length"])
+        return F.when(F.substr(formatted, span["start"] - 1, F.lit(1)) == "!", unescape(cut)).otherwise(cut)
+
+    return F.transform(loss, text)
+
+
 def read_back(chats: DataFrame) -> DataFrame:
-    """Counts and digests of what the formatted documents say."""
-    turns = parse(F.col("formatted"))
-    read = chats.select("conv_id", "formatted", turns.alias("turns"))
+    """Counts and digests of what the formatted documents say; the loss is read by the mask."""
+    read = chats.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), masked_texts(F.col("formatted"), F.col("loss")).alias("learned"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    masked = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == MASKED), lambda t: t["text"]), "")
+    learned = F.array_join("learned", "")
     return read.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
-        F.length(masked).cast("bigint").alias("loss_chars"), F.sha2(masked.cast("binary"), 256).alias("loss_sha256"),
+        F.length(learned).cast("bigint").alias("loss_chars"), F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )

@@ -22,7 +22,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import small
 from .components import stored
 from .identity import one_of_repeated, repeated, without
 
@@ -225,5 +224,5 @@ def one_of_equal(docs: DataFrame) -> DataFrame:
     """One row of each text, with all its columns: of the rows that are kept, repeated ones (same id or none) count once."""
     rows = stored(digests(docs), "digests")
     twice = stored(repeated(rows), "repeated")
-    kept = without(docs, digest_of(docs["text"]), small(stored(_gone(_judged(rows)), "gone")))
+    kept = without(docs, digest_of(docs["text"]), stored(_gone(_judged(rows)), "gone"))
     return one_of_repeated(kept, digest_of(kept["text"]), twice)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import small
 
 
 def _same(docs: DataFrame, digest: Column, keys: DataFrame) -> Column:
@@ -18,8 +17,11 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, digest: Column, keys: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the keys name."""
-    return docs.join(keys, _same(docs, digest, keys), "left_anti")
+    """``docs`` without the rows that the keys name.
+
+    One plan at every size: both sides are dealt by the key, the names become the hash table and the texts stream past it unsorted.
+    """
+    return docs.join(keys.hint("shuffle_hash"), _same(docs, digest, keys), "left_anti")
 
 
 def one_of_repeated(docs: DataFrame, digest: Column, keys: DataFrame) -> DataFrame:
@@ -30,6 +32,6 @@ def one_of_repeated(docs: DataFrame, digest: Column, keys: DataFrame) -> DataFra
     if keys.isEmpty():
         return docs
     whole = F.struct(*(docs[f"`{name}`"] for name in docs.columns))
-    tied = docs.join(small(keys), _same(docs, digest, keys)).select(whole.alias("row"), keys["_id"], keys["_digest"])
+    tied = docs.join(keys.hint("shuffle_hash"), _same(docs, digest, keys)).select(whole.alias("row"), keys["_id"], keys["_digest"])
     best = tied.groupBy("_id", "_digest").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return without(docs, digest, keys).unionByName(best)

@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import small
 from .components import components, stored
 from .identity import one_of_repeated, repeated, without
 from .superkmer import NEVER, ROW, ROWS, _opened, _rows, _texts, ids_of, pack, unpack
@@ -382,5 +381,5 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESH
     leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("digest") == F.col("lead.digest"))
     gone = placed.join(lead, "group").where(~leads).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     twice = stored(repeated(placed.select("doc_id", "digest")), "repeated")
-    kept = without(docs, digest_of(docs["text"]), small(stored(gone, "gone")))
+    kept = without(docs, digest_of(docs["text"]), stored(gone, "gone"))
     return one_of_repeated(kept, digest_of(kept["text"]), twice)

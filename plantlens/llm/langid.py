@@ -5,8 +5,8 @@ presence kernel of two texts is the cosine of their sets. LANDMARKS texts of eac
 ridge regression for each language against the rest is solved. As the kernel is linear in the presence vectors, the solved model is one SLOTS
 x languages matrix, and a batch is scored by one matrix product.
 
-Training reads a bounded sample: about SAMPLE labelled texts of each language (LANDMARKS of them as landmarks), drawn by a hash of the id from
-rows that are not held out. Held out are rows whose crc32 of the id as text is 2 modulo 4. A prediction sees the text alone.
+Training reads a bounded sample: at most SAMPLE labelled texts of each language (LANDMARKS of them as landmarks), those with the smallest hashes of id
+and text among rows that are not held out, so null ids and copies keep the bound. Held out are rows whose crc32 of the id as text is 2 modulo 4. A prediction sees the text alone.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0, as is every text when no row is labelled; a null doc_id
 counts as empty text for the held-out rule; repeated rows get equal results; ties go to the first language by name. Other columns
@@ -15,13 +15,13 @@ travel inside a struct, so they may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .words import flat, slices, text_of
@@ -33,6 +33,7 @@ LANDMARKS = 64
 RIDGE = 1e-2
 ROWS_AT_ONCE = 256
 SLICE = 1 << 20
+LEAST = 0.4  # score below which no classifier claims a text
 UNKNOWN = "und"
 
 
@@ -109,26 +110,38 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(F.rlike(text, F.lit(r"\p{L}")), F.lit(False))
 
 
+def _draw() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+
+
+def different(rows: DataFrame) -> dict[str, int]:
+    """About how many different rows each language has."""
+    return {r.lang: max(1, r.n) for r in rows.groupBy("lang").agg(F.approx_count_distinct(_draw()).alias("n")).collect()}
+
+
+def drawn(rows: DataFrame, counts: dict[str, int], most: int) -> DataFrame:
+    """(text, lang) of the rows with the smallest draws, ``most`` of a language; copies share a draw, so their number is cut too."""
+    draw = _draw()
+    share = F.element_at(F.create_map(*(F.lit(x) for n, c in counts.items() for x in (n, min(1.0, 2 * most / c)))), F.col("lang"))
+    few = rows.where(has_letter(F.col("text")) & (draw < share)).select("text", "lang", draw.alias("draw"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    return few.withColumn("place", place).where(F.col("place") <= most).select("text", "lang")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model:
-    """``docs`` has doc_id, text and lang; at most about ``sample`` texts of each language are read whole."""
+    """``docs`` has doc_id, text and lang; at most ``sample`` texts of each language are learned from."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = different(rows)
     names = sorted(counts)
     if not names:
         return Model([], np.zeros((SLOTS, 0), np.float32))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-
-    def drawn(most: int) -> DataFrame:
-        share = F.element_at(F.create_map(*(F.lit(x) for n in names for x in (n, min(1.0, most / counts[n])))), F.col("lang"))
-        return rows.where(has_letter(F.col("text")) & (draw < share)).select("text", "lang")
-
-    bits = drawn(landmarks).mapInArrow(_bits, "lang string, bits binary").orderBy("lang", "bits").collect()
+    bits = drawn(rows, counts, landmarks).mapInArrow(_bits, "lang string, bits binary").orderBy("lang", "bits").collect()
     if not bits:
         return Model([], np.zeros((SLOTS, 0), np.float32))
     marks = unit(np.unpackbits(np.array([np.frombuffer(r.bits, np.uint8) for r in bits]).reshape(-1, SLOTS // 8), axis=1).astype(np.float32))
     sent = spark.sparkContext.broadcast(marks)
-    found = drawn(sample).mapInArrow(_kernel(sent), "lang string, kernel binary").orderBy("lang", "kernel").collect()
+    found = drawn(rows, counts, sample).mapInArrow(_kernel(sent), "lang string, kernel binary").orderBy("lang", "kernel").collect()
     kernel = np.array([np.frombuffer(r.kernel, np.float32) for r in found], np.float64).reshape(-1, len(marks))
     target = np.array([[1.0 if r.lang == n else -1.0 for n in names] for r in found]).reshape(-1, len(names))
     square = (marks @ marks.T).astype(np.float64)
@@ -161,6 +174,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), schema)
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is in a language, with all their columns."""
-    return predict(docs, train(docs)).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+def keep_known(docs: DataFrame, wanted: Sequence[str] | None = None, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` whose text is in a ``wanted`` language (any that the labelled rows teach, if null), with all their columns.
+
+    A text whose best language scores below ``least`` belongs to none: every one-versus-rest classifier is far from claiming it.
+    """
+    known = F.col("lang_pred") != UNKNOWN if wanted is None else F.col("lang_pred").isin(*wanted)
+    return predict(docs, train(docs)).where(known & (F.col("score") >= least)).select("row.*")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brute import alnum_words, brute_components, folded, plain_words, shingles
@@ -175,11 +176,15 @@ def test_chats_survive(spark):
         digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in rows).encode()).hexdigest()
         assert (read[conv].n_turns, read[conv].turns_sha256) == (len(rows), digest)
         assert (read[conv].loss_chars, read[conv].loss_sha256) == (len(masked), hashlib.sha256(masked.encode()).hexdigest())
-        spans = [out[conv].formatted[s.start : s.start + s.length] for s in out[conv].loss]
-        assert len(spans) == sum(r == "assistant" for r, _ in rows)
-        assert all(s == t or "\\" in s for s, t in zip(spans, (t for r, t in rows if r == "assistant")))
+        text = out[conv].formatted
+        spans = [(text[s.start - 2], text[s.start : s.start + s.length], text[s.start + s.length :]) for s in out[conv].loss]
+        codes = {"\\\\": "\\", "\\h": "#", "\\l": "<"}
+        undone = [re.sub(r"\\[\\hl]", lambda m: codes[m[0]], s) if mark == "!" else s for mark, s, _ in spans]
+        assert undone == [t for r, t in rows if r == "assistant"] and all(rest.startswith("</turn>") for *_, rest in spans)
         assert out[conv].formatted.count("</turn>") == len(rows)
     assert chatformat.format_chats(turns.limit(0)).count() == 0
+    moved = formatted.withColumn("loss", F.transform("loss", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"])))
+    assert all(r.loss_sha256 != read[r.conv_id].loss_sha256 for r in chatformat.read_back(moved).collect() if read[r.conv_id].loss_chars)
 
 
 # 3 Simple-8b
@@ -518,3 +523,27 @@ def test_ids_do_not_depend_on_the_cache(path, style, monkeypatch):
     assert [encoder.texts([t])[0] for t in texts] == want
     monkeypatch.setattr(Words, "hashes", lambda self, start, end: (end - start).astype(np.uint64) % np.uint64(5))  # nearly all agree
     assert tokens.Encoder(path, style).texts(texts) == want
+
+
+def test_training_sample_is_bounded_with_null_and_repeated_ids(spark):
+    rows = [(None, "the same text of many copies", "en")] * 400 + [(7, f"texte {i} de la ville", "fr") for i in range(300)] + [(None, f"der Text {i} und mehr", "de") for i in range(300)]
+    docs = stored(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4), "copies")
+    held = {r.lang: r["count"] for r in langid.drawn(docs, langid.different(docs), 50).groupBy("lang").count().collect()}
+    assert held == {"en": 50, "fr": 50, "de": 50}
+    found = langid.predict(docs, langid.train(docs, 100, 20)).groupBy("row.lang", "lang_pred").count().collect()
+    right = sum(r["count"] for r in found if r["lang"] == r["lang_pred"])
+    assert right >= 600
+
+
+def test_language_filter_wants_languages_and_a_score(docs, spark):
+    many = spark.createDataFrame([(i, t, l) for i in range(40) for t, l in ((f"the text of number {i} and more", "en"), (f"le texte {i} de la ville", "fr"))], "doc_id bigint, text string, lang string")
+    english = langid.keep_known(many, ["en"])
+    assert {r.lang for r in english.collect()} == {"en"} and english.count() == 40
+    assert langid.keep_known(many, least=0.0).count() == 80 and langid.keep_known(many, least=1.1).count() == 0
+
+
+def test_dropped_rows_take_one_plan(docs, spark):
+    plan = cuckoo.one_of_equal(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+    plan = jaccard.one_of_each(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan

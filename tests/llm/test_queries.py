@@ -12,7 +12,7 @@ from check import compare
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from plantlens.llm import queries, registry
+from plantlens.llm import langid, queries, registry
 from plantlens.session import TABLES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -105,8 +105,9 @@ def test_op7(spark, docs):
 
 
 def test_pipeline(spark, con, docs):
-    """Every stage by brute force; the classifier's part is whether a text has a letter."""
-    kept = [(d, t) for d, t, _ in docs if any(c.isalpha() for c in t)]
+    """Every stage by brute force; what the classifier says is read from its own query."""
+    said = {r.doc_id: r for r in registry.QUERIES["op6_language_id"](spark, SF_DIR).collect()}
+    kept = [(d, t) for d, t, _ in docs if said[d].lang_pred != "und" and said[d].score >= langid.LEAST]
     first = {}
     for d, t in kept:
         key = " ".join(plain_words("x" + t + "x"))
