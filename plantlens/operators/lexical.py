@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import tokens
-from ..session import cut_lineage, small
+from ..session import cut_lineage, fresh_path, small
 from .ordered import topk
 
 # Fixed values of the ranking formula.
@@ -34,27 +34,42 @@ def _tokenised(df: DataFrame, part: str | None, **columns: Column) -> DataFrame:
     return df.select(*held, *[c.alias(n) for n, c in columns.items()])
 
 
-def corpus_stats(docs: DataFrame, id: str, part: str | None, text: str) -> tuple[DataFrame, DataFrame]:
+def index(docs: DataFrame, id: str, part: str | None, text: str, terms: Callable[[Column], Column] = tokens) -> DataFrame:
+    """Stored postings ([part,] id, dl, term, tf), and a row without a term for each document; dl is the number of its tokens.
+
+    Texts are read and cut once. A document's tokens are counted where they were cut, so only its postings move.
+    """
+    keys = _keys(part)
+    rows = _tokenised(docs, part, id=F.col(id), tk=F.coalesce(terms(F.col(text)), F.array().cast("array<string>")))
+    rows = rows.select(*keys, "id", F.size("tk").cast("bigint").alias("dl"), F.explode(F.array_append("tk", F.lit(None))).alias("term"))
+    held = rows.groupBy(*keys, "id", "dl", "term").agg(F.count("*").alias("tf"))
+    path = fresh_path(docs.sparkSession, "postings")
+    held.write.parquet(path)
+    return docs.sparkSession.read.schema(held.schema).parquet(path)
+
+
+def index_stats(postings: DataFrame, part: str | None) -> tuple[DataFrame, DataFrame]:
     """Per part (or for the whole corpus): document count and mean length; per term: document frequency and idf.
 
-    One pass over the texts: every document adds its distinct terms and one row without a term that carries its
-    length, so the map side combines both kinds. The result is stored once, as the statistics of an index are.
     A negative idf becomes EPSILON times the mean idf over all terms, negatives included.
     """
     keys = _keys(part)
-    toks = _tokenised(docs, part, tk=tokens(F.col(text)))
-    rows = toks.select(*keys, F.size("tk").cast("bigint").alias("dl"), F.array_append(F.array_distinct("tk"), F.lit(None)).alias("tk"))
-    rows = rows.select(*keys, "dl", F.explode_outer("tk").alias("term"))
-    stats = cut_lineage(rows.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("dl").alias("len")))
-    totals = stats.filter("term is null").select(*keys, F.col("df").alias("n_docs"), (F.col("len") / F.col("df")).alias("avgdl"))
-    df = _with_totals(stats.filter("term is not null").select(*keys, "term", "df"), totals, part)
-    raw = df.withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    documents = postings.filter("term is null")
+    totals = documents.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    df = postings.filter("term is not null").groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    raw = _with_totals(df, totals, part).withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = cut_lineage(raw.select(*keys, "term", "df", "raw_idf"))
     floors = raw.groupBy(*keys).agg((EPSILON * F.avg("raw_idf")).alias("floor_idf"))
     raw = _with_totals(raw, floors, part)
     idf = F.when(F.col("raw_idf") < 0, F.col("floor_idf")).otherwise(F.col("raw_idf"))
     return totals, raw.select(*keys, "term", "df", idf.alias("idf"))
 
 
+def corpus_stats(docs: DataFrame, id: str, part: str | None, text: str) -> tuple[DataFrame, DataFrame]:
+    """``index_stats`` of documents."""
+    return index_stats(index(docs, id, part, text), part)
+
+
 def _with_totals(df: DataFrame, totals: DataFrame, part: str | None) -> DataFrame:
     """Columns of a one-row-per-part table beside each row; for the whole corpus they are scalars."""
     if part:
@@ -67,24 +82,20 @@ def bm25_scores(
 ) -> DataFrame:
     """([part,] qid, id, score) of every document sharing a term with a query of the same part.
 
-    Tokens outside the query vocabulary are dropped first; the rest is shuffled once by document, and
-    counting, weighting and summing all happen inside that partitioning.
+    The corpus is indexed once; statistics and scoring read the postings. Those of terms that no query has are dropped before anything
+    moves, and the gains are summed on the map side first.
     """
     keys = _keys(part)
-    totals, idf = corpus_stats(docs, id, part, text)
+    postings = index(docs, id, part, text)
+    totals, idf = index_stats(postings, part)
     asked = _tokenised(queries, part, qid=F.col(qid), tk=tokens(F.col(qtext))).select(*keys, "qid", F.explode_outer("tk").alias("term"))
     times = asked.filter("term is not null").groupBy(*keys, "qid", "term").agg(F.count("*").alias("times"))
     weights = times.join(idf, [*keys, "term"]).select(*keys, "qid", "term", (F.col("times") * F.col("idf")).alias("weight"))
     wanted = cut_lineage(weights)
-    vocabulary = small(wanted.select(*keys, "term").distinct())
-    counted = _tokenised(docs, part, id=F.col(id), tk=tokens(F.col(text)))
-    counted = counted.select(*keys, "id", F.size("tk").cast("bigint").alias("dl"), "tk")
-    held = counted.select(*keys, "id", "dl", F.explode_outer("tk").alias("term")).join(vocabulary, [*keys, "term"], "left_semi")
-    tf = held.repartition(*keys, "id").groupBy(*keys, "id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     gain = F.col("weight") * (F.col("tf") * (K1 + 1) / norm)
     return (
-        _with_totals(tf, totals, part)
+        _with_totals(postings.filter("term is not null"), totals, part)
         .join(small(wanted), [*keys, "term"])
         .groupBy(*keys, "id", "qid")
         .agg(F.round(F.sum(gain), 6).alias("score"))
@@ -148,19 +159,17 @@ def tfidf_scores(
 ) -> DataFrame:
     """Cosine of sublinear tf times smoothed idf, for every document sharing a term with a query.
 
-    The postings (id, term, tf) are counted and stored once; document frequencies, lengths and the products with
-    the queries are read from them. ``statistics`` (the same text column) gives the frequencies where they are those of another corpus;
+    The corpus is indexed once; document frequencies, lengths and the products with the queries are read from the postings. ``statistics`` (the same text column) gives the frequencies where they are those of another corpus;
     terms that it lacks count for nothing.
     """
-    tk = docs.select(F.col(id).alias("id"), terms(F.col(text)).alias("tk"))
-    rows = tk.select("id", F.explode_outer("tk").alias("term")).filter("term is not null")
-    tf = cut_lineage(rows.groupBy("id", "term").agg(F.count("*").alias("tf")))
+    postings = index(docs, id, None, text, terms)
+    tf = postings.filter("term is not null")
     if statistics is None:
-        n, df = docs.agg(F.count("*").alias("n")).scalar(), tf.groupBy("term").agg(F.count("*").alias("df"))
+        held = postings
     else:
-        n = statistics.agg(F.count("*").alias("n")).scalar()
-        held = statistics.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-        df = held.groupBy("term").agg(F.count("*").alias("df"))
+        held = index(statistics.withColumn("id", F.monotonically_increasing_id()), "id", None, "text", terms)
+    n = held.filter("term is null").agg(F.count("*").alias("n")).scalar()
+    df = held.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     weight = (1 + F.log("tf")) * F.col("idf")
     weighted = tf.join(idf, "term").withColumn("w", weight)
