@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-PARTS = "['en', 'fr', 'de', 'es']"
+LANGS_SQL = "(SELECT list_sort(list(DISTINCT lang)) FROM documents WHERE lang IS NOT NULL)"
+LABELS_SQL = "(SELECT list_sort(list(DISTINCT label)) FROM embeddings)"
 
 # questions: one row per benchmark passage, its own machine (language) and the mean vector of one label
 CENTROID_SQL = """(SELECT label, list(round(a, 6) ORDER BY pos) AS cvec FROM (
     SELECT label, pos, avg(CAST(x AS DOUBLE)) AS a FROM (
       SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY ALL) GROUP BY label)"""
-QUESTION_SQL = f"""(SELECT item_id AS qid, text AS qtext, 'ALL' AS part, list_extract({PARTS}, CAST(item_id % 4 + 1 AS INT)) AS machine, cvec AS qvec
-    FROM benchmark JOIN {CENTROID_SQL} ON label = item_id % 10)"""
+QUESTION_SQL = f"""(SELECT item_id AS qid, text AS qtext, 'ALL' AS part, list_extract({LANGS_SQL}, CAST(item_id % len({LANGS_SQL}) + 1 AS INT)) AS machine, cvec AS qvec
+    FROM benchmark LEFT JOIN {CENTROID_SQL} ON label = list_extract({LABELS_SQL}, CAST(item_id % len({LABELS_SQL}) + 1 AS INT)))"""
 DOCS_SQL = "(SELECT doc_id AS id, text, source AS doc, lang AS machine, 'ALL' AS part, doc_id // 20 AS page FROM documents)"
 VECS_SQL = """(SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, lang AS machine, source AS doc, label, 'ALL' AS part
-    FROM embeddings JOIN documents ON vec_id = doc_id)"""
+    FROM embeddings LEFT JOIN documents ON vec_id = doc_id)"""
 
 
 def centroids(t):
@@ -27,12 +28,17 @@ def centroids(t):
 
 
 def questions(t):
-    machine = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("item_id") % 4 + 1).cast("int"))
+    """Languages and labels in turn, as many as the tables have."""
+
+    def in_turn(df, name):
+        values = df.agg(F.array_sort(F.collect_set(name)).alias("v")).scalar()
+        return F.get(values, (F.col("item_id") % F.size(values)).cast("int"))
+
     q = t.benchmark.select(
-        F.col("item_id").alias("qid"), F.col("text").alias("qtext"), F.lit("ALL").alias("part"), machine.alias("machine"),
-        (F.col("item_id") % 10).cast("int").alias("label"),
+        F.col("item_id").alias("qid"), F.col("text").alias("qtext"), F.lit("ALL").alias("part"), in_turn(t.documents, "lang").alias("machine"),
+        in_turn(t.embeddings, "label").alias("label"),
     )
-    return q.join(centroids(t), "label").select("qid", "qtext", "part", "machine", F.col("cvec").alias("qvec"))
+    return q.join(centroids(t), "label", "left").select("qid", "qtext", "part", "machine", F.col("cvec").alias("qvec"))
 
 
 def docs(t):
@@ -47,7 +53,7 @@ def vecs(t):
     v = t.embeddings.select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label", F.lit("ALL").alias("part")
     )
-    return v.join(d, "id")
+    return v.join(d, "id", "left")
 
 
 TOKEN_SQL = r"'[A-Za-z]+\.?\d*\.?\d*|[가-힣]+|\d+'"

@@ -189,13 +189,12 @@ def nearest_pictures_d13(t):
 @query(
     "symbol_addresses_d15",
     r"""SELECT DISTINCT doc_id, address FROM (SELECT doc_id, unnest(regexp_extract_all(upper(replace(text, 'ß', 'SS')), '[A-Z][A-Z0-9.*_-]+')) AS label FROM documents)
-        JOIN (SELECT DISTINCT upper(replace(substr(text, 1, instr(text || ' ', ' ') - 1), 'ß', 'SS')) AS label, 'X' || item_id AS address FROM benchmark) USING (label)""",
+        JOIN (SELECT label, 'X' || min(item_id) AS address FROM (SELECT item_id, upper(replace(unnest(string_split(text, ' ')), 'ß', 'SS')) AS label FROM benchmark) GROUP BY label) USING (label)""",
 )
 def symbol_addresses_d15(t):
-    words = t.benchmark.select(
-        F.upper(F.substring_index("text", " ", 1)).alias("label"), F.concat(F.lit("X"), F.col("item_id").cast("string")).alias("address")
-    )
-    return catalog.symbol_addresses(t.documents, "doc_id", "text", words, "[A-Z][A-Z0-9.*_-]+")
+    """Every word of the benchmark is a symbol; its address is the first item that has it."""
+    words = t.benchmark.select("item_id", F.explode(F.split("text", " ")).alias("word")).groupBy(F.upper("word").alias("label")).agg(F.min("item_id").alias("i"))
+    return catalog.symbol_addresses(t.documents, "doc_id", "text", words.select("label", F.concat(F.lit("X"), F.col("i").cast("string")).alias("address")), "[A-Z][A-Z0-9.*_-]+")
 
 
 @query(

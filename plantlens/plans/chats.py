@@ -224,18 +224,19 @@ def answer_figures_p9(t):
 
 @query(
     "filter_questions_i18",
-    rf"""WITH c AS (SELECT conv_id AS session, turn AS pos, substr(text, 1, 20 + CAST(turn AS INT) * 60) AS text, turn % 2 AS source FROM conversations),
-          k AS (SELECT *, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS key FROM c WHERE length(trim(text)) <= 200),
-          a AS (SELECT DISTINCT conv_id AS session, lower(trim(regexp_replace(substr(text, 1, 140), '\s+', ' ', 'g'))) AS key FROM conversations WHERE turn = 2)
+    rf"""WITH s AS (SELECT conv_id AS session, turn, turn % 2 AS source, unnest(string_split(text, '. ')) AS text, unnest(range(len(string_split(text, '. ')))) AS i FROM conversations),
+          c AS (SELECT *, turn * 1000000 + i AS pos, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS key FROM s),
+          a AS (SELECT DISTINCT session, key FROM c WHERE turn = 2), k AS (SELECT * FROM c WHERE length(trim(text)) <= 200)
         SELECT session, pos, question_no FROM {top_sql(top_sql('(SELECT * FROM k ANTI JOIN a USING (session, key) WHERE key <> chr(32) AND length(key) > 0 AND (source = 0 OR session % 2 = 0))', 1, 'session, key', 'pos', 'r1'), 3, 'session', 'pos', 'question_no')}""",
 )
 def filter_questions_i18(t):
-    text = F.substring(F.col("text"), F.lit(1), (F.col("turn") * 60 + 20).cast("int"))
-    c = t.conversations.select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), text.alias("text"), (F.col("turn") % 2).alias("source"))
-    asked = t.conversations.filter("turn = 2").select(F.col("conv_id").alias("session"), F.substring("text", 1, 140).alias("text"))
+    """Every sentence is a candidate; those of the third turn are asked already; odd sessions know one source only."""
+    said = t.conversations.select(
+        F.col("conv_id").alias("session"), "turn", (F.col("turn") % 2).alias("source"), F.posexplode(F.split("text", r"\. ")).alias("i", "text"))
+    c = said.withColumn("pos", F.col("turn") * 1000000 + F.col("i"))
     s = t.conversations.select(F.col("conv_id").alias("session")).distinct()
     sources = s.withColumn("source", F.lit(0).cast("bigint")).unionByName(s.filter("session % 2 = 0").withColumn("source", F.lit(1).cast("bigint")))
-    return chat.filter_questions(c, asked, sources).select("session", "pos", "question_no")
+    return chat.filter_questions(c.drop("turn", "i"), said.filter("turn = 2").select("session", "text"), sources).select("session", "pos", "question_no")
 
 
 @query(

@@ -206,15 +206,15 @@ def triple_passages_d17(t):
 
 @query(
     "sections_to_chunks_j7",
-    rf"""WITH c AS (SELECT doc_id AS chunk_id, lower(trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g'))) AS t FROM documents),
-       w AS (SELECT DISTINCT l AS qid, h FROM (SELECT lang AS l, lower(trim(regexp_replace(substr(text, 1, 3 + CAST(doc_id % 4 AS INT)), '\s+', ' ', 'g'))) AS h FROM documents) WHERE h <> '')
+    rf"""WITH c AS (SELECT doc_id AS chunk_id, lower(trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g'))) AS t FROM documents),
+       w AS (SELECT DISTINCT lang AS qid, lower(split_part(text, ' ', 1)) AS h FROM documents WHERE NOT contains(split_part(text, ' ', 1), chr(10)) AND trim(split_part(text, ' ', 1)) <> '')
        SELECT qid, chunk_id, chunk_no FROM {top_sql('(SELECT DISTINCT qid, chunk_id FROM c JOIN w ON starts_with(t, h))', 8, 'qid', 'chunk_id', 'chunk_no')}""",
 )
 def sections_to_chunks_j7(t):
-    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 60).alias("section_title"))
-    titles = t.documents.select(
-        F.col("lang").alias("qid"), F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 4 + 3).cast("int")).alias("title")
-    )
+    """First lines are section titles; the first words of a language's texts ask for them."""
+    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), F.substring_index("text", "\n", 1).alias("section_title"))
+    word = F.substring_index("text", " ", 1)
+    titles = t.documents.filter(~F.contains(word, F.lit("\n"))).select(F.col("lang").alias("qid"), word.alias("title"))
     return graph.sections_to_chunks(titles, chunks)
 
 

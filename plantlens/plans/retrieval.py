@@ -165,7 +165,7 @@ def hybrid_by_container_i6(t):
 
 POOL = "CASE WHEN id % 2 = 0 THEN 'factory_history' ELSE 'company_knowledge' END"
 POOL_DOCS = f"(SELECT *, {POOL} AS pool FROM {DOCS_SQL})"
-POOL_VECS = f"(SELECT *, {POOL} AS pool FROM {VECS_SQL})"
+POOL_VECS = f"(SELECT *, {POOL} AS pool FROM {VECS_SQL} WHERE doc IS NOT NULL)"  # a vector without a document is no case
 POOL_Q = f"(SELECT p || '/' || qid AS qid, qtext, qvec, p AS pool, machine FROM {QUESTION_SQL}, (VALUES ('factory_history'), ('company_knowledge')) x(p))"
 
 
@@ -250,11 +250,13 @@ def maxsim_i8(t):
 
 @query(
     "page_search_i9",
-    f"""WITH {MAXSIM_SQL} SELECT qid, page, score, rank, coalesce(n_name, '') AS text FROM {top_sql('ms', 4, 'qid', 'score DESC, page')} LEFT JOIN nation ON n_nationkey = page AND page > 2""",
+    f"""WITH {MAXSIM_SQL}, tx AS (SELECT label AS page, string_agg(DISTINCT doc, ' ' ORDER BY doc) AS text FROM {VECS_SQL} GROUP BY label HAVING count(doc) > 0)
+      SELECT qid, page, score, rank, coalesce(text, '') AS text FROM {top_sql('ms', 4, 'qid', 'score DESC, page')} LEFT JOIN tx USING (page)""",
 )
 def page_search_i9(t):
-    texts = t.nation.filter("n_nationkey > 2").select(F.col("n_nationkey").alias("page"), F.col("n_name").alias("text"))
-    return pages.page_search(page_scores(t), texts, 4)
+    """The text of a page is the list of the sources of its vectors' documents."""
+    held = vecs(t).filter("doc IS NOT NULL").groupBy(F.col("label").alias("page")).agg(F.array_sort(F.collect_set("doc")).alias("d"))
+    return pages.page_search(page_scores(t), held.select("page", F.array_join("d", " ").alias("text")), 4)
 
 
 @query(

@@ -190,19 +190,22 @@ def graph_problems_a13b(t):
 
 @query(
     "page_evidence_a14",
-    """WITH d AS (SELECT doc_id // 20 AS page, * FROM documents), pg AS (SELECT page FROM d WHERE doc_id % 30 = 0 UNION SELECT page FROM d WHERE doc_id % 50 = 7),
-       ti AS (SELECT page, string_agg(DISTINCT lang, ' · ' ORDER BY lang) AS t FROM d WHERE doc_id % 30 = 0 GROUP BY page),
-       w AS (SELECT page, string_agg(source, ' ' ORDER BY p) AS w FROM (SELECT page, source, min(doc_id) AS p FROM d WHERE doc_id % 40 < 20 GROUP BY ALL) GROUP BY page),
-       x AS (SELECT page, min(text) AS x FROM d WHERE page % 3 > 0 GROUP BY page)
+    """WITH d AS (SELECT doc_id // 20 AS page, * FROM documents), pg AS (SELECT page FROM d UNION SELECT vec_id // 20 FROM embeddings),
+       ti AS (SELECT page, string_agg(DISTINCT lang, ' · ' ORDER BY lang) AS t FROM d GROUP BY page),
+       w AS (SELECT page, string_agg(source, ' ' ORDER BY p) AS w FROM (SELECT page, source, min(doc_id) AS p FROM d JOIN labels USING (doc_id) GROUP BY ALL) GROUP BY page),
+       x AS (SELECT page, string_agg(text, chr(10) ORDER BY doc_id) AS x FROM d GROUP BY page)
        SELECT page, CASE WHEN w IS NOT NULL AND x IS NOT NULL THEN 'full' ELSE 'partial' END AS coverage, md5(concat_ws(chr(10), t, w, x)) AS evidence FROM pg LEFT JOIN ti USING (page) LEFT JOIN w USING (page) LEFT JOIN x USING (page)""",
 )
 def page_evidence_a14(t):
-    d = t.documents.withColumn("page", F.floor(F.col("doc_id") / 20))
+    """Twenty documents are a page; labelled ones give its words, vectors refer to pages, of which some have no document."""
+    page = lambda c: F.floor(F.col(c) / 20).alias("page")
+    d = t.documents.withColumn("page", page("doc_id"))
+    held = d.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
     out = readers.page_evidence(
-        d.filter("doc_id % 30 = 0").select("page", F.col("lang").alias("title")),
-        d.filter("doc_id % 40 < 20").select("page", F.col("doc_id").alias("pos"), F.col("source").alias("word")),
-        d.filter("page % 3 > 0").groupBy("page").agg(F.min("text").alias("text")),
-        d.filter("doc_id % 50 = 7").select("page"),
+        d.select("page", F.col("lang").alias("title")),
+        d.join(t.labels.select("doc_id"), "doc_id").select("page", F.col("doc_id").alias("pos"), F.col("source").alias("word")),
+        held.select("page", F.array_join(F.transform("x", lambda x: x.text), "\n").alias("text")),
+        t.embeddings.select(page("vec_id")),
     )
     return out.select("page", "coverage", F.md5("evidence").alias("evidence"))
 
