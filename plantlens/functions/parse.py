@@ -138,26 +138,25 @@ def spread_cells(cells: DataFrame, key: Sequence[str]) -> DataFrame:
 def _flattener():
     """Scalars of nested JSON with type, length and null markers so that nothing is lost."""
 
-    def walk(value, path):
-        if isinstance(value, dict):
-            yield f"{path}__type", "dict"
-            for name, child in value.items():
-                yield from walk(child, f"{path}__{name}")
-        elif isinstance(value, list):
-            yield f"{path}__type", "list"
-            yield f"{path}__length", str(len(value))
-            for position, child in enumerate(value):
-                yield from walk(child, f"{path}__{position:03d}")
-        elif value is None:
-            yield f"{path}__is_null", "true"
-        else:
-            yield path, value if isinstance(value, str) else json.dumps(value)
+    def scalars(text: str, prefix: str) -> list[dict]:
+        found, level = [], {prefix: json.loads(text)}
+        while level:  # one level of nesting at a time
+            deeper = {}
+            for path, value in level.items():
+                named = value if isinstance(value, dict) else {f"{i:03d}": v for i, v in enumerate(value)} if isinstance(value, list) else None
+                if named is None:
+                    found.append((path, value) if isinstance(value, str) else (path, json.dumps(value)) if value is not None else (f"{path}__is_null", "true"))
+                    continue
+                found.append((f"{path}__type", type(value).__name__))
+                if isinstance(value, list):
+                    found.append((f"{path}__length", str(len(value))))
+                deeper |= {f"{path}__{name}": child for name, child in named.items()}
+            level = deeper
+        return [{"path": p, "value": v} for p, v in found]
 
     @F.pandas_udf("array<struct<path:string,value:string>>")
     def flatten_json(docs: pd.Series, prefixes: pd.Series) -> pd.Series:
-        return pd.Series(
-            [[{"path": p, "value": v} for p, v in (walk(json.loads(d), prefix) if d else ())] for d, prefix in zip(docs, prefixes)]
-        )
+        return pd.Series([scalars(d, prefix) if d else [] for d, prefix in zip(docs, prefixes)])
 
     return flatten_json
 

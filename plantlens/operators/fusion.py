@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import content_key
+from ..session import cut_lineage
 from . import lexical, vectors
 from .ordered import first_per_key, topk
 
@@ -62,6 +63,41 @@ def hybrid(
     return topk(dedup_content(hits, "text", best_first(), keys), keys, best_first(), k)
 
 
+def scoped_hybrid(queries: DataFrame, docs: DataFrame, vecs: DataFrame, scope: DataFrame, k: int, part: str, file: str = "doc") -> DataFrame:
+    """Hybrid search in which a query sees only the files it is routed to; (qid, id, rrf_score, rank, fallback).
+
+    ``queries``: qid, qtext, qvec, part column; ``docs``: id, text, file and part columns; ``vecs``: id, vec, file and part columns; ``scope``: qid and
+    the ``file`` values allowed, none or null for a query that names no manual. The set of files inside a machine is a part of its own, so both rankers read only
+    its rows and BM25 takes its statistics; queries with the same set share it. Where the files of a machine hold no vector, the query falls back to the whole machine.
+    """
+    files = scope.filter(F.col(file).isNotNull()).groupBy("qid").agg(F.array_sort(F.collect_set(file)).alias("__files"))
+    routed = queries.join(files, "qid", "left")
+    key = F.when(F.col("__files").isNotNull(), F.to_json(F.struct(F.col(part).alias("p"), "__files")))
+    routed = cut_lineage(routed.withColumn("__key", key))
+    sets = routed.filter("__key IS NOT NULL").select(part, "__key", F.explode("__files").alias(file)).distinct()
+    live = vecs.select(part, file).distinct().join(sets, [part, file]).select("__key").distinct().withColumn("__live", F.lit(True))
+    asked = routed.join(live, "__key", "left")
+    inside = F.coalesce("__live", F.lit(False))
+    asked = asked.select(
+        "qid", "qtext", "qvec", part, F.when(inside, F.col("__key")).otherwise(F.to_json(F.struct(F.col(part).alias("p")))).alias("__scope"),
+        (F.col("__key").isNotNull() & ~inside).alias("fallback"))
+    asked = cut_lineage(asked)
+    whole = asked.select(part, "__scope").distinct().join(sets.select(F.col("__key").alias("__scope")).distinct(), "__scope", "left_anti")
+    held = sets.withColumnRenamed("__key", "__scope").join(asked.select("__scope").distinct(), "__scope", "left_semi")
+
+    def dealt(df: DataFrame, *columns: str) -> DataFrame:
+        named = df.select("id", *columns, part, file)
+        return named.join(held, [part, file]).select("id", *columns, "__scope").unionByName(named.join(whole, part).select("id", *columns, "__scope"))
+
+    depth = candidate_depth(k)
+    lex = lexical.bm25_topk(asked, "qid", "qtext", dealt(docs, "text"), "id", "text", "__scope", depth)
+    near = vectors.vector_topk(asked, "qid", "qvec", dealt(vecs, "vec"), "id", "vec", depth, "__scope")
+    fused = rrf({"vector": near.select("qid", "id", "rank"), "bm25": lex.select("qid", "id", F.col("bm25_rank").alias("rank"))})
+    hits = fused.join(docs.select("id", "text"), "id")
+    best = topk(dedup_content(hits, "text", best_first()), ["qid"], best_first(), k)
+    return best.join(asked.select("qid", "fallback"), "qid").select("qid", "id", "rrf_score", "rank", "fallback")
+
+
 def _near_by_group(queries: DataFrame, vecs: DataFrame, depth: int, part: str) -> DataFrame:
     flat = queries.withColumn("__q", F.to_json("qid"))
     near = vectors.vector_topk(flat, "__q", "qvec", vecs, "id", "vec", depth, part)

@@ -49,17 +49,6 @@ def page_search(scores: DataFrame, texts: DataFrame, k: int, page: Sequence[str]
     return best.join(texts, list(page), "left").select("qid", *page, "score", "rank", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def scoped_topk(scores: DataFrame, scope: DataFrame, on: Sequence[str], k: int) -> DataFrame:
-    """The k best hits of each query inside its scope; a query without a hit there falls back to all its hits.
-
-    ``scores``: qid, id, score and the ``on`` columns; ``scope``: the allowed values of ``on``.
-    """
-    inside = scores.join(scope.select(*on).distinct(), list(on), "left_semi").withColumn("fallback", F.lit(False))
-    outside = scores.join(inside.select("qid").distinct(), "qid", "left_anti").withColumn("fallback", F.lit(True))
-    both = inside.unionByName(outside)
-    return topk(both, ["qid"], [F.col("score").desc(), F.col("id")], k).select("qid", "id", "score", "rank", "fallback")
-
-
 def nearby_figures(hits: DataFrame, figures: DataFrame, limit: int = 5, already: DataFrame | None = None) -> DataFrame:
     """Figures with a caption on a hit's page or the next one; first mention of a path counts; at most ``limit``.
 

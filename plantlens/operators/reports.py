@@ -17,14 +17,38 @@ from .ordered import topk
 # Fixed values
 STATES = {"0": "stop", "1": "operate", "2": "alarm", "3": "off"}
 DEFAULT_ALARM = "비상정지"
-SECTION_MAP = {
-    "PROD": ("prod", ("summary", "underperform", "processBottleneck", "equipmentBottleneck", "equipmentResult", "workerEfficiency", "equipmentUtilization")),
-    "SHIP": ("ship", ("summary", "customerShipment", "shipmentStatus", "delayCause")),
-    "DELV": ("delv", ("summary", "riskAnalysis", "impactAnalysis", "riskCurrent", "actions", "issues")),
-    "QUAL": ("qual", ("summary", "processQuality", "defectComposition", "equipmentQuality", "workerQuality", "qualityIssues", "customerImpact")),
-    "EQUIP": ("equip", ("statusSummary", "alarmAnalysis", "downtimeImpact")),
-    "ATT": ("att", ("summary", "absenceImpact", "overtimeStatus")),
-}
+SECTIONS = (  # code, step, domain, section
+    ("PROD", 1, "prod", "summary"),
+    ("PROD", 2, "prod", "underperform"),
+    ("PROD", 3, "prod", "processBottleneck"),
+    ("PROD", 4, "prod", "equipmentBottleneck"),
+    ("PROD", 5, "prod", "equipmentResult"),
+    ("PROD", 6, "prod", "workerEfficiency"),
+    ("PROD", 7, "prod", "equipmentUtilization"),
+    ("SHIP", 1, "ship", "summary"),
+    ("SHIP", 2, "ship", "customerShipment"),
+    ("SHIP", 3, "ship", "shipmentStatus"),
+    ("SHIP", 4, "ship", "delayCause"),
+    ("DELV", 1, "delv", "summary"),
+    ("DELV", 2, "delv", "riskAnalysis"),
+    ("DELV", 3, "delv", "impactAnalysis"),
+    ("DELV", 4, "delv", "riskCurrent"),
+    ("DELV", 5, "delv", "actions"),
+    ("DELV", 6, "delv", "issues"),
+    ("QUAL", 1, "qual", "summary"),
+    ("QUAL", 2, "qual", "processQuality"),
+    ("QUAL", 3, "qual", "defectComposition"),
+    ("QUAL", 4, "qual", "equipmentQuality"),
+    ("QUAL", 5, "qual", "workerQuality"),
+    ("QUAL", 6, "qual", "qualityIssues"),
+    ("QUAL", 7, "qual", "customerImpact"),
+    ("EQUIP", 1, "equip", "statusSummary"),
+    ("EQUIP", 2, "equip", "alarmAnalysis"),
+    ("EQUIP", 3, "equip", "downtimeImpact"),
+    ("ATT", 1, "att", "summary"),
+    ("ATT", 2, "att", "absenceImpact"),
+    ("ATT", 3, "att", "overtimeStatus"),
+)
 
 
 def day_status(status: DataFrame, shift_hours: int = 0) -> DataFrame:
@@ -303,8 +327,7 @@ def quality_card(rows: DataFrame, day: str) -> DataFrame:
 def route_sections(df: DataFrame) -> DataFrame:
     """Rows of the report feed placed by (DOMAIN_CD, STEP_NO); unmapped pairs drop out, empty sections stay as
     one row without data. ``df``: domain_cd, step_no and payload columns."""
-    table = [(code, n, domain, section) for code, (domain, names) in SECTION_MAP.items() for n, section in enumerate(names, 1)]
-    template = df.sparkSession.createDataFrame(table, "code string, no int, domain string, section string")
+    template = df.sparkSession.createDataFrame(SECTIONS, "code string, no int, domain string, section string")
     keyed = df.withColumn("code", F.upper(F.trim("domain_cd"))).withColumn("no", F.trim(F.col("step_no").cast("string")).try_cast("int"))
     return template.join(keyed, ["code", "no"], "left").drop("code", "no")
 

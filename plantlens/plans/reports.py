@@ -332,7 +332,7 @@ def quality_card_m9(t):
 
 FEED_SQL = """(SELECT o_orderkey, list_extract(['prod ', 'SHIP', 'delv', 'QUAL', 'EQUIP', 'ATT', 'NONE'], CAST(o_custkey % 7 + 1 AS INT)) AS domain_cd, o_orderkey % 9 AS step_no FROM orders)"""
 MAP_SQL = "(VALUES " + ", ".join(
-    f"('{code}', {n}, '{domain}', '{section}')" for code, (domain, names) in R.SECTION_MAP.items() for n, section in enumerate(names, 1)
+    f"('{code}', {n}, '{domain}', '{section}')" for code, n, domain, section in R.SECTIONS
 ) + ") m(code, no, domain, section)"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import content_key, term_pattern
-from ..operators import evidence, fusion, lexical, pages, vectors
+from ..operators import catalog, evidence, fusion, lexical, pages, vectors
 from ..operators.ordered import first_per_key, topk
 from .bindings import (
     CENTROID_SQL,
@@ -511,26 +511,33 @@ def item_coverage_i16(t):
     return pages.item_coverage(scored(t), "doc_id", "text", "score", items, ["on", "die"])
 
 
-SCOPED_SQL = f"""(SELECT q.*, d.id, d.text, d.scoped FROM {QUESTION_SQL} q JOIN (
-   SELECT *, doc IN ('src1', 'src2', 'src3') AS scoped FROM {DOCS_SQL}) d ON q.machine = d.machine)"""
+ASKED_SQL = f"""(SELECT *, qid % 4 = 1 AS is_p, qid % 4 = 2 AS is_o, qid % 4 = 3 AS is_m FROM {QUESTION_SQL})"""
+IN_P, IN_O = "CAST(substr(doc, 4) AS INT) % 6 = 0", "CAST(substr(doc, 4) AS INT) % 6 = 1"
+SCOPE_Q = f"""(SELECT * FROM (SELECT qid, qtext, qvec, machine, is_m AS fallback,
+    CASE WHEN is_p THEN machine || '/p' WHEN is_o THEN machine || '/o' ELSE machine END AS sc FROM {ASKED_SQL}))"""
+scoped_rows = lambda rel: (
+    f"(SELECT *, machine || '/p' AS sc FROM {rel} WHERE {IN_P} UNION ALL SELECT *, machine || '/o' FROM {rel} WHERE {IN_O} UNION ALL SELECT *, machine FROM {rel})")
 
 
 @query(
     "scoped_search_i17",
-    f"""WITH {BM_MACHINE}, h AS (SELECT bm.qid, bm.id, score, q.machine <> 'es' AND source IN ('src1', 'src2', 'src3') AS allowed
-          FROM bm JOIN documents ON doc_id = id JOIN {QUESTION_SQL} q USING (qid) WHERE score > 0),
-        s AS (SELECT qid, id, score, NOT bool_or(allowed) OVER (PARTITION BY qid) AS fallback, allowed FROM h)
-       SELECT qid, id, score, rank, fallback FROM {top_sql('(SELECT * FROM s WHERE allowed OR fallback)', 5)}""",
+    f"""WITH {bm25_sql(SCOPE_Q, scoped_rows(DOCS_SQL), 'sc')}, {cosine_sql(SCOPE_Q, scoped_rows(VECS_SQL), 'sc')},
+      b AS (SELECT qid, id, rank FROM {top_sql('bm', 20)}), v AS (SELECT qid, id, rank FROM {near_sql(20)}),
+      fu AS (SELECT qid, id, round(coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) AS rrf_score FROM v FULL JOIN b USING (qid, id))
+      SELECT qid, id, rrf_score, rank, fallback FROM {hybrid_tail(5)} JOIN (SELECT qid, fallback FROM {SCOPE_Q}) USING (qid)""",
 )
 def scoped_search_i17(t):
-    """Files allowed per machine; a question without a hit in them falls back to all documents of its machine."""
-    allowed = t.documents.select(F.col("lang").alias("machine"), F.col("source").alias("doc")).filter(
-        F.col("doc").isin("src1", "src2", "src3") & (F.col("machine") != "es")
-    ).distinct()
-    d, q = docs(t), questions(t)
-    scores = lexical.bm25_scores(q, "qid", "qtext", d, "id", "text", "machine").filter("score > 0")
-    rows = scores.select("qid", "id", "score").join(d.select("id", "doc", "machine"), "id")
-    return pages.scoped_topk(rows, allowed, ["machine", "doc"], 5)
+    """Questions in turn ask for controller parameters, operation or maintenance, or for no manual; sources are manuals, those for maintenance were never indexed."""
+    q, d, v = questions(t), docs(t), vecs(t)
+    asks = F.get(F.array(F.lit("뜻"), F.lit("parameter"), F.lit("조작"), F.lit("보수 매뉴얼")), (F.col("qid") % 4).cast("int"))
+    number = F.substring("source", 4, 9).cast("int") % 6
+    kinds = t.documents.select("source", number.alias("n")).distinct()
+    manuals = kinds.select(
+        F.when(F.col("n") % 2 == 0, "controller").otherwise("manual").alias("doc_group"),
+        F.get(F.array(F.lit("parameter"), F.lit("operation"), F.lit("maintenance")), F.col("n") % 3).alias("manual_type"),
+        F.when(F.col("n") % 3 == 2, F.concat(F.lit("old-"), "source")).otherwise(F.col("source")).alias("filename"))
+    routed = catalog.route_manual(q.select("qid", asks.alias("ask")), "ask", manuals)
+    return fusion.scoped_hybrid(q, d, v, routed.select("qid", F.col("filename").alias("doc")), 5, "machine")
 
 
 @query(

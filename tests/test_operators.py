@@ -394,14 +394,25 @@ def test_pictures_that_hits_show_are_not_offered_again(spark):
     assert got == [(1, 1, "p2"), (1, 2, "p3"), (1, 3, "p9"), (2, 1, "p0"), (2, 2, "p1"), (2, 3, "p2")]
 
 
-def test_page_search_by_document_and_scope(spark):
+def test_page_search_by_document(spark):
     scores = spark.createDataFrame([(1, "a", 1, 0.5), (1, "b", 1, 0.9), (1, "b", 2, 0.1)], "qid int, doc string, page int, score double")
     texts = spark.createDataFrame([("a", 1, "A1"), ("b", 2, "B2")], "doc string, page int, text string")
     got = values(pages.page_search(scores, texts, 2, ("doc", "page")).select("qid", "rank", "doc", "text"))
     assert got == [(1, 1, "b", ""), (1, 2, "a", "A1")]
-    hits = spark.createDataFrame([(1, 10, 0.5, "x"), (1, 11, 0.9, "y"), (2, 12, 0.3, "y")], "qid int, id int, score double, doc string")
-    scope = spark.createDataFrame([("x",)], "doc string")
-    assert values(pages.scoped_topk(hits, scope, ["doc"], 3).select("qid", "id", "fallback")) == [(1, 10, False), (2, 12, True)]
+
+
+def test_scoped_search_sees_the_routed_files_only(spark):
+    docs = spark.createDataFrame([(i, f"word{i} pump valve", "xyz"[i % 3], "m" if i < 9 else "n") for i in range(12)], "id int, text string, doc string, machine string")
+    vecs = docs.filter("doc <> 'z'").select("id", "doc", "machine", F.array(F.lit(1.0), F.col("id") / 10.0).alias("vec"))
+    asked = [(1, "word0 word1 pump", "m"), (2, "word2 pump", "m"), (3, "word4 pump", "m"), (4, "word9 pump", "n"), (5, "word0 word3 pump", "m")]
+    queries = spark.createDataFrame([(q, t, m, [0.0, 1.0]) for q, t, m in asked], "qid int, qtext string, machine string, qvec array<double>")
+    scope = spark.createDataFrame([(1, "x"), (2, "z"), (3, None), (4, "y"), (4, "x"), (5, "x")], "qid int, doc string")
+    got = fusion.scoped_hybrid(queries, docs, vecs, scope, 4, "machine").collect()
+    ids = {q: {r["id"] for r in got if r["qid"] == q} for q in range(1, 6)}
+    assert ids[1] == {0, 3, 6} == ids[5] and ids[4] == {9, 10}
+    assert {r["qid"] for r in got if r["fallback"]} == {2}
+    whole = {(r["qid"], r["id"]): r["rrf_score"] for r in fusion.hybrid(queries.filter("qid in (2, 3)"), docs, vecs, 4, "machine").collect()}
+    assert {(r["qid"], r["id"]): r["rrf_score"] for r in got if r["qid"] in (2, 3)} == whole
 
 
 def test_items_of_model_output(spark):
