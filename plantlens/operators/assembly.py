@@ -49,21 +49,26 @@ def row_text(columns: Sequence[str]) -> Column:
 
 
 def fingerprint(df: DataFrame, order: str, columns: Sequence[str], width: int = 1024) -> DataFrame:
-    """Hash of an ordered corpus as a tree: rows, blocks of ``width`` ids, blocks of blocks, root.
+    """Hash of an ordered corpus as a tree: rows, blocks of ``width`` ids, blocks of blocks, until one block is left.
 
-    No task ever holds more than one block of hashes per level.
+    The smallest and the largest id tell how many levels that takes, so no task holds more than one block of hashes however large the corpus
+    is. A null id counts as -1; an empty corpus has the hash of nothing.
     """
     row = F.sha2(row_text(columns), 256)
-    level = df.select(F.col(order).cast("bigint").alias("at"), row.alias("h"))
-    total = df.agg(F.count("*").alias("n")).scalar()
-    for _ in range(2):
-        level = (
-            level.groupBy(F.floor(F.col("at") / width).alias("b"))
-            .agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("x"))
-            .select(F.col("b").alias("at"), F.sha2(F.array_join(F.transform("x", lambda e: e.h), ""), 256).alias("h"))
-        )
-    root = level.agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("x"))
-    return root.select(F.sha2(F.array_join(F.transform("x", lambda e: e.h), ""), 256).alias("fingerprint"), total.alias("n"))
+    level = df.select(F.coalesce(F.col(order).cast("bigint"), F.lit(-1).cast("bigint")).alias("at"), row.alias("h"))
+    low, high, total = level.agg(F.min("at"), F.max("at"), F.count("*")).first()
+    if low is None:
+        return df.sparkSession.range(1).select(F.sha2(F.lit("").cast("binary"), 256).alias("fingerprint"), F.lit(0).cast("bigint").alias("n"))
+    shift = min(low, 0)  # places are counted from 0, or from a negative smallest id
+    level, low, high = level.withColumn("at", F.col("at") - shift), low - shift, high - shift
+    levels = 1
+    while low // width**levels != high // width**levels:
+        levels += 1
+    for _ in range(levels):
+        block = F.floor(F.col("at") / width).cast("bigint").alias("b")
+        hashes = F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda e: e.h)
+        level = level.groupBy(block).agg(F.sha2(F.array_join(hashes, ""), 256).alias("h")).withColumnRenamed("b", "at")
+    return level.select(F.col("h").alias("fingerprint"), F.lit(total).cast("bigint").alias("n"))
 
 
 def merge_sources(df: DataFrame, source: str, position: str) -> DataFrame:

@@ -280,9 +280,12 @@ def import_counters_e15(t):
     return assembly.import_counters(d)
 
 
-FINGER_SQL = """WITH r AS (SELECT doc_id AS id, sha256(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || length(text) || ':' || text) AS h FROM documents),
-  l1 AS (SELECT id // 1024 AS b, sha256(string_agg(h, '' ORDER BY id)) AS h FROM r GROUP BY 1), l2 AS (SELECT b // 1024 AS b, sha256(string_agg(h, '' ORDER BY b)) AS h FROM l1 GROUP BY 1)
-  SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint, (SELECT count(*) FROM documents) AS n FROM l2"""
+FINGER_SQL = """WITH RECURSIVE r AS (SELECT doc_id AS id, sha256(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || length(text) || ':' || text) AS h FROM documents),
+  t AS (
+    SELECT 0 AS lev, id, h, min(id) OVER () AS lo, max(id) OVER () AS hi FROM r
+    UNION ALL
+    SELECT lev + 1, id // 1024, sha256(string_agg(h, '' ORDER BY id)), any_value(lo) // 1024, any_value(hi) // 1024 FROM t WHERE lev = 0 OR lo <> hi GROUP BY lev, id // 1024)
+  SELECT h AS fingerprint, (SELECT count(*) FROM documents) AS n FROM t WHERE lev > 0 AND lo = hi"""
 
 
 @query("fingerprint_e16", FINGER_SQL)

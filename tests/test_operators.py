@@ -422,3 +422,23 @@ def test_items_of_model_output(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [[tuple(x) for x in r[0]] for r in df.orderBy("i").select(parse_items(F.col("t"), ["a", "b"])).collect()]
     assert got == [[("x", "2")], [("1", "2")], [], [], [], [], []]
+
+
+@pytest.mark.parametrize("ids", [[5], list(range(70)), [0, 3, 64, 200, 4097], [None, 0, 9], [-70, 3], []])
+def test_fingerprint_is_a_tree_of_any_height(spark, ids):
+    import hashlib
+
+    from plantlens.operators.assembly import fingerprint
+
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    places = [-1 if i is None else i for i in ids]
+    level = {p - min(0, *places): sha(("-" if i is None else f"{len(str(i))}:{i}") + "1:x") for p, i in zip(places, ids)}
+    first = True
+    while level and (first or len({i for i in level}) > 1):
+        blocks = {}
+        for i in sorted(level):
+            blocks.setdefault(i // 4, []).append(level[i])
+        level, first = {b: sha("".join(h)) for b, h in blocks.items()}, False
+    want = (next(iter(level.values()), sha("")), len(ids))
+    df = spark.createDataFrame([(i, "x") for i in ids], "id bigint, t string")
+    assert tuple(fingerprint(df, "id", ["id", "t"], 4).first()) == want
