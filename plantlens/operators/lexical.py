@@ -49,25 +49,36 @@ def index(docs: DataFrame, id: str, part: str | None, text: str, terms: Callable
 
 
 def index_stats(postings: DataFrame, part: str | None) -> tuple[DataFrame, DataFrame]:
-    """Per part (or for the whole corpus): document count and mean length; per term: document frequency and idf.
+    """Per part (or for the whole corpus): document count and mean length; per term: document frequency and idf."""
+    keys = _keys(part)
+    totals = postings.filter("term is null").groupBy(*keys).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    df = cut_lineage(postings.filter("term is not null").groupBy(*keys, "term").agg(F.count("*").alias("df")))
+    return totals, _with_idf(df, totals, part)
 
-    A negative idf becomes EPSILON times the mean idf over all terms, negatives included.
-    """
+
+def _with_idf(df: DataFrame, totals: DataFrame, part: str | None) -> DataFrame:
+    """([part,] term, df, idf); a negative idf becomes EPSILON times the mean idf over all terms, negatives included."""
     keys = _keys(part)
-    documents = postings.filter("term is null")
-    totals = documents.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = postings.filter("term is not null").groupBy(*keys, "term").agg(F.count("*").alias("df"))
     raw = _with_totals(df, totals, part).withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw = cut_lineage(raw.select(*keys, "term", "df", "raw_idf"))
     floors = raw.groupBy(*keys).agg((EPSILON * F.avg("raw_idf")).alias("floor_idf"))
     raw = _with_totals(raw, floors, part)
     idf = F.when(F.col("raw_idf") < 0, F.col("floor_idf")).otherwise(F.col("raw_idf"))
-    return totals, raw.select(*keys, "term", "df", idf.alias("idf"))
+    return raw.select(*keys, "term", "df", idf.alias("idf"))
 
 
 def corpus_stats(docs: DataFrame, id: str, part: str | None, text: str) -> tuple[DataFrame, DataFrame]:
-    """``index_stats`` of documents."""
-    return index_stats(index(docs, id, part, text), part)
+    """``index_stats`` of documents that are not searched, so no postings are stored.
+
+    One pass over the texts: every document adds its distinct terms and one row without a term that carries its
+    length, so the map side combines both kinds. The result is stored once, as the statistics of an index are.
+    """
+    keys = _keys(part)
+    toks = _tokenised(docs, part, tk=tokens(F.col(text)))
+    rows = toks.select(*keys, F.size("tk").cast("bigint").alias("dl"), F.array_append(F.array_distinct("tk"), F.lit(None)).alias("tk"))
+    rows = rows.select(*keys, "dl", F.explode_outer("tk").alias("term"))
+    stats = cut_lineage(rows.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("dl").alias("len")))
+    totals = stats.filter("term is null").select(*keys, F.col("df").alias("n_docs"), (F.col("len") / F.col("df")).alias("avgdl"))
+    return totals, _with_idf(stats.filter("term is not null").select(*keys, "term", "df"), totals, part)
 
 
 def _with_totals(df: DataFrame, totals: DataFrame, part: str | None) -> DataFrame:
