@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..functions.text import match_text
+from ..functions.text import let, match_text
 from ..operators import chunking
 from .registry import query
 
@@ -225,10 +225,8 @@ def word_windows_c5(t):
             SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS c FROM documents))""",
 )
 def char_shingles_c6(t):
-    g = chunking.char_shingles(F.col("text"))
-    return t.documents.select(
-        "doc_id", F.size(g).cast("bigint").alias("n"), F.md5(F.array_join(F.array_sort(g), "|")).alias("shingles")
-    )
+    counted = lambda g: F.struct(F.size(g).cast("bigint").alias("n"), F.md5(F.array_join(F.sort_array(g), "|")).alias("shingles"))
+    return t.documents.select("doc_id", let(chunking.char_shingles(F.col("text")), counted).alias("g")).select("doc_id", "g.*")
 
 
 @query(
