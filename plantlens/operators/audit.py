@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import collapse, identifiers
+from ..session import small
 from .ordered import carry_last, neighbour, running_sum
 
 # Fixed values
@@ -170,6 +171,6 @@ def item_lines(sources: DataFrame, items: DataFrame) -> DataFrame:
     ``sources``: qid, source, text; ``items``: qid, item, pattern (lower case)."""
     from .ordered import number_rows
 
-    d = sources.select("qid", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")).join(items, "qid")
+    d = sources.select("qid", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")).join(small(items), "qid")  # a question may hold most lines
     d = d.filter(F.regexp_like(F.lower("line"), F.col("pattern"))).select("qid", "item", "source", "pos", "line")
     return number_rows(d, ["qid", "item"], ["source", "pos"], F.struct(F.col("source"), F.floor(F.col("pos") / LINE_BUCKET)), "line_no")
