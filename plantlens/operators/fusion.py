@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import content_key
-from ..session import cut_lineage
+from ..session import cut_lineage, small
 from . import lexical, vectors
 from .ordered import first_per_key, topk
 
@@ -59,7 +59,7 @@ def hybrid(
         queries, vecs, depth, part
     )
     fused = rrf({"vector": near.select("qid", "id", "rank"), "bm25": lex.select("qid", "id", F.col("bm25_rank").alias("rank"))})
-    hits = fused.join(docs.select("id", "text"), "id")
+    hits = docs.select("id", "text").join(small(cut_lineage(fused)), "id")
     return topk(dedup_content(hits, "text", best_first(), keys), keys, best_first(), k)
 
 
@@ -93,7 +93,7 @@ def scoped_hybrid(queries: DataFrame, docs: DataFrame, vecs: DataFrame, scope: D
     lex = lexical.bm25_topk(asked, "qid", "qtext", dealt(docs, "text"), "id", "text", "__scope", depth)
     near = vectors.vector_topk(asked, "qid", "qvec", dealt(vecs, "vec"), "id", "vec", depth, "__scope")
     fused = rrf({"vector": near.select("qid", "id", "rank"), "bm25": lex.select("qid", "id", F.col("bm25_rank").alias("rank"))})
-    hits = fused.join(docs.select("id", "text"), "id")
+    hits = docs.select("id", "text").join(small(cut_lineage(fused)), "id")
     best = topk(dedup_content(hits, "text", best_first()), ["qid"], best_first(), k)
     return best.join(asked.select("qid", "fallback"), "qid").select("qid", "id", "rrf_score", "rank", "fallback")
 
@@ -128,7 +128,7 @@ def case_search(
     near = vectors.vector_topk(asked, "__q", "qvec", pooled, "id", "vec", depth, pool)
     fused = rrf({"vector": near.select("qid", "id", "rank"), "bm25": lex.select("qid", "id", F.col("bm25_rank").alias("rank"))})
     full = (
-        fused.withColumnRenamed("qid", "__q")
+        small(cut_lineage(fused)).withColumnRenamed("qid", "__q")
         .join(asked.select("__q", "qid", "qvec", F.col("machine").alias("__m")), "__q")
         .join(pooled.select("id", "vec"), "id")
         .join(docs.select("id", pool, "machine"), "id")
