@@ -9,9 +9,9 @@ Random pivots do not divide texts that share nothing (all distances are 1), so t
      which a partner must share one; each of these makes a region, and overlapping regions join into one.
   3. A region is joined around pivots: each pivot is compared with the sets that sizes and triangle windows allow, until all sets
      outside the largest linked group have been pivots; pairs inside one group need no test.
-  4. A region too large for a task is first cut into Voronoi cells of several pivots. A set goes to every cell whose pivot is at most 2 e farther
-     than its nearest one, so linked sets share a cell; cells whose sets all link with their pivot are done, others recurse, and a cell
-     that does not shrink is joined by pairs of bounded blocks.
+  4. A region too large for a task, of no more than PIVOTS blocks, is joined by pairs of bounded blocks. A larger one is first cut into Voronoi cells of
+     several pivots. A set goes to its nearest pivot's cell and to every earlier cell whose pivot is at most 2 e farther, so linked sets share a cell;
+     cells whose sets all link with their pivot are done, others recurse, and a cell that does not shrink is joined by pairs of blocks.
 Equal sets are one node throughout. Links are closed to components; nothing but counts and pivots reaches the driver.
 
 Defined results: null, empty or wordless text has the empty set, linked with nothing; fewer words than SHINGLE are one shingle;
@@ -35,9 +35,11 @@ from .words import FOLDED, GRAM, Words, flat, mix, run_hash, text_of
 
 SHINGLE = 4
 THRESHOLD = 85  # percent
-REGION_TOKENS = 4_000_000  # shingles of a region that one task joins
-BUCKET_WORDS = 8 << 20
+REGION_TOKENS = 2_000_000  # shingles of a region that one task joins
+BUCKET_WORDS = 2 << 20
 PIVOTS = 16
+GATHER = 1 << 19  # shingles looked up at a time
+SENT_BYTES = 4 << 20  # of a batch of sets that go to cells
 NUMBER_BITS = 28  # of a shingle inside its bucket
 DOCS = "doc_id bigint, digest binary, n_shingles bigint, key binary, members binary, prefix array<bigint>"
 
@@ -132,12 +134,12 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
     """(place, its rows), rows sorted by place."""
     held, at = [], None
     for batch in batches:
-        for place, chunk, body in zip(*(batch.column(c).to_pylist() for c in ("place", "chunk", "body"))):
+        for place, chunk, body in zip(batch.column("place").to_pylist(), batch.column("chunk").to_pylist(), batch.column("body")):
             if place != at and held:
                 yield at, held
                 held = []
             at = place
-            held.append((chunk, body))
+            held.append((chunk, body.as_py()))
     if held:
         yield at, held
 
@@ -200,19 +202,35 @@ class Region:
 
     def __init__(self, keys: list[bytes], members: list[bytes], threshold: int):
         self.keys, self.threshold = keys, threshold
-        self.sets = [np.frombuffer(m, np.uint64) for m in members]
-        self.size = np.array([len(s) for s in self.sets], np.int64)
+        self.size = np.array([len(m) // 8 for m in members], np.int64)
         self.first = np.append(0, np.cumsum(self.size))
-        self.tokens = np.unique(np.concatenate(self.sets), return_inverse=True)[1]
+        whole = np.frombuffer(b"".join(members), np.uint64)
+        names = np.unique(whole)
+        self.tokens = np.empty(len(whole), np.int32)
+        for low in range(0, len(whole), GATHER):
+            self.tokens[low : low + GATHER] = np.searchsorted(names, whole[low : low + GATHER])
+        self.mark = np.zeros(len(names), bool)
         self.root = np.arange(len(keys))
 
     def shared(self, pivot: int, others: np.ndarray) -> np.ndarray:
         """Shingles that each of the others shares with the pivot."""
-        mark = np.zeros(self.tokens.max(initial=0) + 1, np.int64)
-        mark[self.tokens[self.first[pivot] : self.first[pivot + 1]]] = 1
+        mine = self.tokens[self.first[pivot] : self.first[pivot + 1]]
+        self.mark[mine] = True
         size = self.size[others]
-        index = np.repeat(self.first[others] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-        return np.add.reduceat(mark[self.tokens[index]], np.append(0, np.cumsum(size)[:-1])) if len(others) else size
+        ends = np.append(0, np.cumsum(size))
+        both, low = np.empty(len(others), np.int64), 0
+        while low < len(others):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + GATHER, "right")) - 1)
+            a, b = others[low], others[high - 1]
+            if b - a == high - 1 - low:  # neighbours
+                hit = self.mark[self.tokens[self.first[a] : self.first[b + 1]]]
+            else:
+                hit = self.mark[self.tokens[np.repeat(self.first[others[low:high]] - ends[low:high], size[low:high]) + np.arange(ends[low], ends[high])]]
+            sums = np.append(0, np.cumsum(hit, dtype=np.int64))
+            both[low:high] = np.diff(sums[ends[low : high + 1] - ends[low]])
+            low = high
+        self.mark[mine] = False
+        return both
 
     def links(self, between: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
         """Links that connect what is connected. ``between``: 0 or 1 for each set; only links from 0 to 1 are needed."""
@@ -238,10 +256,11 @@ class Region:
             union = self.size[others] + self.size[pivot] - both
             if survey:
                 seen.append(1 - both / union)
-            for other in others[(100 * both >= self.threshold * union) & fit[others]].tolist():
-                if self.root[other] != self.root[pivot]:
-                    self.root[self.root == self.root[other]] = self.root[pivot]
-                yield pivot, other
+            linked = others[(100 * both >= self.threshold * union) & fit[others]]
+            groups, place = np.unique(self.root[linked], return_index=True)
+            if len(groups):
+                self.root[np.isin(self.root, groups)] = self.root[pivot]
+            yield from ((pivot, other) for other in linked[place].tolist())
 
 
 def _join(threshold: int):
@@ -275,18 +294,27 @@ def _cells(pivots, threshold: int):
         known = {r: [(k, np.frombuffer(m, np.uint64)) for k, m in v] for r, v in pivots.value.items()}
         radius = 1 - threshold / 100
         for batch in batches:
-            rows = []
-            for region, key, members in zip(*(batch.column(c).to_pylist() for c in ("region", "key", "members"))):
+            rows, held = [], 0
+            for region, key, whole in zip(batch.column("region").to_pylist(), batch.column("key").to_pylist(), batch.column("members")):
+                members = whole.as_py()
                 mine = np.frombuffer(members, np.uint64)
                 both = [len(np.intersect1d(mine, p, assume_unique=True)) for _, p in known[region]]
                 union = [len(mine) + len(p) - b for (_, p), b in zip(known[region], both)]
                 far = [1 - b / u for b, u in zip(both, union)]
-                for i, d in enumerate(far):
-                    if d - min(far) <= 2 * radius + 1e-9:
+                home = int(np.argmin(far))
+                for i, d in enumerate(far[: home + 1]):
+                    if d - far[home] <= 2 * radius + 1e-9:
                         rows.append((f"{region}.{i}", key, members, known[region][i][0], 100 * both[i] >= threshold * union[i]))
-            names = ["region", "key", "members", "pivot", "linked"]
-            kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+                        held += len(members)
+                if held >= SENT_BYTES:
+                    yield out(rows)
+                    rows, held = [], 0
+            yield out(rows)
+
+    def out(rows: list) -> pa.RecordBatch:
+        names = ["region", "key", "members", "pivot", "linked"]
+        kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
     return run
 
@@ -301,11 +329,13 @@ def region_links(regions: DataFrame, sizes: DataFrame, threshold: int, most: int
     names = [r.region for r in crowded]
     found = _solve(regions.where(~F.col("region").isin(names)).withColumn("side", none), threshold)
     crowd = stored(regions.where(F.col("region").isin(names)), "crowded")
-    fresh = [r for r in crowded if parent is None or r.sets < 0.7 * parent]
-    for r in (r for r in crowded if r not in fresh):  # every pair of blocks of one region; a block holds half of what a task joins
-        blocks = int(-(-r.tokens * 2 // most))
-        mine = crowd.where(F.col("region") == r.region).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-        pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(j, "block").alias("i"), F.greatest(j, "block").alias("j")))
+    blocks = {r.region: int(-(-r.tokens * 2 // most)) for r in crowded}  # a block holds half of what a task joins
+    fresh = [r for r in crowded if blocks[r.region] > PIVOTS and (parent is None or r.sets < 0.7 * parent)]
+    paired = [(n, blocks[n]) for n in names if n not in {r.region for r in fresh}]
+    if paired:  # every pair of blocks of one region
+        many = F.broadcast(regions.sparkSession.createDataFrame(paired, "region string, blocks int"))
+        mine = crowd.join(many, "region").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "block").alias("i"), F.greatest(j, "block").alias("j")))
         met = mine.withColumn("p", F.explode(pairs)).withColumn("region", F.concat_ws(".", "region", "p.i", "p.j"))
         side = F.when(F.col("p.i") != F.col("p.j"), (F.col("block") == F.col("p.j")).cast("int"))
         found = found.unionByName(_solve(met.withColumn("side", side), threshold))

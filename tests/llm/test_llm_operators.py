@@ -405,6 +405,31 @@ def test_region_that_does_not_shrink(spark):
     assert sorted((i, len(sets[i]), least[root[i]]) for i in sets) == brute_components(rows, 4, 85)
 
 
+def test_crowded_region_goes_to_cells(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    rows = variants()
+    table = stored(spark.createDataFrame(rows, "doc_id bigint, text string"), "variants")
+    assert jaccard_of(table, most=900) == brute_components(rows, 4, 85)
+
+
+def test_crowded_region_of_few_blocks_is_not_copied_to_cells(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_cells", None)
+    rows = variants()
+    table = stored(spark.createDataFrame(rows, "doc_id bigint, text string"), "variants")
+    assert jaccard_of(table, most=900) == brute_components(rows, 4, 85)
+
+
+def test_cells_are_sent_in_small_batches(monkeypatch):
+    monkeypatch.setattr(jaccard, "SENT_BYTES", 1000)
+    whole = [np.arange(k, k + 100, dtype=np.uint64).tobytes() for k in range(50)]
+    sent = type("Sent", (), {"value": {"r": [(b"0", whole[0]), (b"9", whole[9])]}})
+    keys = [str(k).encode() for k in range(50)]
+    out = list(jaccard._cells(sent, 85)(iter([pa.record_batch([["r"] * 50, keys, whole], names=["region", "key", "members"])])))
+    assert max(b.num_rows for b in out) <= 3
+    got = {(r["region"], r["key"]) for b in out for r in b.to_pylist()}
+    assert {k for _, k in got} == set(keys) and ("r.1", b"0") not in got
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (7, 9), (20, 20), (30, 31), (31, 32), (40, 2)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
