@@ -53,3 +53,26 @@ def test_similar_rows_in_many_tasks(spark, monkeypatch):
         near = sorted((-round(sum(x * y for x, y in zip(vec[a], vec[b])), 6), b) for b in vec if b != a)
         want += [(a, b, n) for n, (s, b) in enumerate([x for x in near if -x[0] >= 0.9][:3], 1)]
     assert got == sorted(want)
+
+
+def test_similar_rows_are_stored_once(spark, monkeypatch):
+    for name, size in {"CELL": 4, "UNIT": 8, "BAND": 5, "TASK": 16}.items():
+        monkeypatch.setattr(vectors, name, size)
+    stored, keep = [], vectors.cut_lineage
+
+    def counted(df):
+        df = keep(df)
+        if "vec" in df.columns:
+            stored.append(df.count())
+        return df
+
+    monkeypatch.setattr(vectors, "cut_lineage", counted)
+    rows = [(i // 2 if i < 10 else i, [1.0, (i % 9) / 10, (i % 7) / 10]) for i in range(60)]  # repeated ids, equal vectors
+    unit = vectors.unit_vectors(spark.createDataFrame(rows, "id long, v array<double>"), "v")
+    got = sorted((r.id, r["rank"], r.score) for r in vectors.similar_topk(unit, "id", "v", 0.1, 3).collect())
+    vec = [(r.id, r.v) for r in unit.collect()]
+    want = []
+    for a in {i for i, _ in vec}:
+        near = sorted((-round(sum(x * y for x, y in zip(v, w)), 6), b) for i, v in vec if i == a for b, w in vec if b != a)
+        want += [(a, n, -s) for n, (s, b) in enumerate(near[:3], 1)]
+    assert got == sorted(want) and stored == [60]
