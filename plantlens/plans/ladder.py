@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import ladder
 from ..operators.ordered import topk
@@ -25,10 +25,9 @@ STEP_SQL = f"""(SELECT o, n, p, s, 'F' || (o % 10) AS file, 'N' || o AS block, o
 
 def listing(t):
     """Lines of ten listings: labels, steps, descriptions, function lines with arguments."""
-    base = t.lineitem.groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg(
-        F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s")
-    )
-    base = base.join(base.groupBy("o").agg(F.min("n").alias("n0")), "o")
+    rows = t.lineitem.filter("l_orderkey is not null").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), "l_partkey", "l_suppkey")
+    base = rows.repartition("o").groupBy("o", "n").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))  # rows move once, by order
+    base = base.withColumn("n0", F.min("n").over(Window.partitionBy("o")))
     head = "CASE WHEN n = n0 THEN 'N' || o || ': ' ELSE '' END"
     inline = "CASE WHEN p % 2 = 1 AND p % 5 = 0 THEN ' \"inl ' || p || '\"' ELSE '' END"
     main = f"""{head} || CASE n WHEN 5 THEN 'AND.STK' WHEN 7 THEN 'SUB ' || (p % 90) || ' ; FN' || s

@@ -76,3 +76,39 @@ def test_similar_rows_are_stored_once(spark, monkeypatch):
         near = sorted((-round(sum(x * y for x, y in zip(v, w)), 6), b) for i, v in vec if i == a for b, w in vec if b != a)
         want += [(a, n, -s) for n, (s, b) in enumerate(near[:3], 1)]
     assert got == sorted(want) and stored == [60]
+
+
+def test_listing_lines_move_once(spark, monkeypatch):
+    """Arguments, notes and labels are found across bucket borders, and a hand-over between them is one row a bucket."""
+    text = {
+        0: "N1: RD X1.0 ;(A)", 1: ";[first]", 2: ";[second]", 5: "SUB 7 ; FN", 6: "R1 ;(P)", 9: ";[about]", 13: ";[later]", 14: "", 15: "R2", 21: "N2: WRT Y2.1", 22: "AND X3.0",
+        30: ";[far]", 38: ";[farther]", 39: "SUB 8", 47: ";[no argument yet]", 55: "R9",
+    }
+    lines = spark.createDataFrame([(f, n, line) for f in ("f", "g", None) for n, line in text.items()], "file string, line_no long, line string")
+
+    def found():
+        steps = {(r.file, r.line_no): (r.block, r.op, r.description) for r in ladder.steps(lines).collect()}
+        args = {(r.file, r.line_no): (r.block, r.sub_line, r.value, r.symbol, r.description) for r in ladder.function_args(lines).collect()}
+        nets = sorted((str(r.file), r.line_no, r.net) for r in ladder.nets(ladder.steps(lines)).collect())
+        return steps, args, nets
+
+    whole = found()
+    assert whole[0]["f", 0] == ("N1", "RD", "second") and whole[0]["g", 22] == ("N2", "AND", "farther") and whole[0][None, 0][2] is None
+    assert whole[1]["f", 6] == ("N1", 5, "R1", "P", "later") and whole[1]["f", 55][4] is None
+    for size in (1, 8):
+        monkeypatch.setattr(ladder, "LINE_BUCKET", size)
+        assert found() == whole
+    for out in (ladder.steps(lines), ladder.function_args(lines)):
+        exchanges = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+        assert len(out.columns) and not any("coalesce" in x for x in exchanges) and sum("REPARTITION_BY_COL" in x for x in exchanges) >= 1
+
+
+def test_passages_without_a_join_by_position(spark):
+    rows = [(1, 1, " A", "r", "b", "S"), (1, 2, " A", "r", "b", "S"), (2, 1, "b", "r", "C", "S"), (2, 1, "b", "q", "C", "S"), (None, 0, "b", "r", "C", "S"), (3, 1, " ", "r", "d", "S")]
+    triples = spark.createDataFrame(rows, "chunk_id long, pos long, s string, p string, o string, section string")
+    edges = graph.build_kg(triples.filter("chunk_id is not null"), surfaces=True)[1]
+    wanted = triples.select("s", "p", "o").distinct().select("p", "s", "p", "o").toDF("qid", "s", "p", "o")
+    out = graph.triple_passages(wanted, edges)
+    assert plan(out).count("Join") == 2
+    assert sorted((r.qid, r.s, r.o, r.chunk_id, r.passage) for r in out.collect()) == [
+        ("q", "b", "C", 2, "passage::2"), ("r", " A", "b", 1, "passage::1"), ("r", "b", "C", 2, "passage::2")]
